@@ -379,7 +379,7 @@ def test_secrets_rows(spark, docs):
 
 
 def test_toxicity(spark):
-    big = "/root/testdata/sf0.01"
+    big = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet")
     got = toxicity.scored(docs, labels).join(labels, "doc_id").where("held_out").collect()
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got)
