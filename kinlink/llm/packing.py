@@ -82,28 +82,48 @@ def cut_last(rest: int, window: int) -> list[int]:
     return [window] if rest == window else [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
 
 
-def pieces(totals: tuple[int, ...], source: int, place: int, size: int, window: int = WINDOW) -> list[tuple[int, int, int, int]]:
-    """(start, length, sequence, offset) of a document that takes places place .. place + size of its source's queue."""
-    whole, out, at = sum(totals), [], place
-    w = rank(totals, source, place) // window
-    last = (whole - 1) // window
-    while at < place + size:
-        before, after = served(totals, w * window), served(totals, min(whole, (w + 1) * window))
-        end = min(place + size, after[source])
-        offset = sum(b - a for a, b in zip(before[:source], after[:source])) + at - before[source]
-        if end > at:
-            if w < last:
-                out.append((at - place, end - at, w, offset))
-            else:
-                start, lo, sequence = at - place, 0, w
-                length = end - at
-                for n in cut_last(whole - last * window, window):
-                    a, b = max(offset, lo), min(offset + length, lo + n)
-                    if a < b:
-                        out.append((start + a - offset, b - a, sequence, a - lo))
-                    lo, sequence = lo + n, sequence + 1
-        at, w = max(at, end), w + 1
-    return out
+class Schedule:
+    """The windows of given queues: what each queue has given before and after one, and where its part begins."""
+
+    def __init__(self, totals: tuple[int, ...], window: int = WINDOW):
+        self.totals, self.window, self.whole = totals, window, sum(totals)
+        self.last = (self.whole - 1) // window
+        self.known: dict[int, tuple] = {}
+
+    def of(self, w: int) -> tuple:
+        found = self.known.get(w)
+        if found is None:
+            if len(self.known) >= 50_000:
+                self.known.clear()
+            before, after = served(self.totals, w * self.window), served(self.totals, min(self.whole, (w + 1) * self.window))
+            starts, at = [], 0
+            for x, y in zip(before, after):
+                starts.append(at)
+                at += y - x
+            found = self.known[w] = (before, after, starts)
+        return found
+
+    def pieces(self, source: int, place: int, size: int) -> list[tuple[int, int, int, int]]:
+        """(start, length, sequence, offset) of a document that takes places place .. place + size of its queue."""
+        out, at, stop = [], place, place + size
+        w = rank(self.totals, source, place) // self.window
+        while at < stop:
+            before, after, starts = self.of(w)
+            end = min(stop, after[source])
+            if end > at:
+                start, length, offset = at - place, end - at, starts[source] + at - before[source]
+                if w < self.last:
+                    out.append((start, length, w, offset))
+                else:
+                    lo, sequence = 0, w
+                    for n in cut_last(self.whole - self.last * self.window, self.window):
+                        a, b = max(offset, lo), min(offset + length, lo + n)
+                        if a < b:
+                            out.append((start + a - offset, b - a, sequence, a - lo))
+                        lo, sequence = lo + n, sequence + 1
+                at = end
+            w += 1
+        return out
 
 
 def encoded(docs: DataFrame, path: str, end: int) -> DataFrame:
@@ -155,12 +175,13 @@ def packed(docs: DataFrame, path: str | None = None, window: int = WINDOW, end:
 
     def cut(batches):
         totals, number, first = shared.value
+        schedule = Schedule(totals, window)
         for batch in batches:
             part, group, at, doc, size, ids = (batch.column(i).to_pylist() for i in range(6))
             out, parts = [], []
             for p, g, a, d, n, data in zip(part, group, at, doc, size, ids):
                 wide = np.frombuffer(data, np.dtype(code)).astype("<u4").tobytes()
-                for start, length, sequence, offset in pieces(totals, number[g], first[p, g] + a, n, window):
+                for start, length, sequence, offset in schedule.pieces(number[g], first[p, g] + a, n):
                     mine = wide[4 * start : 4 * (start + length)]
                     out.append((d, start, length, zlib.crc32(mine), n, sequence, offset))
                     if with_ids:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from kinlink.llm.common import Bounded
 
-TABLE, SAMPLE, CACHE = 50_000, 500, 600_000
+TABLE, SAMPLE, CACHE = 50_000, 500, 500_000
 LIMIT = 2048
 
 
@@ -67,6 +67,55 @@ def splits_at_space(path: str) -> bool:
     return local and drops and plain and model.get("type") == "BPE" and not spec.get("post_processor")
 
 
+@lru_cache(maxsize=4)
+def letters_only(path: str):
+    """str of letters -> ids, past normalizer and pre-tokenizer; None where the file doesn't take such a word as one
+    pre-token, lower-cased and byte by byte. Only letters below U+0250 go this way: their lower case is one letter, and
+    neither NFC nor a table of another Unicode version changes them."""
+    if not splits_at_space(path):
+        return None
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    forms = [f.get("type") for f in (spec.get("normalizer") or {}).get("normalizers", [])]
+    pattern = (steps[0].get("pattern") or {}).get("Regex", "") if steps else ""
+    whole = pattern.endswith(r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+") and all(x.startswith("'") for x in pattern.split("|[")[0].split("|"))
+    if not (whole and len(steps) == 2 and steps[1].get("type") == "ByteLevel" and not steps[1].get("add_prefix_space") and not steps[1].get("use_regex") and forms[-1:] == ["Lowercase"]):
+        return None
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(path).model
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    hidden = [b for b in range(256) if b not in shown]
+    table = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+    def ids(word: str) -> list[int]:
+        return [t.id for t in model.tokenize(word if word.isascii() else "".join(map(table.__getitem__, word.encode())))]
+
+    return ids
+
+
+@lru_cache(maxsize=4)
+def chunk_encoder(path: str):
+    """bytes without white space -> list of ids. A word of letters with signs after it, by far the most frequent kind,
+    is put together from the word's and the signs' ids, each cached; all else goes through the whole library."""
+    encode, direct = library(path), letters_only(path)
+    if direct is None:
+        return encode
+    words, signs = Bounded(lambda w: tuple(direct(w)), CACHE // 2), Bounded(lambda x: tuple(encode(x.encode())), 10_000)
+
+    def ids(chunk: bytes):
+        text = chunk.decode("utf-8", "replace")
+        word = text.rstrip(".,;:!?")
+        if word.isalpha() and max(word) < "\u0250":
+            low = word.lower()
+            if len(low) == len(word):
+                return words[low] + signs[text[len(word) :]] if len(word) < len(text) else words[low]
+        return encode(chunk)
+
+    return ids
+
+
 def code_of(path: str) -> str:
     """The array type that holds an id of this file: two bytes where they suffice."""
     if path.endswith(".json"):
@@ -78,13 +127,13 @@ def code_of(path: str) -> str:
 
 @lru_cache(maxsize=4)
 def _lengths(path: str) -> Bounded:
-    encode = library(path)
+    encode = chunk_encoder(path)
     return Bounded(lambda word: len(encode(word)), CACHE)
 
 
 @lru_cache(maxsize=4)
 def _packed(path: str, code: str) -> Bounded:
-    encode = library(path)
+    encode = chunk_encoder(path)
     return Bounded(lambda word: array.array(code, encode(word)).tobytes(), CACHE)
 
 
@@ -113,7 +162,7 @@ def frequent(docs: DataFrame, path: str) -> dict[bytes, int]:
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 words.update(text.split())
-        encode = library(path)
+        encode = chunk_encoder(path)
         found = [(w, len(encode(w))) for w, _ in words.most_common(TABLE) if len(w) <= 64]
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], pa.binary()), pa.array([n for _, n in found], pa.int32())], ["word", "n"])
 

@@ -278,6 +278,17 @@ def test_tokens(spark, docs):
         assert all(got[r.doc_id] == len(tokens.library(path)(r.text.encode())) for r in docs.limit(5).collect())
 
 
+def test_words_past_the_pre_tokenizer():
+    path = tokens.default_path()
+    assert tokens.letters_only(path) and not tokens.letters_only(tokens.default_path("byte_bpe_50k.json"))
+    encode, whole = tokens.chunk_encoder(path), tokens.library(path)
+    letters = [chr(c) for c in range(0x41, 0x250) if chr(c).isalpha()]
+    rng = np.random.default_rng(4)
+    odd = ["word.", "it's", "a,b", "x..!?", "\u0130x", "\u017fz", "don't.", "\u00aa\u00ba", "ab1", "'s", "..", "\u01c5a;", "\u0345a", "<|endoftext|>."]
+    for w in [*letters, *odd, *("".join(rng.choice(letters, 6)) + str(rng.choice(["", ".", ",!", "'"])) for _ in range(3000))]:
+        assert list(encode(w.encode())) == list(whole(w.encode())), w
+
+
 @pytest.mark.parametrize("totals", [(7,), (1, 1, 1), (100, 3, 40, 1), (5000, 1, 1, 12345, 77)])
 def test_round_robin(totals):
     order = sorted((((2 * j + 1) * math.prod(totals) // t, i, j) for i, t in enumerate(totals) for j in range(t)))
