@@ -580,6 +580,8 @@ def gbdt_platt_scores(spark, d):
 p AS (SELECT a.doc_id AS doc_l, b.doc_id AS doc_r, round(len(list_intersect(a.t, b.t)) / CAST(len(list_distinct(list_concat(a.t, b.t))) AS DOUBLE), 6) AS jaccard FROM s a JOIN s b ON a.k = b.k AND a.doc_id < b.doc_id) SELECT * FROM p WHERE jaccard >= 0.5""")
 def near_dup_docs(spark, d):
     words = F.split(F.lower("text"), " ")
-    s = V.table(spark, d, "documents").select("doc_id", F.array_distinct(words).alias("t"), F.array_join(F.slice(words, 1, 4), " ").alias("k"))
+    hashes = F.transform(F.array_distinct(words), lambda w: F.xxhash64(w))  # 64 bits stand for a word: less to shuffle and compare
+    s = V.table(spark, d, "documents").select("doc_id", hashes.alias("t"), F.array_join(F.slice(words, 1, 4), " ").alias("k"))
     met = s.select(F.col("doc_id").alias("doc_l"), F.col("t").alias("a"), "k").join(s.select(F.col("doc_id").alias("doc_r"), F.col("t").alias("b"), "k"), "k").where("doc_l < doc_r")
+    met = met.where(F.least(F.size("a"), F.size("b")) >= 0.5 * F.greatest(F.size("a"), F.size("b")))  # else the overlap is below a half
     return six(met.select("doc_l", "doc_r", similarity.jaccard(F.col("a"), F.col("b")).alias("jaccard")), "jaccard").where("jaccard >= 0.5")
