@@ -41,6 +41,31 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def slices(batches, rows: int = 512):
+    """Arrow batches in parts of a few rows: Python objects of one part at a time are in memory."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def small_batches(spark: SparkSession, rows: int = 512, size: str = "8m") -> None:
+    """Texts go to Python in Arrow batches of few rows and bytes, so that neither side holds thousands of long texts. Set
+    only where the session has Spark's default."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
+SMALL_ROWS = 1_000_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df of one or two numbers a row, kept in the shared folder and counted: broadcast in joins up to SMALL_ROWS rows
+    (some 16 MB), joined by shuffle beyond. Without it the other side is shuffled before the size is known."""
+    kept = checkpoint(df)
+    return F.broadcast(kept) if kept.count() <= SMALL_ROWS else kept
+
+
 def group_key(source: Column) -> Column:
     """A string that sorts as the source by code point, null last, and joins like any other value."""
     return F.coalesce(F.concat(F.lit("s"), source.cast("string")), F.lit("t"))

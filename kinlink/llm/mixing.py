@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinlink.llm.common import WORD, checkpoint, group_key, running_sums, slice_bits
+from kinlink.llm.common import SMALL_ROWS, WORD, checkpoint, group_key, running_sums, slice_bits
 
 WEIGHTS, PASSES, SEED = (5, 2, 1), 3, 17
 
@@ -53,6 +53,8 @@ def queued(docs: DataFrame, weights=WEIGHTS, share: float = 1.0, passes: int = P
     sizes = {r.g: r.s for r in found}
     placed = running_sums(rows, "g", "h", "size", "before", slice_bits(sum(r.n for r in found)))
     table = _target_table(docs.sparkSession, sizes, targets(sizes, weights, share, passes))
+    if len(sizes) <= SMALL_ROWS // 10:  # a row for each source; beyond, by shuffle
+        table = F.broadcast(table)
     return placed.join(table, F.col("g") == F.col("__k")).select("doc_id", "g", "size", F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), "before")
 
 
