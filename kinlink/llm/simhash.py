@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinlink.llm.common import checkpoint
+from kinlink.llm.common import checkpoint, slices, small, small_batches
 from kinlink.llm.components import stars
 
 WIDTH, SEED, RADIUS = 3, 42, 3
@@ -56,10 +56,11 @@ def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc_id long, fp long): a fingerprint for each row; the long has the bits of the unsigned one. Null text is empty."""
 
     def scored(batches):
-        for batch in batches:
+        for batch in slices(batches):
             fps = np.array([fingerprint(t, width) for t in batch.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
     return rows.mapInArrow(scored, "doc_id long, fp long")
 
@@ -225,8 +226,8 @@ def deduplicated(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -> D
     """The documents with one row of each component kept, that of its smallest doc_id; of repeated rows with that id one
     stays. Rows with a null doc_id all stay. All columns of docs come back and no others."""
     ids = docs.select(F.col("doc_id").cast("long").alias("__id")).where("__id is not null")
-    again = ids.groupBy("__id").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("__id")
-    gone = components(docs, width, radius).where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
+    again = small(ids.groupBy("__id").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("__id"))
+    gone = small(components(docs, width, radius).where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct())
     same = F.col("doc_id").cast("long") == F.col("__id")
     kept = docs.join(gone, same, "left_anti")
     sortable = [F.col(c) for c in docs.columns if docs.schema[c].dataType.typeName() not in ("map", "variant")]
