@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinlink.llm.common import slices, small_batches
+
 
 def held_out(doc_id) -> F.Column:
     """A quarter of the documents, by crc32 of the id as text: never learned from. A null id is not held out."""
@@ -29,11 +31,12 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, per_label: int, hashe
         chosen = part if chosen is None else chosen.unionByName(part)
 
     def encode(batches):
-        for batch in batches:
+        for batch in slices(batches):
             data = [hashed(t).astype("<i4").tobytes() for t in batch.column(2).to_pylist()]
             names = batch.schema.names
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(data, pa.binary()), *[batch.column(i) for i in range(3, len(names))]], names)
 
+    small_batches(docs.sparkSession)
     others = [F.col(c).cast("string").alias(f"__x{i}") for i, c in enumerate(extra)]
     rows = docs.select(F.col("doc_id").cast("long").alias("__d"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("__text"), *others)
     met = rows.join(F.broadcast(chosen), F.col("__d") == F.col("__id"))  # at most per_label rows for each label

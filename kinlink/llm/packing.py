@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinlink.llm.common import group_key, written
+from kinlink.llm.common import group_key, slices, small_batches, written
 from kinlink.llm.tokens import code_of, default_path, packed_ids
 
 WINDOW, END = 4096, 2
@@ -135,7 +135,7 @@ def encoded(docs: DataFrame, path: str, end: int) -> DataFrame:
     def encode(batches):
         part, queue = TaskContext.get().partitionId(), {}
         width = len(tail)
-        for batch in batches:
+        for batch in slices(batches):
             groups, at, ids = batch.column(1).to_pylist(), [], []
             for g, text in zip(groups, batch.column(2).to_pylist()):
                 data = packed_ids(text, path, code) + tail
@@ -161,6 +161,7 @@ def packed(docs: DataFrame, path: str | None = None, window: int = WINDOW, end:
     have the one id `end`. A null source is a queue of its own. Repeated rows are packed each for itself, so a doc_id may
     come several times. An empty table gives no rows; columns beside doc_id, text and source are not read."""
     path = path or default_path()
+    small_batches(docs.sparkSession)
     rows = written(encoded(docs, path, end))
     sums = rows.groupBy("g", "part").agg(F.sum("n").alias("n")).collect()  # a number for each input partition and source
     names = sorted({r.g for r in sums})
@@ -176,7 +177,7 @@ def packed(docs: DataFrame, path: str | None = None, window: int = WINDOW, end:
     def cut(batches):
         totals, number, first = shared.value
         schedule = Schedule(totals, window)
-        for batch in batches:
+        for batch in slices(batches):
             part, group, at, doc, size, ids = (batch.column(i).to_pylist() for i in range(6))
             out, parts = [], []
             for p, g, a, d, n, data in zip(part, group, at, doc, size, ids):

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinlink.llm.common import Bounded
+from kinlink.llm.common import Bounded, slices
 from kinlink.llm.labelled import held_out, sample
 
 SPACE, PER_LABEL, ROUNDS, RATE = 1 << 16, 1500, 150, 0.3
@@ -123,7 +123,7 @@ def graded(docs: DataFrame, labels: DataFrame, label: str = "quality", per_label
             model = shared.value
             weights = model.weights.tolist()
             cache = Bounded(lambda c: weights[zlib.crc32(c) % SPACE] + weights[_shape(c)], 300_000)
-            for batch in batches:
+            for batch in slices(batches):
                 expected, tails = [], []
                 for text in batch.column(1).to_pylist():
                     words = text.split()

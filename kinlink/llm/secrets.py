@@ -10,11 +10,14 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinlink.llm.common import slices, small_batches
+
 #: The kinds of base spans in their order, with the patterns.
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -119,7 +122,7 @@ def scanned(docs: DataFrame) -> DataFrame:
     Null and empty texts have no spans. Repeated rows give repeated rows; columns beside doc_id and text are not read."""
 
     def found(batches):
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for text in batch.column(1).to_pylist():
                 base, every = scan(text)
@@ -129,6 +132,7 @@ def scanned(docs: DataFrame) -> DataFrame:
             arrays = [pa.array(list(c), t) for c, t in zip(columns, [pa.int64()] * 3 + [pa.string()] * 2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     return rows.mapInArrow(found, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
@@ -138,15 +142,12 @@ def redacted(docs: DataFrame) -> DataFrame:
     all rows and all other columns stay as they are."""
 
     def clean(texts):
-        for series in texts:
-            yield series.map(lambda t: None if t is None else masked(t, scan(t)[1]))
-
-    from collections.abc import Iterator
-
-    import pandas as pd
+        for array in texts:
+            yield pa.array((None if t is None else masked(t, scan(t)[1]) for t in (x.as_py() for x in array)), pa.string(), size=len(array))
 
-    clean.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    out = docs.withColumn("text", F.pandas_udf(clean, "string")("text"))
+    clean.__annotations__ = {"texts": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    small_batches(docs.sparkSession)
+    out = docs.withColumn("text", F.arrow_udf(clean, "string")("text"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out

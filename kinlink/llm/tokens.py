@@ -20,9 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinlink.llm.common import Bounded
+from kinlink.llm.common import Bounded, slices, small_batches
 
-TABLE, SAMPLE, CACHE = 50_000, 500, 500_000
+TABLE, SAMPLE, CACHE, WORDS = 50_000, 500, 300_000, 150_000
 LIMIT = 2048
 
 
@@ -32,6 +32,16 @@ def default_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+@lru_cache(maxsize=4)
+def _tokenizer(path: str):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    return tokenizer
+
+
 @lru_cache(maxsize=4)
 def library(path: str):
     """bytes -> list of ids, by the library the file is for."""
@@ -40,11 +50,7 @@ def library(path: str):
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         return lambda data: model.encode(data.decode("utf-8", "replace"))
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
+    tokenizer = _tokenizer(path)
     return lambda data: tokenizer.encode(data.decode("utf-8", "replace"), add_special_tokens=False).ids
 
 
@@ -82,9 +88,7 @@ def letters_only(path: str):
     whole = pattern.endswith(r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+") and all(x.startswith("'") for x in pattern.split("|[")[0].split("|"))
     if not (whole and len(steps) == 2 and steps[1].get("type") == "ByteLevel" and not steps[1].get("add_prefix_space") and not steps[1].get("use_regex") and forms[-1:] == ["Lowercase"]):
         return None
-    from tokenizers import Tokenizer
-
-    model = Tokenizer.from_file(path).model
+    model = _tokenizer(path).model
     shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
     hidden = [b for b in range(256) if b not in shown]
     table = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
@@ -102,7 +106,7 @@ def chunk_encoder(path: str):
     encode, direct = library(path), letters_only(path)
     if direct is None:
         return encode
-    words, signs = Bounded(lambda w: tuple(direct(w)), CACHE // 2), Bounded(lambda x: tuple(encode(x.encode())), 10_000)
+    words, signs = Bounded(lambda w: array.array("I", direct(w)), WORDS), Bounded(lambda x: array.array("I", encode(x.encode())), 10_000)
 
     def ids(chunk: bytes):
         text = chunk.decode("utf-8", "replace")
@@ -119,9 +123,7 @@ def chunk_encoder(path: str):
 def code_of(path: str) -> str:
     """The array type that holds an id of this file: two bytes where they suffice."""
     if path.endswith(".json"):
-        from tokenizers import Tokenizer
-
-        return "H" if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else "I"
+        return "H" if _tokenizer(path).get_vocab_size() <= 1 << 16 else "I"
     return "I"
 
 
@@ -159,7 +161,7 @@ def frequent(docs: DataFrame, path: str) -> dict[bytes, int]:
 
     def top(batches):
         words: Counter = Counter()
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column(0).to_pylist():
                 words.update(text.split())
         encode = chunk_encoder(path)
@@ -177,6 +179,7 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -
     not read. An empty table gives an empty result. Texts of any length are counted whole."""
     path = path or default_path()
     spark = docs.sparkSession
+    small_batches(spark)
     table = spark.sparkContext.broadcast(frequent(docs, path))
 
     def counted(batches):
@@ -184,7 +187,7 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -
             cache = _lengths(path)
             if len(cache) < CACHE:
                 cache.update(table.value)
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(1).to_pylist()
             sizes = [count(t, path) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(sizes, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
