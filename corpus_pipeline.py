@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinlink.llm import mixing, packing, secrets, simhash, toxicity
+from kinlink.llm import mixing, packing, resemblance, secrets, toxicity
 from kinlink.llm.common import shared_folder
 
 
@@ -16,8 +16,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints."""
-    return simhash.deduplicated(docs)
+    """One document of each group of linked fingerprints and of texts alike in five-word shingles."""
+    return resemblance.deduplicated(docs)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

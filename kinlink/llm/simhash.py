@@ -19,6 +19,8 @@ A fingerprint links to others at RADIUS = 3 or fewer differing bits. How the pai
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -32,23 +34,29 @@ WIDTH, SEED, RADIUS = 3, 42, 3
 SHARD, RING, BLOCK = 2048, 4, 2048
 
 
-def fingerprint(data: bytes, width: int = WIDTH, seed: int = SEED) -> int:
-    """The SimHash of a text as an unsigned integer: A-Z lower-cased, words cut at ASCII white space, shingles of `width`
-    words with repeats; fewer words make one shingle, none give 0. A bit is set if over half the hashes have it."""
-    words = data.lower().split()
-    if not words:
-        return 0
+def shingle_hashes(words: list[bytes], width: int, seed: int = SEED) -> Iterator[np.ndarray]:
+    """The XXH64 of each shingle of `width` words, repeats included, in arrays of bounded size; fewer words make one
+    shingle, none give nothing."""
     joined = b" ".join(words)
     if len(words) <= width:
-        return xxhash.xxh64_intdigest(joined, seed)
+        if words:
+            yield np.array([xxhash.xxh64_intdigest(joined, seed)], np.uint64)
+        return
     size = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(size + 1) - 1
     starts, ends = (ends - size).tolist(), ends.tolist()
     digest, n = xxhash.xxh64_intdigest, len(words) - width + 1
-    counts = np.zeros(64, np.int64)
     for at in range(0, n, 1 << 15):
-        hashes = np.array([digest(joined[a:b], seed) for a, b in zip(starts[at : min(n, at + (1 << 15))], ends[at + width - 1 :])], np.uint64)
+        yield np.array([digest(joined[a:b], seed) for a, b in zip(starts[at : min(n, at + (1 << 15))], ends[at + width - 1 :])], np.uint64)
+
+
+def fingerprint(data: bytes, width: int = WIDTH, seed: int = SEED) -> int:
+    """The SimHash of a text as an unsigned integer: A-Z lower-cased, words cut at ASCII white space, shingles of `width`
+    words with repeats; no words give 0. A bit is set if over half the hashes have it."""
+    counts, n = np.zeros(64, np.int64), 0
+    for hashes in shingle_hashes(data.lower().split(), width, seed):
         counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(hashes)
     return int.from_bytes(np.packbits(counts * 2 > n, bitorder="little").tobytes(), "little")
 
 
@@ -225,9 +233,15 @@ def components(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS, shard:
 def deduplicated(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
     """The documents with one row of each component kept, that of its smallest doc_id; of repeated rows with that id one
     stays. Rows with a null doc_id all stay. All columns of docs come back and no others."""
+    return without(docs, components(docs, width, radius).where("doc_id <> component_id").select("doc_id").distinct())
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of docs whose id is not in gone (doc_id, each once); of repeated rows with an id one stays, with a null
+    id all."""
     ids = docs.select(F.col("doc_id").cast("long").alias("__id")).where("__id is not null")
     again = small(ids.groupBy("__id").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("__id"))
-    gone = small(components(docs, width, radius).where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct())
+    gone = small(gone.select(F.col("doc_id").alias("__id")))
     same = F.col("doc_id").cast("long") == F.col("__id")
     kept = docs.join(gone, same, "left_anti")
     sortable = [F.col(c) for c in docs.columns if docs.schema[c].dataType.typeName() not in ("map", "variant")]

@@ -1,7 +1,7 @@
 """The stages of the pipeline, each on what the one before kept."""
 
 import corpus_pipeline
-from kinlink.llm import packing, secrets, simhash, toxicity
+from kinlink.llm import packing, resemblance, secrets, toxicity
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -16,7 +16,7 @@ def test_stages(spark):
     flagged = {r.doc_id for r in toxicity.scored(docs, labels).where("flagged").collect()}
     assert clean.columns == columns and {r.doc_id for r in clean.collect()} == {r.doc_id for r in docs.collect()} - flagged
     single = stages["near_duplicates"](spark, clean, SMALL).cache()
-    assert single.columns == columns and {r.doc_id for r in single.collect()} == {r.component_id for r in simhash.components(clean).collect()}
+    assert single.columns == columns and {r.doc_id for r in single.collect()} == {r.doc_id for r in clean.collect()} - {r.u for r in resemblance.grouped(clean).collect()}
     masked = stages["secrets"](spark, single, SMALL).cache()
     assert masked.columns == columns and masked.count() == single.count()
     assert all(not secrets.base_spans(r.text or "") and r.n_chars == len(r.text) for r in masked.collect())
