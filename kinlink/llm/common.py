@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -95,6 +98,20 @@ def running_sums(df: DataFrame, group: str, order: str, value: str, out: str, bi
     return joined.withColumn(out, F.col(out) + F.col("__before")).drop("__slice", "__g", "__s", "__before")
 
 
+def release() -> None:
+    """At the start of a task that uses no cache: Python workers outlive stages, so the caches of the operators that ran
+    before are emptied, and what the allocators hold back is returned."""
+    for name, cached in (("tokens", ("_lengths", "_packed", "chunk_encoder", "letters_only", "library", "_tokenizer")), ("toxicity", ("_words",)), ("quality", ("_pairs",))):
+        module = sys.modules.get(f"kinlink.llm.{name}")
+        for f in cached if module else ():
+            getattr(module, f).cache_clear()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+
 class Bounded(dict):
     """A cache that takes up to `most` short keys and answers the rest without keeping them. Words come by falling
     frequency, so what comes first is what comes often. Keys over 64 bytes are never kept."""

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinlink.llm import simhash
-from kinlink.llm.common import checkpoint, slices, small, small_batches, written
+from kinlink.llm.common import checkpoint, release, slices, small, small_batches, written
 from kinlink.llm.components import stars
 
 WIDTH, JACCARD = 5, 0.8
@@ -51,6 +51,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     """(doc_id, whole, sig, keys) of each row that has an id and words: a digest of its set, a byte a minimum, bands."""
 
     def made(batches):
+        release()
         for batch in slices(batches):
             ids, whole, sig, keys = [], [], [], []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -133,6 +134,7 @@ def edges(placed: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32()))], ["u", "v", "m"])
 
     def found(batches):
+        release()
         held = None
         for batch in batches:
             if not batch.num_rows:
@@ -155,10 +157,12 @@ def measured(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of pairs (u, v) whose sets of shingles have a Jaccard of JACCARD or more."""
 
     def sets(batches):
+        release()
         for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["id", "set"])
 
     def alike(batches):
+        release()
         for batch in slices(batches):
             a, b = ([np.frombuffer(x, np.uint64) for x in batch.column(i).to_pylist()] for i in (2, 3))
             both = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(a, b)]

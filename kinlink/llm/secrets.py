@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinlink.llm.common import slices, small_batches
+from kinlink.llm.common import release, slices, small_batches
 
 #: The kinds of base spans in their order, with the patterns.
 KINDS = ("assign", "access", "hex")
@@ -142,6 +142,7 @@ def redacted(docs: DataFrame) -> DataFrame:
     all rows and all other columns stay as they are."""
 
     def clean(texts):
+        release()
         for array in texts:
             yield pa.array((None if t is None else masked(t, scan(t)[1]) for t in (x.as_py() for x in array)), pa.string(), size=len(array))
 

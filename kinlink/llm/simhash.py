@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinlink.llm.common import checkpoint, slices, small, small_batches
+from kinlink.llm.common import checkpoint, release, slices, small, small_batches
 from kinlink.llm.components import stars
 
 WIDTH, SEED, RADIUS = 3, 42, 3
@@ -64,6 +64,7 @@ def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc_id long, fp long): a fingerprint for each row; the long has the bits of the unsigned one. Null text is empty."""
 
     def scored(batches):
+        release()
         for batch in slices(batches):
             fps = np.array([fingerprint(t, width) for t in batch.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
@@ -187,6 +188,7 @@ def edges(placed: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(key, a, b, fp) -> (u, v): links whose components are those of all pairs within radius that share a key."""
 
     def found(batches):
+        release()
         held = None
         for batch in batches:
             new = [np.asarray(batch.column(i)) for i in range(4)]
