@@ -11,6 +11,10 @@ no vantage-point bound prunes random ones, which lie 32 +- 4 apart. So links bey
    are compared with all. A large group of near copies so costs a row's work a row.
 4. Edges of SURE equal bytes or more are links (the Jaccard is then over 0.8 but for one in a thousand of those just
    below it). Of those from LEAST on, each that would still join two groups is measured on the whole sets of shingles.
+5. A forest goes by estimate, so a false edge may have hidden a true one. Buckets with further edges from LEAST on get a
+   second look: their rows that still have such an edge to another group meet with their sets, and all these edges are
+   measured there, heaviest first, unless links found on the way have joined their groups. No edge stays unmeasured
+   between two groups.
 """
 
 from __future__ import annotations
@@ -81,20 +85,28 @@ def _equal(a: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         yield pa.array(np.count_nonzero(_matrix(x.to_pylist()) == _matrix(y.to_pylist()), axis=1), pa.int32())
 
 
-def heaviest(sig: np.ndarray, least: int = LEAST) -> list[tuple[int, int, int]]:
-    """(i, j, equal bytes): the heaviest spanning forest of the rows, by Prim; edges under `least` are left out."""
+def heaviest(sig: np.ndarray, least: int = LEAST) -> tuple[list[tuple[int, int, int]], bool]:
+    """(i, j, equal bytes): the heaviest spanning forest of the rows, by Prim; edges under `least` are left out. And
+    whether other edges from `least` on cross groups of SURE edges: Prim visits each such group in one run."""
     n, out = len(sig), []
     best, parent, now = np.full(n, -1), np.full(n, -1), 0
-    open_ = np.ones(n, bool)
-    for _ in range(n - 1):
+    open_, past, run, crossing, doubtful = np.ones(n, bool), np.zeros(n, bool), [], 0, 0
+    for at in range(n):
         open_[now] = False
         same = np.count_nonzero(sig == sig[now], axis=1)
+        crossing += np.count_nonzero(same[past] >= least)
+        run.append(now)
+        if at == n - 1:
+            break
         nearer = open_ & (same > best)
         best[nearer], parent[nearer] = same[nearer], now
         now = int(np.where(open_, best, -2).argmax())
+        if best[now] < SURE:
+            past[run], run = True, []
+            doubtful += best[now] >= least
         if best[now] >= least:
             out.append((int(parent[now]), now, int(best[now])))
-    return out
+    return out, bool(crossing > doubtful)
 
 
 def cells(unique: DataFrame, shard: int = SHARD) -> tuple[DataFrame, DataFrame]:
@@ -121,46 +133,134 @@ def cells(unique: DataFrame, shard: int = SHARD) -> tuple[DataFrame, DataFrame]:
     return few.unionByName(dealt.select("key", "p.a", "p.b", "first", "sig")), tied
 
 
+def _by_cell(batches) -> Iterator[tuple[tuple, list[pa.Array]]]:
+    """Batches sorted by (key, a, b) -> each cell and its other columns."""
+    held, now = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, a, b = (np.asarray(batch.column(i)) for i in range(3))
+        starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])])).tolist()
+        for lo, hi in zip(starts, [*starts[1:], batch.num_rows]):
+            cell = (int(key[lo]), int(a[lo]), int(b[lo]))
+            if held and cell != now:
+                yield now, [pa.chunked_array(c) for c in zip(*held)]
+                held = []
+            now = cell
+            held.append([batch.column(i).slice(lo, hi - lo) for i in range(3, batch.num_columns)])
+    if held:
+        yield now, [pa.chunked_array(c) for c in zip(*held)]
+
+
+def _rows(columns: list, names: dict) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, names.values())], list(names))
+
+
+def _dealt(placed: DataFrame) -> DataFrame:
+    return placed.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "first")
+
+
 def edges(placed: DataFrame) -> DataFrame:
-    """(key, a, b, first, sig) -> (u, v, m): the heaviest forest of each cell."""
+    """(key, a, b, first, sig) -> (u, v, m, key, a, b, more): the heaviest forest of each cell, and whether the cell has
+    further edges that a forest of estimates may hide."""
+    names = {"u": pa.int64(), "v": pa.int64(), "m": pa.int32(), "key": pa.int64(), "a": pa.int32(), "b": pa.int32(), "more": pa.bool_()}
 
-    def made(columns):
-        key, a, b, first, sig = columns
-        starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+    def found(batches):
+        release()
         out = []
-        for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(first)]):
-            if hi - lo > 1:
-                out += [(int(first[lo + j]), int(first[lo + i]), m) for i, j, m in heaviest(sig[lo:hi])]
-        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32()))], ["u", "v", "m"])
+        for cell, (first, sig) in _by_cell(batches):
+            if len(first) > 1:
+                ids = first.to_numpy()
+                forest, more = heaviest(_matrix(sig.to_pylist()))
+                out += [(int(ids[j]), int(ids[i]), m, *cell, more) for i, j, m in forest]
+            if len(out) > 10_000:
+                yield _rows(list(zip(*out)), names)
+                out = []
+        if out:
+            yield _rows(list(zip(*out)), names)
+
+    return _dealt(placed.select("key", "a", "b", "first", "sig")).mapInArrow(found, "u long, v long, m int, key long, a int, b int, more boolean")
+
+
+def _crossing(sig: np.ndarray, group: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(i, all j > i of another group with LEAST equal bytes or more, these bytes)."""
+    for i in range(len(sig) - 1):
+        same = np.count_nonzero(sig[i + 1 :] == sig[i], axis=1)
+        j = np.flatnonzero((same >= LEAST) & (group[i + 1 :] != group[i]))
+        if len(j):
+            yield i, j + i + 1, same[j]
+
+
+def unsettled(placed: DataFrame, home: DataFrame) -> DataFrame:
+    """The rows of placed, with their group, that have an edge from LEAST on to another group in their cell. home (x, r):
+    the group of each row that isn't its own."""
 
     def found(batches):
         release()
-        held = None
-        for batch in batches:
-            if not batch.num_rows:
+        for cell, (first, sig, group) in _by_cell(batches):
+            groups, bits = group.to_numpy(), _matrix(sig.to_pylist())
+            keep = np.zeros(len(groups), bool)
+            if (groups != groups[0]).any():
+                for i, j, _ in _crossing(bits, groups):
+                    keep[i] = keep[j] = True
+            if keep.any():
+                ids, n = first.to_numpy()[keep], int(keep.sum())
+                yield _rows([*([x] * n for x in cell), ids, [x.tobytes() for x in bits[keep]], groups[keep]], {"key": pa.int64(), "a": pa.int32(), "b": pa.int32(), "first": pa.int64(), "sig": pa.binary(), "r": pa.int64()})
+
+    rows = placed.join(home, F.col("first") == F.col("x"), "left").select("key", "a", "b", "first", "sig", F.coalesce("r", "first").alias("r"))
+    return _dealt(rows).mapInArrow(found, "key long, a int, b int, first long, sig binary, r long")
+
+
+def settled(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """rows of unsettled() -> (u, v): links of a Jaccard of JACCARD or more, by which every two rows of a cell that have one
+    and LEAST equal bytes are in one group. A cell's sets are in memory together, its pairs are not rows of a table."""
+
+    def linked(batches):
+        release()
+        for _, (first, sig, group, sets) in _by_cell(batches):
+            ids, bits, groups = first.to_numpy(), _matrix(sig.to_pylist()), group.to_numpy()
+            whole = [np.frombuffer(x.as_buffer(), np.uint64) for x in sets]
+            root, out = {g: g for g in groups.tolist()}, []
+            found = [(np.full(len(j), i, np.int32), j.astype(np.int32), m.astype(np.int16)) for i, j, m in _crossing(bits, groups)]
+            if not found:
                 continue
-            new = [np.asarray(batch.column(i)) for i in range(4)] + [_matrix(batch.column(4).to_pylist())]
-            rows = new if held is None else [np.concatenate([x, y]) for x, y in zip(held, new)]
-            last = (rows[0] != rows[0][-1]) | (rows[1] != rows[1][-1]) | (rows[2] != rows[2][-1])
-            cut = int(np.flatnonzero(last)[-1]) + 1 if last.any() else 0
-            held = [x[cut:] for x in rows]
-            if cut:
-                yield made([x[:cut] for x in rows])
-        if held is not None:
-            yield made(held)
+            one, two, m = (np.concatenate(c) for c in zip(*found))
+            for at in np.argsort(-m, kind="stable"):
+                i, j = int(one[at]), int(two[at])
+                ends = [int(groups[i]), int(groups[j])]
+                for e in (0, 1):
+                    while root[ends[e]] != ends[e]:
+                        root[ends[e]] = root[root[ends[e]]]
+                        ends[e] = root[ends[e]]
+                x, y = whole[i], whole[j]
+                if ends[0] == ends[1] or min(len(x), len(y)) < JACCARD * max(len(x), len(y)):
+                    continue
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if both >= JACCARD * (len(x) + len(y) - both):
+                    root[ends[0]] = ends[1]
+                    out.append((int(ids[i]), int(ids[j])))
+            if out:
+                yield _rows(list(zip(*out)), {"u": pa.int64(), "v": pa.int64()})
 
-    dealt = placed.select("key", "a", "b", "first", "sig").repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "first")
-    return dealt.mapInArrow(found, "u long, v long, m int")
+    known = whole_sets(docs, small(rows.select(F.col("first").alias("e")).distinct()))
+    return _dealt(rows.join(known, F.col("first") == F.col("id")).select("key", "a", "b", "first", "sig", "r", "set")).mapInArrow(linked, "u long, v long")
 
 
-def measured(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of pairs (u, v) whose sets of shingles have a Jaccard of JACCARD or more."""
+def whole_sets(docs: DataFrame, ends: DataFrame) -> DataFrame:
+    """(id, set): the sets of shingles of the documents e of ends, one row each."""
 
     def sets(batches):
         release()
         for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["id", "set"])
 
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
+    return written(rows.join(ends, F.col("id") == F.col("e"), "left_semi").mapInArrow(sets, "id long, set binary"))
+
+
+def measured(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of pairs (u, v) whose sets of shingles have a Jaccard of JACCARD or more."""
+
     def alike(batches):
         release()
         for batch in slices(batches):
@@ -170,8 +270,7 @@ def measured(docs: DataFrame, pairs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     ends = small(pairs.select(F.col("u").alias("e")).unionByName(pairs.select(F.col("v").alias("e"))).distinct())
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
-    known = written(rows.join(ends, F.col("id") == F.col("e"), "left_semi").mapInArrow(sets, "id long, set binary"))
+    known = whole_sets(docs, ends)
     left = pairs.join(known.select(F.col("id").alias("u"), F.col("set").alias("a")), "u")
     both = left.join(known.select(F.col("id").alias("v"), F.col("set").alias("b")), "v")
     return both.select("u", "v", "a", "b").mapInArrow(alike, "u long, v long").distinct()
@@ -183,17 +282,22 @@ def grouped(docs: DataFrame, shard: int = SHARD) -> DataFrame:
     Links are those of simhash.components() and pairs of a Jaccard of JACCARD or more. A text of under five words is one
     shingle; texts without words link to each other only. Rows that share an id are one document. Rows with a null id
     take no part; an empty table gives no rows; columns beside doc_id and text are not read."""
+    release()  # the driver's Python too holds what an earlier stage's training took
     own = simhash.components(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("u"), F.col("component_id").alias("v"))
     rows = written(sketches(docs))
     unique = written(rows.groupBy("whole", "sig", "keys").agg(F.min("doc_id").alias("first")))
     same = rows.select("doc_id", "whole").join(unique.select(F.col("whole").alias("w"), "first"), F.col("whole") == F.col("w")).where("doc_id <> first")
     placed, tied = cells(unique.select("first", "sig", "keys"), shard)
-    found = checkpoint(edges(placed).unionByName(tied).groupBy("u", "v").agg(F.max("m").alias("m")))
-    sure = stars(own.unionByName(same.select(F.col("doc_id").alias("u"), F.col("first").alias("v"))).unionByName(found.where(F.col("m") >= SURE).select("u", "v")))
+    forests = checkpoint(edges(placed))
+    clear = forests.where(F.col("m") >= SURE).select("u", "v").unionByName(tied.select("u", "v"))
+    sure = stars(own.unionByName(same.select(F.col("doc_id").alias("u"), F.col("first").alias("v"))).unionByName(clear))
     home = sure.select(F.col("u").alias("x"), F.col("v").alias("r"))
-    doubt = found.where(F.col("m") < SURE).select("u", "v").join(home.toDF("u", "ru"), "u", "left").join(home.toDF("v", "rv"), "v", "left")
+    doubt = forests.where(F.col("m") < SURE).groupBy("u", "v").agg(F.max("more").alias("more")).where("not more").select("u", "v")
+    doubt = doubt.join(home.toDF("u", "ru"), "u", "left").join(home.toDF("v", "rv"), "v", "left")
     doubt = checkpoint(doubt.where(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v"))
-    return stars(sure.unionByName(measured(docs, doubt)))
+    again = placed.join(small(forests.where("more").select("key", "a", "b").distinct()), ["key", "a", "b"], "left_semi")
+    rest = written(unsettled(again, home))
+    return stars(sure.unionByName(measured(docs, doubt)).unionByName(settled(docs, rest)))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:

@@ -86,3 +86,14 @@ def test_measured_on_whole_sets(spark):
     pairs = spark.createDataFrame([(1, 2), (1, 3)], "u long, v long")
     assert [tuple(r) for r in resemblance.measured(frame, pairs).collect()] == [(1, 2)]
     assert resemblance.sketches(frame).select(F.length("sig").alias("n")).distinct().head().n == resemblance.MINIMA
+
+
+@pytest.mark.parametrize("shard", [24, 2048])
+def test_groups_around_the_threshold(spark, shard):
+    """Variants of a text with pairwise Jaccards of 0.75 to 0.85: heavier estimates of false pairs must not hide true ones."""
+    rng = random.Random(11)
+    rows = []
+    for family, (n, edits) in enumerate([(40, (4, 5)), (60, (5, 5)), (100, (5, 6)), (150, (6, 6))]):
+        words = [f"f{family}w{rng.randrange(5000)}" for _ in range(400)]
+        rows += [row(1000 * (family + 1) + i, edited(rng, words, rng.randint(*edits))) for i in range(n)]
+    check(spark.createDataFrame(rows, SHAPE), shard=shard)
