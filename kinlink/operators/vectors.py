@@ -97,11 +97,36 @@ def _probed(vectors: DataFrame, centres: list[list[float]], probes: int, key: st
 
 
 def knn_cells(left: DataFrame, right: DataFrame, centres: list[list[float]], probes: int = 8, k: int = 50) -> DataFrame:
-    """Like knn_exact among the rows of the `probes` cells nearest to a left row: every right row is in its one cell.
-    Pairs are met by cell; their cosines are exact."""
+    """Like knn_exact, and with its result: the `probes` cells nearest to a left row are searched first (every right row
+    is in its one cell). Of the others those are left out that can't hold a nearer row than the kth found, by the cell's
+    radius around its centre. Pairs are met by cell; their cosines are exact."""
+    import numpy as np
+    import pandas as pd
+
     l, r = _sides(left, right)  # noqa: E741
-    met = _probed(l, centres, probes, "v_l").join(_probed(r, centres, 1, "v_r"), "cell").where("entity_id_l <> entity_id_r")
-    return _best(met.select("entity_id_l", "entity_id_r", dot(F.col("v_l"), F.col("v_r")).alias("cosine")), k)
+    dealt = _probed(r, centres, 1, "v_r")
+    away = lambda c: F.sqrt(F.aggregate(F.zip_with("v_r", c, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+    table = right.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(centres)], "cell int, centre array<double>")
+    radii = {x.cell: x.radius for x in dealt.join(F.broadcast(table), "cell").groupBy("cell").agg(F.max(away("centre")).alias("radius")).collect()}
+    known = right.sparkSession.sparkContext.broadcast((np.array(centres), np.array([radii.get(i, -np.inf) for i in range(len(centres))])))
+
+    def scored(met: DataFrame) -> DataFrame:
+        return met.where("entity_id_l <> entity_id_r").select("entity_id_l", "entity_id_r", dot(F.col("v_l"), F.col("v_r")).alias("cosine"))
+
+    def open_(v: pd.Series, kth: pd.Series) -> pd.Series:
+        x, (c, radius) = np.array(v.tolist()) if len(v) else np.zeros((0, known.value[0].shape[1])), known.value
+        apart = np.sqrt(np.maximum(0, (x**2).sum(axis=1)[:, None] + (c**2).sum(axis=1)[None] - 2 * x @ c.T))
+        order = np.argsort((c**2).sum(axis=1)[None] - 2 * x @ c.T, axis=1, kind="stable")
+        # |x - y|^2 = |x|^2 + |y|^2 - 2 x.y with |y| of 1 or 0: a row with a cosine of kth or more is no farther than reach
+        reach = np.sqrt(np.maximum(0, (x**2).sum(axis=1) + 1 - 2 * kth.fillna(-np.inf).to_numpy())) + 1e-6
+        may = (apart - radius[None] <= reach[:, None]) & (radius[None] >= 0)
+        return pd.Series([[int(i) for i in o[probes:] if m[i]] for o, m in zip(order, may)])
+
+    open_.__annotations__ = {"v": pd.Series, "kth": pd.Series, "return": pd.Series}
+    first = _best(scored(_probed(l, centres, probes, "v_l").join(dealt, "cell")), k)
+    kth = first.where(F.col("rank") == k).select("entity_id_l", F.col("cosine").alias("kth"))
+    more = l.join(kth, "entity_id_l", "left").withColumn("cell", F.explode(F.pandas_udf(open_, "array<int>")("v_l", "kth")))
+    return _best(first.drop("rank").unionByName(scored(more.drop("kth").join(dealt, "cell"))), k)
 
 
 def contrastive_pairs(left: DataFrame, right: DataFrame, truth: DataFrame, per_positive: int = 3, seed: int = 42) -> DataFrame:

@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from kinlink.operators import vectors
 
 SMALL = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -42,6 +43,19 @@ def test_query_without_sql(spark, name):
     assert QUERIES[name](spark, SMALL).count() > 0
 
 
+def test_cells_recall(spark):
+    """The approximate search finds at least nine of ten true neighbours of its own sides."""
+    folder, seen = "/root/testdata/sf0.01", {}
+    plain = vectors.knn_cells
+    try:
+        vectors.knn_cells = lambda l, r, c, p, k: seen.update(l=l, r=r, k=k) or plain(l, r, c, p, k)
+        got = {(r.entity_id_l, r.entity_id_r) for r in QUERIES["knn_cells_top10"](spark, folder).collect()}
+    finally:
+        vectors.knn_cells = plain
+    want = {(r.entity_id_l, r.entity_id_r) for r in vectors.knn_exact(seen["l"], seen["r"], seen["k"]).collect()}
+    assert len(got) == len(want) and len(got & want) >= 0.9 * len(want)
+
+
 def test_entry(spark):
     assert entry.entry(spark).columns == ["entity_id_l", "entity_id_r", "prob"] and entry.entry(spark).count() > 0
 
