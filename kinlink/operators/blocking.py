@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from kinlink.operators import keys as K
 
 
+#: Rows a key and side: dropped beyond, the first by id, and the first by id of soundex buckets.
+DROP_CAP, RANK_CAP, HEAD_CAP = 300, 300, 50
+
+
 class BudgetExceeded(RuntimeError):
     pass
 
@@ -83,19 +87,22 @@ def multipass(left: DataFrame, right: DataFrame, passes: list[K.Pass], only_left
     return pair_up(lk, rk, kept)
 
 
-def drop_cap(keys: DataFrame, cap: int) -> DataFrame:
+def drop_cap(keys: DataFrame, cap: int = DROP_CAP) -> DataFrame:
     """Keys with more than cap rows on this side are gone."""
     return keys.join(counts(keys, "n").where(F.col("n") <= cap).select("pass", "key"), ["pass", "key"], "left_semi")
 
 
-def rank_cap(keys: DataFrame, cap: int) -> DataFrame:
+def rank_cap(keys: DataFrame, cap: int = RANK_CAP) -> DataFrame:
     """The first cap rows of each key by id. The rank filter is pushed below the shuffle."""
     first = Window.partitionBy("pass", "key").orderBy("entity_id")
     return keys.withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= cap).drop("__n")
 
 
-def candidates(left: DataFrame, right: DataFrame, schemes: dict, cap: int, mode: str = "drop") -> DataFrame:
-    """Candidates by older schemes with one cap for each side: mode "drop" or "rank"."""
+def candidates(left: DataFrame, right: DataFrame, schemes: dict, cap: int | None = None, mode: str = "drop") -> DataFrame:
+    """Candidates by older schemes with one cap for each side: mode "drop" or "rank". Without a cap the named default of
+    the mode holds, for BUCKETS that of buckets."""
+    if cap is None:
+        cap = DROP_CAP if mode == "drop" else HEAD_CAP if schemes is BUCKETS else RANK_CAP
     held = {"drop": drop_cap, "rank": rank_cap}[mode]
     return pair_up(held(K.long_keys(left, schemes), cap), held(K.long_keys(right, schemes), cap))
 

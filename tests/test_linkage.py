@@ -203,3 +203,12 @@ def test_samples(spark, sides):
 
 def kept_ids(df):
     return sorted(r.entity_id for r in df.collect())
+
+
+def test_default_caps(spark):
+    held = spark.range(301).select(F.lit("p").alias("pass"), F.when(F.col("id") < 300, "a").otherwise("b").alias("key"), F.format_string("%04d", "id").alias("entity_id"))
+    many = held.withColumn("key", F.lit("a"))
+    assert blocking.drop_cap(held).count() == 301 and blocking.drop_cap(many).count() == 0
+    assert blocking.rank_cap(many).count() == 300
+    side = lambda p, n: spark.range(n).select(F.format_string(p + "%04d", "id").alias("entity_id"), F.array(F.lit("smith")).alias("name_tokens"), F.lit("us").alias("country_norm"))
+    assert blocking.candidates(side("a", 60), side("b", 2), blocking.BUCKETS, mode="rank").count() == 100
