@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import sys
 import tempfile
 import uuid
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -16,18 +18,26 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share. The cluster names it in spark.checkpoint.dir; only where that is unset
-    (tests on one machine) a temporary one is made."""
+    """The folder that all executors share. The cluster names it in spark.checkpoint.dir. Where that is unset a temporary
+    one is made, but on one machine only: on a cluster it would be lost to the executors."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     have = sc._jsc.sc().getCheckpointDir()
-    if not named:
+    if named:
         if have.isEmpty():
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="kinlink-"))
-        return sc._jsc.sc().getCheckpointDir().get()
+            sc.setCheckpointDir(named)
+        return named
     if have.isEmpty():
-        sc.setCheckpointDir(named)
-    return named
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="kinlink-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a table that was written in the shared folder, with whatever file system its path names."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -98,13 +108,22 @@ def running_sums(df: DataFrame, group: str, order: str, value: str, out: str, bi
     return joined.withColumn(out, F.col(out) + F.col("__before")).drop("__slice", "__g", "__s", "__before")
 
 
+_KEPT: list = []
+
+
+def kept(f):
+    """A cache of a worker that outlives its task, as the tokenizer and the words seen are used again by the next; of the
+    few last arguments. release() empties all of them."""
+    cached = lru_cache(maxsize=4)(f)
+    _KEPT.append(cached)
+    return cached
+
+
 def release() -> None:
     """At the start of a task that uses no cache: Python workers outlive stages, so the caches of the operators that ran
     before are emptied, and what the allocators hold back is returned."""
-    for name, cached in (("tokens", ("_lengths", "_packed", "chunk_encoder", "letters_only", "library", "_tokenizer")), ("toxicity", ("_words",)), ("quality", ("_pairs",))):
-        module = sys.modules.get(f"kinlink.llm.{name}")
-        for f in cached if module else ():
-            getattr(module, f).cache_clear()
+    for cached in _KEPT:
+        cached.cache_clear()
     pa.default_memory_pool().release_unused()
     if sys.platform == "linux":
         trim = getattr(ctypes.CDLL(None), "malloc_trim", None)

@@ -12,32 +12,22 @@ from pyspark.sql import functions as F
 from kinlink.llm.common import checkpoint
 
 
-def _mark(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).head()
-    return row[0], row[1]
-
-
-def _star(pairs: DataFrame, keep) -> DataFrame:
-    """pairs (u, v) with every neighbour v of u wanted; each v for which keep(u, v) is tied to the smallest around u."""
-    least = pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    tied = pairs.where(keep).join(least.withColumnRenamed("u", "w"), F.col("u") == F.col("w"))
-    return tied.select(F.col("v").alias("u"), F.col("m").alias("v"))
+def _done(edges: DataFrame) -> bool:
+    """Whether the edges are stars already: each u has one edge, and no v is a u."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    found = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0)))
+    return not found.agg(F.count(F.lit(1))).head()[0]
 
 
 def stars(edges: DataFrame) -> DataFrame:
     """edges (u, v) of longs -> (u, v): each vertex u but the smallest of its component, and that smallest one as v.
     Loops, repeats and either direction are allowed; no edges give no rows."""
-    now = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    now = checkpoint(now)
-    mark = _mark(now)
-    while mark[0]:
+    now = checkpoint(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    while not _done(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _star(both, F.col("v") > F.col("u")).where("u <> v").distinct()
+        around = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).withColumnRenamed("u", "w")
+        large = both.where("v > u").join(around, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        tied = large.join(least.withColumnRenamed("u", "w"), F.col("u") == F.col("w"))
-        small = tied.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        now = checkpoint(small.distinct())
-        last, mark = mark, _mark(now)
-        if last == mark:
-            break
+        tied = large.join(least.withColumnRenamed("u", "w"), F.col("u") == F.col("w")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        now = checkpoint(tied.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
     return now

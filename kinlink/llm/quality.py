@@ -10,14 +10,13 @@ from __future__ import annotations
 import operator
 import re
 import zlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinlink.llm.common import Bounded, slices
+from kinlink.llm.common import Bounded, kept, slices
 from kinlink.llm.labelled import held_out, sample
 
 SPACE, PER_LABEL, ROUNDS, RATE = 1 << 16, 1500, 150, 0.3
@@ -36,7 +35,7 @@ def _pair(chunk: bytes) -> int:
     return zlib.crc32(chunk) % SPACE << 12 | _shape(chunk) - SPACE
 
 
-@lru_cache(maxsize=1)
+@kept
 def _pairs() -> Bounded:
     return Bounded(_pair, 300_000)
 

@@ -1,25 +1,26 @@
-"""Near copies for the pipeline: SimHash groups, and texts whose sets of five-word shingles have a Jaccard of 0.8 or more.
+"""Near copies for the pipeline: SimHash links, and texts whose sets of five-word shingles have a Jaccard of 0.8 or more.
 
 Fingerprints alone can't give the second: at a Jaccard of 0.8 two of them differ in about 10 of 64 bits, and at that radius
-no vantage-point bound prunes random ones, which lie 32 +- 4 apart. So links beyond simhash.RADIUS come from MinHash:
+no vantage-point bound prunes random ones, which lie 32 +- 4 apart. So candidates beyond simhash.RADIUS come from MinHash,
+and vantage points in the exact Jaccard distance, which is a metric, settle them:
 
-1. Each text gets 128 minima over its set of shingles, kept as one byte each, and BANDS keys of BAND minima. Texts with
-   equal sets become one row.
-2. Rows that share a key meet: at a Jaccard of 0.8 all but 0.2 % of the pairs share one. Of each bucket the heaviest
-   spanning forest by equal bytes leaves the task, which joins what all pairs over any level would join.
+1. One pass over the texts gives each its fingerprint, 128 minima over its set of shingles, kept as one byte each, and
+   BANDS keys of BAND minima. Documents alike in all of this become one row.
+2. Rows that share a key meet in a cell: at a Jaccard of 0.8 all but 0.2 % of the pairs share one.
 3. In a bucket over SHARD rows all rows within SURE of a leader are tied to it, and only the others, dealt into blocks,
    are compared with all. A large group of near copies so costs a row's work a row.
-4. Edges of SURE equal bytes or more are links (the Jaccard is then over 0.8 but for one in a thousand of those just
-   below it). Of those from LEAST on, each that would still join two groups is measured on the whole sets of shingles.
-5. A forest goes by estimate, so a false edge may have hidden a true one. Buckets with further edges from LEAST on get a
-   second look: their rows that still have such an edge to another group meet with their sets, and all these edges are
-   measured there, heaviest first, unless links found on the way have joined their groups. No edge stays unmeasured
-   between two groups.
+4. In its cell every pair is looked at. Pairs of SURE equal bytes or more are links (the Jaccard is then over 0.8 but for
+   one in three thousand of those just below it); a spanning forest of them leaves the task. Rows with a pair from LEAST
+   on that is no such link, and isn't joined by such links, go on to step 5; cells with the same such rows are one.
+5. There the rows meet with their whole sets. Distances to a few vantage points are measured; by the triangle inequality
+   they settle many pairs (apart if |d(x, v) - d(y, v)| > 0.2, a link if d(x, v) + d(y, v) <= 0.2). All others are
+   measured, the heaviest first, unless links found on the way have joined them. No pair is left out by an estimate.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from kinlink.llm.components import stars
 
 WIDTH, JACCARD = 5, 0.8
 MINIMA, BANDS, BAND, SHARD = 128, 12, 4, 2048
-LEAST, SURE = 86, 118
+LEAST, SURE, VANTAGE = 86, 118, 8
 _RNG = np.random.default_rng(23)
 _TIMES, _PLUS = (_RNG.integers(0, 1 << 64, MINIMA, np.uint64) | np.uint64(1))[:, None], _RNG.integers(0, 1 << 64, MINIMA, np.uint64)[:, None]
 
@@ -52,28 +53,32 @@ def minima(hashes: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, whole, sig, keys) of each row that has an id and words: a digest of its set, a byte a minimum, bands."""
+    """(doc_id, fp, whole, sig, keys) of each row that has an id: the fingerprint, a digest of the set of shingles, a byte
+    a minimum, bands. Without words whole and sig are empty and there are no keys; null text is empty."""
 
     def made(batches):
         release()
         for batch in slices(batches):
-            ids, whole, sig, keys = [], [], [], []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            fps, whole, sig, keys, ends = [], [], [], [], [0]
+            for text in batch.column(1).to_pylist():
+                fps.append(simhash.fingerprint(text))
                 hashes = shingles(text)
-                if not len(hashes):
-                    continue
-                least = minima(hashes)
-                ids.append(i)
-                whole.append(xxhash.xxh3_128_digest(hashes.tobytes()))
-                sig.append((least & np.uint64(255)).astype(np.uint8).tobytes())
-                keys += [xxhash.xxh64_intdigest(least[BAND * b : BAND * b + BAND].tobytes(), b) for b in range(BANDS)]
-            flat = pa.array(np.array(keys, np.uint64).view(np.int64))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(ids) + 1, BANDS), pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(whole, pa.binary()), pa.array(sig, pa.binary()), lists], ["doc_id", "whole", "sig", "keys"])
+                if len(hashes):
+                    least = minima(hashes)
+                    whole.append(xxhash.xxh3_128_digest(hashes.tobytes()))
+                    sig.append((least & np.uint64(255)).astype(np.uint8).tobytes())
+                    keys += [xxhash.xxh64_intdigest(least[BAND * b : BAND * b + BAND].tobytes(), b) for b in range(BANDS)]
+                else:
+                    whole.append(b"")
+                    sig.append(b"")
+                ends.append(len(keys))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(keys, np.uint64).view(np.int64)))
+            columns = [batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(whole, pa.binary()), pa.array(sig, pa.binary()), lists]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "whole", "sig", "keys"])
 
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).where("doc_id is not null and text is not null")
-    return rows.mapInArrow(made, "doc_id long, whole binary, sig binary, keys array<long>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")).where("doc_id is not null")
+    return rows.mapInArrow(made, "doc_id long, fp long, whole binary, sig binary, keys array<long>")
 
 
 def _matrix(sigs) -> np.ndarray:
@@ -85,42 +90,31 @@ def _equal(a: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         yield pa.array(np.count_nonzero(_matrix(x.to_pylist()) == _matrix(y.to_pylist()), axis=1), pa.int32())
 
 
-def heaviest(sig: np.ndarray, least: int = LEAST) -> tuple[list[tuple[int, int, int]], bool]:
-    """(i, j, equal bytes): the heaviest spanning forest of the rows, by Prim; edges under `least` are left out. And
-    whether other edges from `least` on cross groups of SURE edges: Prim visits each such group in one run."""
-    n, out = len(sig), []
-    best, parent, now = np.full(n, -1), np.full(n, -1), 0
-    open_, past, run, crossing, doubtful = np.ones(n, bool), np.zeros(n, bool), [], 0, 0
-    for at in range(n):
-        open_[now] = False
-        same = np.count_nonzero(sig == sig[now], axis=1)
-        crossing += np.count_nonzero(same[past] >= least)
-        run.append(now)
-        if at == n - 1:
-            break
-        nearer = open_ & (same > best)
-        best[nearer], parent[nearer] = same[nearer], now
-        now = int(np.where(open_, best, -2).argmax())
-        if best[now] < SURE:
-            past[run], run = True, []
-            doubtful += best[now] >= least
-        if best[now] >= least:
-            out.append((int(parent[now]), now, int(best[now])))
-    return out, bool(crossing > doubtful)
-
-
-def cells(unique: DataFrame, shard: int = SHARD) -> tuple[DataFrame, DataFrame]:
-    """unique (first, sig, keys) -> rows (key, a, b, first, sig) by the cell in which they are compared, and edges (u, v, m)
-    of rows to the leaders of large buckets."""
+def pairs(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, equal bytes) of the pairs i < j of LEAST equal bytes or more."""
+    out = [(np.zeros(0, np.int32),) * 2 + (np.zeros(0, np.int16),)]
+    for i in range(len(sig) - 1):
+        same = np.count_nonzero(sig[i + 1 :] == sig[i], axis=1)
+        j = np.flatnonzero(same >= LEAST)
+        if len(j):
+            out.append((np.full(len(j), i, np.int32), (j + i + 1).astype(np.int32), same[j].astype(np.int16)))
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
+def cells(unique: DataFrame, shard: int = SHARD) -> tuple[DataFrame, DataFrame | None]:
+    """unique (first, sig, keys) -> rows (key, a, b, first, sig) by the cell in which they are compared, and edges (u, v) of
+    rows to the leaders of large buckets, if there are any."""
     routed = unique.select("first", "sig", F.explode("keys").alias("key"))
     counted = routed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("lead"))
     met = small(counted.where("n > 1"))
     few = routed.join(met.where(F.col("n") <= shard).select("key"), "key", "left_semi").select("key", F.lit(0).alias("a"), F.lit(0).alias("b"), "first", "sig")
     large = met.where(F.col("n") > shard)
+    if large.isEmpty():
+        return few, None
     led = large.join(unique.select(F.col("first").alias("lead"), F.col("sig").alias("lead_sig")), "lead")
     rows = routed.join(led, "key").withColumn("m", F.arrow_udf(_equal, "int")("sig", "lead_sig"))
     rows = checkpoint(rows.select("key", "n", "lead", "first", "sig", "m", (F.col("m") < SURE).alias("far")))
-    tied = rows.where(~F.col("far") & (F.col("first") != F.col("lead"))).select(F.col("first").alias("u"), F.col("lead").alias("v"), "m")
+    tied = rows.where(~F.col("far") & (F.col("first") != F.col("lead"))).select(F.col("first").alias("u"), F.col("lead").alias("v"))
     blocks = lambda n: F.ceil(F.col(n) / F.lit(shard)).cast("int")
     others = rows.where("far").groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("n_far"))
     rows = rows.join(others, F.col("key") == F.col("k")).withColumns({"all": blocks("n"), "rest": blocks("n_far")})
@@ -133,121 +127,131 @@ def cells(unique: DataFrame, shard: int = SHARD) -> tuple[DataFrame, DataFrame]:
     return few.unionByName(dealt.select("key", "p.a", "p.b", "first", "sig")), tied
 
 
-def _by_cell(batches) -> Iterator[tuple[tuple, list[pa.Array]]]:
-    """Batches sorted by (key, a, b) -> each cell and its other columns."""
+def _by_cell(batches, width: int) -> Iterator[tuple[tuple, list[pa.Array]]]:
+    """Batches sorted by their first `width` columns -> each cell and its other columns."""
     held, now = [], None
     for batch in batches:
         if not batch.num_rows:
             continue
-        key, a, b = (np.asarray(batch.column(i)) for i in range(3))
-        starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])])).tolist()
+        name = [np.asarray(batch.column(i)) for i in range(width)]
+        starts = [0, *(np.flatnonzero(np.any([x[1:] != x[:-1] for x in name], axis=0)) + 1).tolist()]
         for lo, hi in zip(starts, [*starts[1:], batch.num_rows]):
-            cell = (int(key[lo]), int(a[lo]), int(b[lo]))
+            cell = tuple(int(x[lo]) for x in name)
             if held and cell != now:
                 yield now, [pa.chunked_array(c) for c in zip(*held)]
                 held = []
             now = cell
-            held.append([batch.column(i).slice(lo, hi - lo) for i in range(3, batch.num_columns)])
+            held.append([batch.column(i).slice(lo, hi - lo) for i in range(width, batch.num_columns)])
     if held:
         yield now, [pa.chunked_array(c) for c in zip(*held)]
 
 
-def _rows(columns: list, names: dict) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, names.values())], list(names))
-
-
-def _dealt(placed: DataFrame) -> DataFrame:
-    return placed.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "first")
-
-
-def edges(placed: DataFrame) -> DataFrame:
-    """(key, a, b, first, sig) -> (u, v, m, key, a, b, more): the heaviest forest of each cell, and whether the cell has
-    further edges that a forest of estimates may hide."""
-    names = {"u": pa.int64(), "v": pa.int64(), "m": pa.int32(), "key": pa.int64(), "a": pa.int32(), "b": pa.int32(), "more": pa.bool_()}
+def looked_at(placed: DataFrame) -> DataFrame:
+    """(key, a, b, first, sig) -> (u, v, cell, sig): without a cell, links of a spanning forest of each cell's sure pairs;
+    with one, the rows u that have a doubtful pair there, and the smallest row v that sure pairs tie them to."""
+    names = {"u": pa.int64(), "v": pa.int64(), "cell": pa.int64(), "sig": pa.binary()}
 
     def found(batches):
         release()
         out = []
-        for cell, (first, sig) in _by_cell(batches):
-            if len(first) > 1:
-                ids = first.to_numpy()
-                forest, more = heaviest(_matrix(sig.to_pylist()))
-                out += [(int(ids[j]), int(ids[i]), m, *cell, more) for i, j, m in forest]
+        for _, (first, sig) in _by_cell(batches, 3):
+            if len(first) < 2:
+                continue
+            ids, bits = first.to_numpy(), _matrix(sig.to_pylist())
+            i, j, same = pairs(bits)
+            sure = same >= SURE
+            root = simhash.roots(len(ids), i[sure], j[sure])
+            out += [(int(ids[x]), int(ids[root[x]]), None, None) for x in np.flatnonzero(root != np.arange(len(ids)))]
+            doubtful = root[i] != root[j]
+            rows = np.unique(np.concatenate([i[doubtful], j[doubtful]]))
+            if len(rows):
+                home = ids[root[rows]]
+                cell = np.array(xxhash.xxh64_intdigest(np.concatenate([ids[rows], home]).tobytes()), np.uint64).view(np.int64)
+                out += [(int(x), int(h), int(cell), s.tobytes()) for x, h, s in zip(ids[rows], home, bits[rows])]
             if len(out) > 10_000:
-                yield _rows(list(zip(*out)), names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), names.values())], list(names))
                 out = []
         if out:
-            yield _rows(list(zip(*out)), names)
-
-    return _dealt(placed.select("key", "a", "b", "first", "sig")).mapInArrow(found, "u long, v long, m int, key long, a int, b int, more boolean")
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), names.values())], list(names))
+
+    dealt = placed.select("key", "a", "b", "first", "sig").repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "first")
+    return dealt.mapInArrow(found, "u long, v long, cell long, sig binary")
+
+
+def distance(x: np.ndarray, y: np.ndarray) -> float:
+    """Of two sets, as sorted distinct hashes: 1 - Jaccard."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 1 - both / (len(x) + len(y) - both)
+
+
+def joined(sig: np.ndarray, home: np.ndarray, sets: list[np.ndarray], counted: list | None = None) -> list[tuple[int, int]]:
+    """(i, j): links of a Jaccard of JACCARD or more, with which every pair that has one, and LEAST equal bytes, is in one
+    group; rows of the same home are in one group from the start. counted gets the number of distances measured."""
+    most, n = 1 - JACCARD, len(sets)
+    i, j, same = pairs(sig)
+    root = simhash.roots(n, *_ties(home))
+    out, measured = [], 0
+    if n > VANTAGE:
+        vantage, far = [], np.full(n, np.inf)
+        for _ in range(min(VANTAGE, n // VANTAGE)):  # the next vantage point lies farthest from those before
+            v = int(np.bincount(np.concatenate([i, j]), minlength=n).argmax()) if not vantage else int(far.argmax())
+            vantage.append(np.array([distance(sets[v], x) for x in sets]))
+            far = np.minimum(far, vantage[-1])
+            measured += n
+            near = np.flatnonzero(vantage[-1] <= most + 1e-12)
+            out += [(v, int(x)) for x in near if x != v]
+        d = np.stack(vantage)
+        root = simhash.roots(n, *(np.concatenate([a, b]) for a, b in zip(_ties(home), np.array(out, int).reshape(-1, 2).T)))
+        for at in range(0, len(i), 1 << 16):
+            s = slice(at, at + (1 << 16))
+            apart = np.abs(d[:, i[s]] - d[:, j[s]]).max(axis=0) > most + 1e-9
+            same[s][apart] = 0
+    keep = np.flatnonzero((same >= LEAST) & (root[i] != root[j]))
+    keep = keep[np.argsort(-same[keep], kind="stable")]
+    for at in range(0, len(keep), 1 << 14):
+        part = keep[at : at + (1 << 14)]
+        for x, y in zip(i[part].tolist(), j[part].tolist()):
+            if root[x] == root[y]:
+                continue
+            a, b = len(sets[x]), len(sets[y])
+            if min(a, b) < JACCARD * max(a, b):
+                continue
+            measured += 1
+            if distance(sets[x], sets[y]) <= most + 1e-12:
+                out.append((x, y))
+                root[root == root[y]] = root[x]
+    if counted is not None:
+        counted.append(measured)
+    return out
 
 
-def _crossing(sig: np.ndarray, group: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(i, all j > i of another group with LEAST equal bytes or more, these bytes)."""
-    for i in range(len(sig) - 1):
-        same = np.count_nonzero(sig[i + 1 :] == sig[i], axis=1)
-        j = np.flatnonzero((same >= LEAST) & (group[i + 1 :] != group[i]))
-        if len(j):
-            yield i, j + i + 1, same[j]
+def _ties(home: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of one home as edges to its first row."""
+    _, first, at = np.unique(home, return_index=True, return_inverse=True)
+    return np.arange(len(home)), first[at]
 
 
-def unsettled(placed: DataFrame, home: DataFrame) -> DataFrame:
-    """The rows of placed, with their group, that have an edge from LEAST on to another group in their cell. home (x, r):
-    the group of each row that isn't its own."""
+def settled(docs: DataFrame, doubtful: DataFrame) -> DataFrame:
+    """Rows of looked_at() with a cell -> (u, v): links of a Jaccard of JACCARD or more that settle all their pairs. A
+    cell's sets are in memory together; its pairs are not rows of a table."""
 
-    def found(batches):
+    def linked(batches):
         release()
-        for cell, (first, sig, group) in _by_cell(batches):
-            groups, bits = group.to_numpy(), _matrix(sig.to_pylist())
-            keep = np.zeros(len(groups), bool)
-            if (groups != groups[0]).any():
-                for i, j, _ in _crossing(bits, groups):
-                    keep[i] = keep[j] = True
-            if keep.any():
-                ids, n = first.to_numpy()[keep], int(keep.sum())
-                yield _rows([*([x] * n for x in cell), ids, [x.tobytes() for x in bits[keep]], groups[keep]], {"key": pa.int64(), "a": pa.int32(), "b": pa.int32(), "first": pa.int64(), "sig": pa.binary(), "r": pa.int64()})
+        for _, (first, home, sig, sets) in _by_cell(batches, 1):
+            ids, whole = first.to_numpy(), [np.frombuffer(x.as_buffer(), np.uint64) for x in sets]
+            found = joined(_matrix(sig.to_pylist()), home.to_numpy(), whole)
+            if found:
+                i, j = np.array(found).T
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j])], ["u", "v"])
 
-    rows = placed.join(home, F.col("first") == F.col("x"), "left").select("key", "a", "b", "first", "sig", F.coalesce("r", "first").alias("r"))
-    return _dealt(rows).mapInArrow(found, "key long, a int, b int, first long, sig binary, r long")
+    rows = doubtful.dropDuplicates(["cell", "u"])
+    known = whole_sets(docs, small(doubtful.select("u").distinct()))
+    met = rows.join(known, F.col("u") == F.col("id")).select("cell", "u", "v", "sig", "set")
+    return met.repartition("cell").sortWithinPartitions("cell", "u").mapInArrow(linked, "u long, v long")
 
 
-def settled(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """rows of unsettled() -> (u, v): links of a Jaccard of JACCARD or more, by which every two rows of a cell that have one
-    and LEAST equal bytes are in one group. A cell's sets are in memory together, its pairs are not rows of a table."""
-
-    def linked(batches):
-        release()
-        for _, (first, sig, group, sets) in _by_cell(batches):
-            ids, bits, groups = first.to_numpy(), _matrix(sig.to_pylist()), group.to_numpy()
-            whole = [np.frombuffer(x.as_buffer(), np.uint64) for x in sets]
-            root, out = {g: g for g in groups.tolist()}, []
-            found = [(np.full(len(j), i, np.int32), j.astype(np.int32), m.astype(np.int16)) for i, j, m in _crossing(bits, groups)]
-            if not found:
-                continue
-            one, two, m = (np.concatenate(c) for c in zip(*found))
-            for at in np.argsort(-m, kind="stable"):
-                i, j = int(one[at]), int(two[at])
-                ends = [int(groups[i]), int(groups[j])]
-                for e in (0, 1):
-                    while root[ends[e]] != ends[e]:
-                        root[ends[e]] = root[root[ends[e]]]
-                        ends[e] = root[ends[e]]
-                x, y = whole[i], whole[j]
-                if ends[0] == ends[1] or min(len(x), len(y)) < JACCARD * max(len(x), len(y)):
-                    continue
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if both >= JACCARD * (len(x) + len(y) - both):
-                    root[ends[0]] = ends[1]
-                    out.append((int(ids[i]), int(ids[j])))
-            if out:
-                yield _rows(list(zip(*out)), {"u": pa.int64(), "v": pa.int64()})
-
-    known = whole_sets(docs, small(rows.select(F.col("first").alias("e")).distinct()))
-    return _dealt(rows.join(known, F.col("first") == F.col("id")).select("key", "a", "b", "first", "sig", "r", "set")).mapInArrow(linked, "u long, v long")
-
-
-def whole_sets(docs: DataFrame, ends: DataFrame) -> DataFrame:
-    """(id, set): the sets of shingles of the documents e of ends, one row each."""
+def whole_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, set): the sets of shingles of the documents u of ids; of repeated rows one."""
 
     def sets(batches):
         release()
@@ -255,49 +259,29 @@ def whole_sets(docs: DataFrame, ends: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["id", "set"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
-    return written(rows.join(ends, F.col("id") == F.col("e"), "left_semi").mapInArrow(sets, "id long, set binary"))
-
-
-def measured(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of pairs (u, v) whose sets of shingles have a Jaccard of JACCARD or more."""
-
-    def alike(batches):
-        release()
-        for batch in slices(batches):
-            a, b = ([np.frombuffer(x, np.uint64) for x in batch.column(i).to_pylist()] for i in (2, 3))
-            both = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(a, b)]
-            keep = [n >= JACCARD * (len(x) + len(y) - n) for n, x, y in zip(both, a, b)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
-
-    ends = small(pairs.select(F.col("u").alias("e")).unionByName(pairs.select(F.col("v").alias("e"))).distinct())
-    known = whole_sets(docs, ends)
-    left = pairs.join(known.select(F.col("id").alias("u"), F.col("set").alias("a")), "u")
-    both = left.join(known.select(F.col("id").alias("v"), F.col("set").alias("b")), "v")
-    return both.select("u", "v", "a", "b").mapInArrow(alike, "u long, v long").distinct()
+    return written(rows.join(ids, F.col("id") == F.col("u"), "left_semi").mapInArrow(sets, "id long, set binary"))
 
 
 def grouped(docs: DataFrame, shard: int = SHARD) -> DataFrame:
     """(u, v): each doc_id that is not the smallest of its group of linked documents, and that smallest one.
 
-    Links are those of simhash.components() and pairs of a Jaccard of JACCARD or more. A text of under five words is one
-    shingle; texts without words link to each other only. Rows that share an id are one document. Rows with a null id
-    take no part; an empty table gives no rows; columns beside doc_id and text are not read."""
+    Links are pairs of fingerprints within simhash.RADIUS bits and pairs of a Jaccard of JACCARD or more. A text of under
+    five words is one shingle; texts without words, null ones too, link to each other only. Texts of any length are read
+    whole. Rows that share an id are one document. Rows with a null id take no part; an empty table gives no rows;
+    columns beside doc_id and text are not read."""
     release()  # the driver's Python too holds what an earlier stage's training took
-    own = simhash.components(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("u"), F.col("component_id").alias("v"))
     rows = written(sketches(docs))
-    unique = written(rows.groupBy("whole", "sig", "keys").agg(F.min("doc_id").alias("first")))
-    same = rows.select("doc_id", "whole").join(unique.select(F.col("whole").alias("w"), "first"), F.col("whole") == F.col("w")).where("doc_id <> first")
+    unique = written(rows.groupBy("fp", "whole", "sig", "keys").agg(F.min("doc_id").alias("first")))
     placed, tied = cells(unique.select("first", "sig", "keys"), shard)
-    forests = checkpoint(edges(placed))
-    clear = forests.where(F.col("m") >= SURE).select("u", "v").unionByName(tied.select("u", "v"))
-    sure = stars(own.unionByName(same.select(F.col("doc_id").alias("u"), F.col("first").alias("v"))).unionByName(clear))
-    home = sure.select(F.col("u").alias("x"), F.col("v").alias("r"))
-    doubt = forests.where(F.col("m") < SURE).groupBy("u", "v").agg(F.max("more").alias("more")).where("not more").select("u", "v")
-    doubt = doubt.join(home.toDF("u", "ru"), "u", "left").join(home.toDF("v", "rv"), "v", "left")
-    doubt = checkpoint(doubt.where(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v"))
-    again = placed.join(small(forests.where("more").select("key", "a", "b").distinct()), ["key", "a", "b"], "left_semi")
-    rest = written(unsettled(again, home))
-    return stars(sure.unionByName(measured(docs, doubt)).unionByName(settled(docs, rest)))
+    seen = written(looked_at(placed))
+    edges = [simhash.links(unique.select("fp", "first")), seen.where("cell is null").select("u", "v"), settled(docs, seen.where("cell is not null")), tied]
+    own = rows.select("doc_id", "fp", "whole").join(unique.select(F.col("fp").alias("f"), F.col("whole").alias("w"), "first"), (F.col("fp") == F.col("f")) & (F.col("whole") == F.col("w"))).select("doc_id", "first")
+    again = small(rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("d")))
+    if not again.isEmpty():  # an id with several texts ties their groups
+        edges.append(own.join(again, F.col("doc_id") == F.col("d"), "left_semi").select(F.col("doc_id").alias("u"), F.col("first").alias("v")))
+    homes = stars(reduce(DataFrame.unionByName, [e for e in edges if e is not None]))
+    found = own.join(homes, F.col("first") == F.col("u"), "left").select("doc_id", F.coalesce("v", "first").alias("v"))
+    return found.where("doc_id <> v").select(F.col("doc_id").alias("u"), "v").distinct()
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:

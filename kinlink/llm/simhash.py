@@ -3,18 +3,18 @@
 A fingerprint links to others at RADIUS = 3 or fewer differing bits. How the pairs are found, with no link lost:
 
 1. Equal fingerprints become one row with their smallest doc_id; only these rows go on.
-2. Shards by projection. Sixty-four random bits lie 32 +- 4 apart, so a ball of radius 3 crosses most boundaries of a
-   vantage point's median and a tree over whole fingerprints prunes little (measured: two thirds of the rows go to both
-   sides at each level). On a part of the bits the radius shrinks: of four blocks of 16 bits one has distance 0, and of
-   the four quarters of the other 48 bits again one. The ball around a vantage point of such a projection has radius 0,
-   touches no boundary, and the 16 shards of a row hold about rows / 2**28 others each.
-3. A shard over SHARD rows (a large group of near copies) is split by its distances to two vantage points into rings of
-   RING bits. A row goes to its own ring and, if it lies within RADIUS of the boundary, to the next: by the triangle
-   inequality, |d(x,v) - d(y,v)| <= d(x,y), every pair meets in a cell. A cell that is still over SHARD rows is dealt
-   into pairs of blocks of its rows, so that no task ever holds more than two blocks of one.
-4. In each cell a vantage-point tree with the same bounds finds the exact pairs, and of these only a spanning forest
-   leaves the task: at most one edge a row, whatever the group's size.
-5. Connected components by alternating stars (components.py).
+2. Two fingerprints within 3 bits have a half of 32 bits in which they differ by at most REACH = 1. So there is a
+   vantage-point tree over each half, with that as its radius: whole fingerprints lie 32 +- 4 bits apart, and a margin of
+   3 there would send 27 rows of 100 to both sides of every median; a margin of 1 on 32 bits sends 14.
+3. The trees grow on the driver from a sample of at most SAMPLE fingerprints, drawn by a hash. A node has a vantage point
+   and a distance m; rows at most m + REACH away go inside, rows more than m away outside. By the triangle inequality,
+   |d(x, v) - d(y, v)| <= d(x, y), every pair within REACH meets on a side. Rows near the boundary are in both.
+   Leaves that the whole table fills beyond CELL rows grow on from a sample of theirs, up to ROUNDS times.
+4. Each leaf is a shard. Its task grows the tree on over all its rows, down to LEAF, with the same bounds; what is left
+   there is compared over all 64 bits. Only a spanning forest leaves the task: at most one edge a row.
+5. A shard that no vantage point divides (a group of near copies with one half alike) and that is over CELL rows is dealt
+   into pairs of blocks, so that no task ever holds more than two blocks.
+6. Connected components by alternating stars (components.py).
 """
 
 from __future__ import annotations
@@ -24,14 +24,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinlink.llm.common import checkpoint, release, slices, small, small_batches
 from kinlink.llm.components import stars
 
-WIDTH, SEED, RADIUS = 3, 42, 3
-SHARD, RING, BLOCK = 2048, 4, 2048
+WIDTH, SEED, RADIUS, REACH = 3, 42, 3, 1
+SHARD, CELL, LEAF = 2048, 32_768, 96
+SAMPLE, ROUNDS, TRIES = 1 << 17, 3, 6
 
 
 def shingle_hashes(words: list[bytes], width: int, seed: int = SEED) -> Iterator[np.ndarray]:
@@ -74,57 +75,142 @@ def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return rows.mapInArrow(scored, "doc_id long, fp long")
 
 
-def projections(fp: Column) -> Column:
-    """The 16 shards of a fingerprint. Two fingerprints within RADIUS = 3 bits share at least one of them."""
-    keys = []
-    for i in range(4):
-        block = F.shiftrightunsigned(fp, 16 * i).bitwiseAND(F.lit(0xFFFF))
-        low = fp.bitwiseAND(F.lit((1 << 16 * i) - 1))
-        rest = low if i == 3 else low.bitwiseOR(F.shiftleft(F.shiftrightunsigned(fp, 16 * i + 16), 16 * i))
-        for j in range(4):
-            part = F.shiftrightunsigned(rest, 12 * j).bitwiseAND(F.lit(0xFFF))
-            keys.append(F.lit((4 * i + j) << 28).bitwiseOR(F.shiftleft(block, 12)).bitwiseOR(part))
-    return F.array(*keys)
-
-
-def _rings(fp: Column, vantage: Column) -> Column:
-    """The rings of a row around a vantage point: its own, and the next if that can hold a row within RADIUS."""
-    far = F.bit_count(fp.bitwiseXOR(vantage)).cast("long")
-    own = F.floor(far / F.lit(RING)).cast("long")
-    return F.when(far % RING + RADIUS >= RING, F.array(own, own + 1)).otherwise(F.array(own))
-
-
-def cells(unique: DataFrame, shard: int = SHARD) -> DataFrame:
-    """unique (fp) -> (key, fp, side): all rows that must meet have a key in common. side: in a cell that is dealt out
-    as pairs of blocks, the block of the row; else 0."""
-    routed = unique.select("fp", F.explode(projections(F.col("fp"))).alias("key"))
-    hot = routed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("v1"), F.max("fp").alias("v2")).where(F.col("n") > shard)
-    met = routed.join(hot.select(F.col("key").alias("k"), "v1", "v2"), F.col("key") == F.col("k"), "left")
-    cell = F.transform(F.flatten(F.transform(_rings(F.col("fp"), F.col("v1")), lambda a: F.transform(_rings(F.col("fp"), F.col("v2")), lambda b: a * 32 + b))), lambda c: F.col("key") * 1024 + c)
-    parted = met.select("fp", F.explode(F.when(F.col("k").isNull(), F.array(F.col("key") * 1024)).otherwise(cell)).alias("key"), F.col("k").isNotNull().alias("split"))
-    full = parted.where("split").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > shard)
-    dealt = parted.join(full.select(F.col("key").alias("f"), F.ceil(F.col("n") / F.lit(shard)).cast("int").alias("blocks")), F.col("key") == F.col("f"), "left")
-    own = F.pmod(F.xxhash64("fp"), F.coalesce(F.col("blocks"), F.lit(1))).cast("int")
-    pair = F.when(F.col("blocks").isNull(), F.array(F.struct(F.lit(0).alias("a"), F.lit(0).alias("b")))).otherwise(
-        F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, own).alias("a"), F.greatest(j, own).alias("b")))
-    )
-    return dealt.select("fp", "key", F.explode(pair).alias("p")).select(F.col("key"), F.col("p.a").alias("a"), F.col("p.b").alias("b"), "fp")
-
-
-def _near(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of the pairs of a and b within radius, in blocks of bounded size."""
+def halves(fps: np.ndarray) -> np.ndarray:
+    """Fingerprints (uint64) -> their low and high halves as two rows of uint32."""
+    return np.stack([fps.astype(np.uint32), (fps >> np.uint64(32)).astype(np.uint32)])
+
+
+def divided(values: np.ndarray, reach: int = REACH, tries: int = TRIES) -> tuple[int, int] | None:
+    """The vantage point and distance that leave the larger side of `values` smallest; None where neither side loses a
+    tenth. The vantage points tried are values themselves, evenly spread."""
+    n, best = len(values), None
+    for at in range(tries):
+        vantage = values[(2 * at + 1) * n // (2 * tries)]
+        upto = np.cumsum(np.bincount(np.bitwise_count(values ^ vantage), minlength=33 + reach))
+        larger = np.maximum(upto[reach:], n - upto[: len(upto) - reach])
+        m = int(larger.argmin())
+        if best is None or larger[m] < best[0]:
+            best = (int(larger[m]), int(vantage), m)
+    return best[1:] if best[0] <= 0.9 * n else None
+
+
+class Trees:
+    """The trees of both halves in one list of nodes: vantage point, distance, first of the two children (0 in a leaf).
+    Nodes 0 and 1 are the roots; the inside child comes first."""
+
+    def __init__(self):
+        self.nodes: list[tuple[int, int, int]] = [(0, 0, 0)] * 2
+
+    def grow(self, leaf: int, values: np.ndarray, each: float, shard: int) -> None:
+        """Divides a leaf by a sorted sample of its values, each of which stands for `each` rows, until a side has at
+        most `shard` rows or the sample says too little."""
+        stack = [(leaf, values)]
+        while stack:
+            node, part = stack.pop()
+            cut = divided(part) if len(part) * each > shard and len(part) >= 16 else None
+            if cut:
+                far = np.bitwise_count(part ^ np.uint32(cut[0]))
+                self.nodes[node] = (*cut, len(self.nodes))
+                stack += [(len(self.nodes), part[far <= cut[1] + REACH]), (len(self.nodes) + 1, part[far > cut[1]])]
+                self.nodes += [(0, 0, 0)] * 2
+
+    def leaves(self, values: np.ndarray, root: int) -> tuple[np.ndarray, np.ndarray]:
+        """(row, leaf) for each leaf that a value has to visit."""
+        rows, at = [], []
+        stack = [(root, np.arange(len(values)))]
+        while stack:
+            node, part = stack.pop()
+            vantage, m, child = self.nodes[node]
+            if child and len(part):
+                far = np.bitwise_count(values[part] ^ np.uint32(vantage))
+                stack += [(child, part[far <= m + REACH]), (child + 1, part[far > m])]
+            elif len(part):
+                rows.append(part)
+                at.append(np.full(len(part), node, np.int32))
+        return (np.concatenate(rows), np.concatenate(at)) if rows else (np.zeros(0, int), np.zeros(0, np.int32))
+
+
+def routed(unique: DataFrame, trees: Trees, blocks: dict[int, int] | None = None) -> DataFrame:
+    """unique (fp, first) -> (leaf, a, b, half, fp, first): each row in every leaf that it has to visit. A leaf with blocks
+    is dealt out as their pairs (a, b); other rows have a = b = 0."""
+    shared = unique.sparkSession.sparkContext.broadcast((trees, blocks or {}))
+
+    def found(batches):
+        release()
+        trees, blocks = shared.value
+        for batch in slices(batches, 1 << 16):
+            fp, first = (np.asarray(batch.column(i)) for i in range(2))
+            for half, values in enumerate(halves(fp.astype(np.int64).view(np.uint64))):
+                row, leaf = trees.leaves(values, half)
+                a = b = np.zeros(len(row), np.int32)
+                if blocks:
+                    n = np.array([blocks.get(x, 1) for x in leaf.tolist()], np.int64)
+                    own = (((fp[row].astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % n.astype(np.uint64)).astype(np.int32)
+                    at = np.repeat(np.arange(len(row)), n)
+                    other = (np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
+                    row, leaf, a, b = row[at], leaf[at], np.minimum(own[at], other), np.maximum(own[at], other)
+                for lo in range(0, len(row), 1 << 16):
+                    s = slice(lo, lo + (1 << 16))
+                    columns = [leaf[s], a[s], b[s], np.full(len(row[s]), half, np.int32), fp[row[s]], first[row[s]]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["leaf", "a", "b", "half", "fp", "first"])
+
+    return unique.select("fp", "first").mapInArrow(found, "leaf int, a int, b int, half int, fp long, first long")
+
+
+def planted(unique: DataFrame, shard: int = SHARD, cell: int = CELL, sample: int = SAMPLE) -> tuple[Trees, dict[int, int]]:
+    """The trees over unique (fp, first), and the number of blocks of each leaf that stays over `cell` rows. What comes to
+    the driver: at most some `sample` fingerprints a round, and a row for each leaf over `cell`."""
+    trees, blocks = Trees(), {}
+    rows = unique.count()
+    full = {0: rows, 1: rows} if rows > shard else {}
+    for turn in range(ROUNDS):
+        if not full:
+            break
+        rate = min(1.0, sample / sum(full.values()))
+        drawn = F.pmod(F.xxhash64("fp", F.lit(turn)), F.lit(1 << 24)) < int(rate * (1 << 24))
+        if turn == 0:
+            fps = np.array([r.fp for r in unique.where(drawn).select("fp").collect()], np.int64).view(np.uint64)
+            chosen = dict(enumerate(halves(fps)))
+        else:
+            got = routed(unique.where(drawn), trees).where(F.col("leaf").isin(list(full))).select("leaf", "half", "fp").collect()
+            chosen = {x: halves(np.array([r.fp for r in got if r.leaf == x], np.int64).view(np.uint64))[next((r.half for r in got if r.leaf == x), 0)] for x in full}
+        size = len(trees.nodes)
+        for leaf, values in chosen.items():
+            trees.grow(leaf, np.sort(values), 1 / rate, shard)
+        if len(trees.nodes) == size:
+            break
+        full = {r.leaf: r.n for r in routed(unique, trees).groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cell).collect()}
+    return trees, {x: -(-2 * n // cell) for x, n in full.items() if n > cell}
+
+
+def compared(values: np.ndarray, leaf: int = LEAF, reach: int = REACH) -> Iterator[np.ndarray]:
+    """Groups of indices such that any two values within `reach` of each other are in a group: the leaves of a
+    vantage-point tree over all values."""
+    stack = [np.arange(len(values))]
+    while stack:
+        part = stack.pop()
+        cut = divided(values[part], reach, 3) if len(part) > leaf else None
+        if cut is None:
+            yield part
+        else:
+            far = np.bitwise_count(values[part] ^ np.uint32(cut[0]))
+            stack += [part[far <= cut[1] + reach], part[far > cut[1]]]
+
+
+def near(a: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Indices i < j of the pairs of a within radius, in blocks of bounded size."""
     left, right = [], []
-    step = max(1, (1 << 20) // max(1, len(b)))
+    step = max(1, (1 << 20) // max(1, len(a)))
     for at in range(0, len(a), step):
-        i, j = np.nonzero(np.bitwise_count(a[at : at + step, None] ^ b[None, :]) <= radius)
-        left.append(i + at)
-        right.append(j)
+        i, j = np.nonzero(np.bitwise_count(a[at : at + step, None] ^ a[None, at:]) <= radius)
+        left.append(i[i < j] + at)
+        right.append(j[i < j] + at)
     return np.concatenate(left), np.concatenate(right)
 
 
-def roots(n: int, u: np.ndarray, v: np.ndarray, have: np.ndarray | None = None) -> np.ndarray:
+def roots(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
     """The smallest index reachable from each of n, by edges (u, v)."""
-    root = np.arange(n) if have is None else have
+    root = np.arange(n)
     while True:
         a, b = root[u], root[v]
         low = np.minimum(a, b)
@@ -136,97 +222,65 @@ def roots(n: int, u: np.ndarray, v: np.ndarray, have: np.ndarray | None = None)
             root = root[root]
 
 
-def vantage_forest(fps: np.ndarray, radius: int = RADIUS, leaf: int = 256) -> np.ndarray:
-    """The component of each fingerprint (smallest index), linked within radius. A vantage-point tree: a node's rows lie
-    in rings around one of them; rings more than radius apart are pruned by the triangle inequality; what remains goes
-    down to the next vantage point, and leaves are compared bit by bit."""
-    root = np.arange(len(fps))
-    stack = [(np.arange(len(fps)), None, 0)]
-    while stack:
-        left, right, depth = stack.pop()
-        other = left if right is None else right
-        if not len(left) or not len(other):
-            continue
-        if depth >= 12 or len(left) * len(other) <= leaf * leaf:
-            i, j = _near(fps[left], fps[other], radius)
-            root = roots(len(fps), left[i], other[j], root)
-            continue
-        vantage = fps[left[(depth * 7919) % len(left)]]
-        da, db = np.bitwise_count(fps[left] ^ vantage), np.bitwise_count(fps[other] ^ vantage)
-        for ring in np.unique(da):
-            mine = left[da == ring]
-            if right is None:
-                stack.append((mine, None, depth + 1))
-                stack.append((mine, left[(da > ring) & (da <= ring + radius)], depth + 1))
-            else:
-                stack.append((mine, other[(db + radius >= ring) & (db <= ring + radius)], depth + 1))
-    return root
-
-
-def _linked(key: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of a spanning forest of the links among rows of equal key; rows are sorted by key."""
-    n = len(fps)
-    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    sizes = np.diff(np.concatenate([starts, [n]]))
-    root = np.arange(n)
-    small = np.repeat(sizes <= 64, sizes)
-    u, v = [], []
-    for step in range(1, min(64, int(sizes.max()))):
-        i = np.flatnonzero((key[:-step] == key[step:]) & small[:-step])
-        i = i[np.bitwise_count(fps[i] ^ fps[i + step]) <= radius]
-        u.append(i)
-        v.append(i + step)
-    if u:
-        root = roots(n, np.concatenate(u), np.concatenate(v), root)
-    for at, size in zip(starts[sizes > 64].tolist(), sizes[sizes > 64].tolist()):
-        root[at : at + size] = at + vantage_forest(fps[at : at + size], radius)
-    i = np.flatnonzero(root != np.arange(n))
-    return fps[i].view(np.int64), fps[root[i]].view(np.int64)
+def linked(fps: np.ndarray, half: int, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a spanning forest of the links among a shard's rows (uint64) whose halves are within REACH."""
+    u, v = [np.zeros(0, int)], [np.zeros(0, int)]
+    for part in compared(halves(fps)[half]):
+        i, j = near(fps[part], radius)
+        u.append(part[i])
+        v.append(part[j])
+    root = roots(len(fps), np.concatenate(u), np.concatenate(v))
+    i = np.flatnonzero(root != np.arange(len(fps)))
+    return i, root[i]
 
 
 def edges(placed: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(key, a, b, fp) -> (u, v): links whose components are those of all pairs within radius that share a key."""
+    """routed() -> (u, v): links of first ids whose components are those of all pairs within radius in a shard."""
 
     def found(batches):
         release()
         held = None
         for batch in batches:
-            new = [np.asarray(batch.column(i)) for i in range(4)]
+            new = [np.asarray(batch.column(i)) for i in range(6)]
             rows = new if held is None else [np.concatenate([x, y]) for x, y in zip(held, new)]
             if not len(rows[0]):
                 continue
-            last = (rows[0] != rows[0][-1]) | (rows[1] != rows[1][-1]) | (rows[2] != rows[2][-1])
-            cut = int(np.flatnonzero(last)[-1]) + 1 if last.any() else 0
-            held = [x[cut:] for x in rows]
-            if cut:
-                yield made([x[:cut] for x in rows])
+            cuts = np.flatnonzero(np.any([x[1:] != x[:-1] for x in rows[:3]], axis=0)) + 1
+            starts = [0, *cuts.tolist()]
+            for lo, hi in zip(starts, starts[1:]):
+                yield made([x[lo:hi] for x in rows])
+            held = [x[starts[-1] :] for x in rows]
         if held is not None and len(held[0]):
             yield made(held)
 
     def made(rows):
-        key, a, b, fps = rows
-        change = np.concatenate([[0], np.cumsum((key[1:] != key[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1]))])
-        u, v = _linked(change, fps.astype(np.int64).view(np.uint64), radius)
-        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+        i, j = linked(rows[4].astype(np.int64).view(np.uint64), int(rows[3][0]), radius)
+        return pa.RecordBatch.from_arrays([pa.array(rows[5][i]), pa.array(rows[5][j])], ["u", "v"])
 
-    dealt = placed.select("key", "a", "b", "fp").repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
+    dealt = placed.repartition("leaf", "a", "b").sortWithinPartitions("leaf", "a", "b", "fp")
     return dealt.mapInArrow(found, "u long, v long")
 
 
-def components(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
+def links(unique: DataFrame, radius: int = RADIUS, shard: int = SHARD, cell: int = CELL) -> DataFrame:
+    """unique (fp, first) -> (u, v): links of first ids, with the components of all pairs of fingerprints within radius."""
+    if radius > RADIUS:
+        raise ValueError(f"the halves hold for at most {RADIUS} bits")
+    return edges(routed(unique, *planted(unique, shard, cell)), radius)
+
+
+def components(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS, shard: int = SHARD, cell: int = CELL) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 lower-case hex digits), component_id (the smallest doc_id that can
     be reached over links of at most `radius` differing bits, its own included).
 
-    Null and empty texts have fingerprint 0 and link like any other; texts of one or two words have one shingle.
-    Repeated rows come back as often as they came. A null doc_id keeps its row and is never a component_id unless the
-    component has no other. An empty table gives an empty result. Columns beside doc_id and text are not read."""
-    if radius > RADIUS:
-        raise ValueError(f"the projections hold for at most {RADIUS} bits")
+    Null and empty texts have fingerprint 0 and link like any other; texts of one or two words have one shingle; texts of
+    any length are read whole, in parts. Repeated rows come back as often as they came. A null doc_id keeps its row and
+    is never a component_id unless the component has no other. An empty table gives an empty result. Columns beside
+    doc_id and text are not read."""
     marked = checkpoint(fingerprints(docs, width))
-    unique = checkpoint(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    links = stars(edges(cells(unique.select("fp"), shard), radius))
-    homed = unique.join(links.select(F.col("u").alias("fp"), F.col("v").alias("home")), "fp", "left").select("fp", "first", F.coalesce("home", "fp").alias("home"))
-    least = homed.groupBy("home").agg(F.min("first").alias("component_id"))
+    unique = checkpoint(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    homes = stars(links(unique.select("fp", F.col("fp").alias("first")), radius, shard, cell))  # fingerprints are the vertices
+    homed = unique.join(homes, F.col("fp") == F.col("u"), "left").select("fp", "least", F.coalesce("v", "fp").alias("home"))
+    least = homed.groupBy("home").agg(F.min("least").alias("component_id"))
     named = homed.join(least, "home").select(F.col("fp").alias("f"), "component_id")
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return marked.join(named, F.col("fp") == F.col("f")).select("doc_id", digits.alias("fingerprint"), "component_id")

@@ -14,13 +14,12 @@ from __future__ import annotations
 import array
 import json
 from collections import Counter
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinlink.llm.common import Bounded, slices, small_batches
+from kinlink.llm.common import Bounded, kept, slices, small_batches
 
 TABLE, SAMPLE, CACHE, WORDS = 50_000, 500, 300_000, 150_000
 LIMIT = 2048
@@ -32,7 +31,7 @@ def default_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-@lru_cache(maxsize=4)
+@kept
 def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
@@ -42,7 +41,7 @@ def _tokenizer(path: str):
     return tokenizer
 
 
-@lru_cache(maxsize=4)
+@kept
 def library(path: str):
     """bytes -> list of ids, by the library the file is for."""
     if path.endswith(".model"):
@@ -54,7 +53,7 @@ def library(path: str):
     return lambda data: tokenizer.encode(data.decode("utf-8", "replace"), add_special_tokens=False).ids
 
 
-@lru_cache(maxsize=4)
+@kept
 def splits_at_space(path: str) -> bool:
     if not path.endswith(".json"):
         return False
@@ -73,7 +72,7 @@ def splits_at_space(path: str) -> bool:
     return local and drops and plain and model.get("type") == "BPE" and not spec.get("post_processor")
 
 
-@lru_cache(maxsize=4)
+@kept
 def letters_only(path: str):
     """str of letters -> ids, past normalizer and pre-tokenizer; None where the file doesn't take such a word as one
     pre-token, lower-cased and byte by byte. Only letters below U+0250 go this way: their lower case is one letter, and
@@ -99,7 +98,7 @@ def letters_only(path: str):
     return ids
 
 
-@lru_cache(maxsize=4)
+@kept
 def chunk_encoder(path: str):
     """bytes without white space -> list of ids. A word of letters with signs after it, by far the most frequent kind,
     is put together from the word's and the signs' ids, each cached; all else goes through the whole library."""
@@ -127,13 +126,13 @@ def code_of(path: str) -> str:
     return "I"
 
 
-@lru_cache(maxsize=4)
+@kept
 def _lengths(path: str) -> Bounded:
     encode = chunk_encoder(path)
     return Bounded(lambda word: len(encode(word)), CACHE)
 
 
-@lru_cache(maxsize=4)
+@kept
 def _packed(path: str, code: str) -> Bounded:
     encode = chunk_encoder(path)
     return Bounded(lambda word: array.array(code, encode(word)).tobytes(), CACHE)

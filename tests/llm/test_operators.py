@@ -68,45 +68,76 @@ def slow_components(pairs):
     return out
 
 
-def check_components(frame, shard):
+def check_components(frame, shard, cell):
     rows = [(r.doc_id, slow_fingerprint(r.text)) for r in frame.select("doc_id", "text").collect()]
     want = sorted(((d, f"{f:016x}", c) for (d, f), c in zip(rows, slow_components(rows))), key=str)
-    got = sorted(map(tuple, simhash.components(frame, shard=shard).collect()), key=str)
+    got = sorted(map(tuple, simhash.components(frame, shard=shard, cell=cell).collect()), key=str)
     assert got == want
 
 
-@pytest.mark.parametrize("shard", [2048, 3])
-def test_simhash(spark, docs, shard):
-    check_components(docs, shard)
+@pytest.mark.parametrize("shard, cell", [(2048, 32768), (20, 40)])
+def test_simhash(spark, docs, shard, cell):
+    check_components(docs, shard, cell)
 
 
 def test_simhash_odd_rows(spark):
-    check_components(odd_docs(spark), 2048)
+    check_components(odd_docs(spark), 2048, 32768)
     assert simhash.components(odd_docs(spark).limit(0)).count() == 0
 
 
-def test_simhash_splits_hot_shards(spark):
+def signed(fps):
+    return [(int(x) - (1 << 64) if int(x) >> 63 else int(x),) * 2 for x in fps]
+
+
+def same_groups(spark, fps, **kw):
+    rows = signed(fps)
+    links = {r.u: r.v for r in simhash.stars(simhash.links(spark.createDataFrame(rows, "fp long, first long"), **kw)).collect()}
+    found = defaultdict(set)
+    for (x, _), f in zip(rows, fps):
+        found[links.get(x, x)].add(int(f))
+    root = simhash.roots(len(fps), *simhash.near(np.array(fps, np.uint64), 3))  # all pairs
+    want = defaultdict(set)
+    for r, f in zip(root.tolist(), fps):
+        want[r].add(int(f))
+    assert sorted(map(sorted, found.values())) == sorted(map(sorted, want.values()))
+    return len(want)
+
+
+def test_simhash_shards_of_one_group(spark):
     rng = np.random.default_rng(3)
     centre = int(rng.integers(1 << 62))
     fps = {centre}
-    for _ in range(1500):
+    for n in range(1500):
         x = centre
-        for b in rng.choice(64, rng.integers(1, 9), replace=False):
+        for b in rng.choice(64 if n % 2 else 32, rng.integers(1, 9), replace=False):  # every other one with the high half alike
             x ^= 1 << int(b)
         fps.add(x)
-    fps = sorted(fps)
-    signed = [(x - (1 << 64) if x >> 63 else x,) for x in fps]
-    for shard in (100_000, 200, 20):
-        frame = spark.createDataFrame(signed, "fp long")
-        links = {r.u: r.v for r in simhash.stars(simhash.edges(simhash.cells(frame, shard))).collect()}
-        roots = defaultdict(set)
-        for (s,), x in zip(signed, fps):
-            roots[links.get(s, s)].add(x)
-        slow = slow_components([(i, x) for i, x in enumerate(fps)])
-        want = defaultdict(set)
-        for c, x in zip(slow, fps):
-            want[c].add(x)
-        assert sorted(map(sorted, roots.values())) == sorted(map(sorted, want.values()))
+    for shard, cell in ((100_000, 100_000), (200, 400), (20, 60)):
+        same_groups(spark, sorted(fps), shard=shard, cell=cell)
+
+
+def test_simhash_trees_prune(spark):
+    """Random fingerprints with near ones planted: trees lose no pair, and compare a small part of all pairs."""
+    rng = np.random.default_rng(5)
+    fps = rng.integers(0, 1 << 64, 8000, np.uint64)
+    flips = [sum(1 << int(b) for b in rng.choice(64, n % 5 + 1, replace=False)) for n in range(1500)]
+    fps = np.unique(np.concatenate([fps, fps[:1500] ^ np.array(flips, np.uint64)]))
+    n = len(fps)
+    assert same_groups(spark, fps.tolist(), shard=300, cell=600) < n - 500
+    frame = spark.createDataFrame(signed(fps), "fp long, first long")
+    trees, blocks = simhash.planted(frame, 300, 600)
+    visits = simhash.routed(frame, trees).groupBy("leaf").count().collect()
+    assert len(visits) >= 2 * 16 and not blocks and max(r["count"] for r in visits) <= 600
+    assert sum(r["count"] for r in visits) < 2 * n * 1.14**8  # a row visits few of its half's leaves
+    work = sum(len(p) ** 2 / 2 for h in simhash.halves(fps) for p in simhash.compared(h))
+    assert work < 0.1 * n * n / 2
+
+
+def test_simhash_prunes_on_the_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    fps = np.unique(np.array([r.fp for r in simhash.fingerprints(docs).collect()], np.int64).view(np.uint64))
+    work = sum(len(p) ** 2 / 2 for h in simhash.halves(fps) for p in simhash.compared(h))
+    assert work < 0.1 * len(fps) ** 2 / 2
 
 
 def test_one_of_each_group_stays(spark, docs):

@@ -3,8 +3,8 @@
 import random
 from itertools import combinations
 
+import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from kinlink.llm import resemblance, simhash
 
@@ -79,13 +79,31 @@ def test_odd_rows(spark):
     assert once.count() == 1
 
 
-def test_measured_on_whole_sets(spark):
-    words = [f"w{i}" for i in range(100)]
-    near, far = words[:93], words[:70]  # 89 of 96 and 66 of 96 shingles
-    frame = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(far))], "doc_id long, text string")
-    pairs = spark.createDataFrame([(1, 2), (1, 3)], "u long, v long")
-    assert [tuple(r) for r in resemblance.measured(frame, pairs).collect()] == [(1, 2)]
-    assert resemblance.sketches(frame).select(F.length("sig").alias("n")).distinct().head().n == resemblance.MINIMA
+@pytest.mark.parametrize("n, edits", [(12, (0, 9)), (120, (0, 30)), (300, (3, 8))])
+def test_pairs_are_settled_exactly(n, edits):
+    """joined() against all pairs of sets; vantage points spare most measurements and lose no link."""
+    rng = random.Random(n)
+    words = [f"w{rng.randrange(5000)}" for _ in range(300)]
+    sets = [resemblance.shingles(edited(rng, words, rng.randint(*edits)).encode()) for _ in range(n)]
+    sig = np.stack([(resemblance.minima(s) & np.uint64(255)).astype(np.uint8) for s in sets])
+    counted = []
+    found = resemblance.joined(sig, np.arange(n), sets, counted)
+    jaccard = {(i, j): 1 - resemblance.distance(sets[i], sets[j]) for i, j in combinations(range(n), 2)}
+    assert all(jaccard[min(e), max(e)] >= 0.8 - 1e-9 for e in found)
+    i, j = np.array([p for p, v in jaccard.items() if v >= 0.8 - 1e-12] or [(0, 0)]).T
+    u, v = np.array(found or [(0, 0)]).T
+    assert (simhash.roots(n, i, j) == simhash.roots(n, u, v)).all()
+    assert counted[0] < n * (n - 1) / 2 or n < 20
+    tied = resemblance.joined(sig, np.zeros(n, int), sets)
+    assert (simhash.roots(n, *np.array(tied or [(0, 0)]).T) == simhash.roots(n, u, v)).all() or len(tied) <= len(found)
+
+
+def test_an_id_with_several_texts(spark):
+    """Rows that share an id are one document, so their texts' groups are one."""
+    words = [f"w{i}" for i in range(60)]
+    texts = [(1, " ".join(words)), (2, " ".join(words[::-1])), (3, " ".join(words)), (3, " ".join(words[::-1])), (4, "other words than those of the rest")]
+    frame = spark.createDataFrame([row(i, t) for i, t in texts], SHAPE)
+    assert check(frame) == {2: 1, 3: 1}
 
 
 @pytest.mark.parametrize("shard", [24, 2048])
