@@ -1,20 +1,35 @@
 """Mixing sources to target weights by weighted fair queueing.
 
-The documents of a source are shuffled by a hash and queued, up to PASSES times over. A copy's virtual finish time is the
-tokens of its source up to its end, divided by the source's target; the mix is all copies by finish time up to the
-budget. Since a source's clock reaches 1 at its target, cutting at the budget is cutting at time 1, and the copy that
-crosses it is taken in part (cut="word") or by its nearer end (cut="document").
+The documents of a source are shuffled by a hash and queued, up to PASSES times over. A part of the queue has a virtual
+finish time: the tokens of its source up to its end, divided by the source's target. All parts are range-sorted by it over
+all sources, their tokens are summed up along that order, and the order is cut at the total budget; the part there is
+taken in part. A part is a whole copy of a document, or a stretch of one that is longer than a PARTS-th of its source's
+target: so a source ends within about that of its target, however long its documents are. Parts that start over two
+PARTS-ths after time 1, at which all sources reach their targets, aren't queued.
 
-No window spans a source: running_sums() adds up slices of the shuffle, so one source may hold most rows."""
+No window spans a source: running_sums() adds up slices of the shuffle, so one source may hold most rows; the range sort
+deals by time, which is even whatever the sources are."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import math
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinlink.llm.common import SMALL_ROWS, WORD, checkpoint, group_key, running_sums, slice_bits
 
-WEIGHTS, PASSES, SEED = (5, 2, 1), 3, 17
+WEIGHTS, PASSES, SEED, PARTS = (5, 2, 1), 3, 17, 1024
+
+
+class Cut(NamedTuple):
+    """Where the order ends: the last part's finish time, source and place in its queue, and its words beyond the budget."""
+
+    time: float
+    g: str
+    before: int
+    beyond: int
 
 
 def words(text: Column) -> Column:
@@ -45,26 +60,54 @@ def _target_table(spark: SparkSession, sizes: dict[str, int], goal: dict[str, fl
     return spark.createDataFrame([(s, sizes[s], goal[s]) for s in sizes] or [("", 0, 0.0)], "__k string, __source_size long, __target double")
 
 
-def queued(docs: DataFrame, weights=WEIGHTS, share: float = 1.0, passes: int = PASSES, seed: int = SEED) -> DataFrame:
-    """(doc_id, size, source_size, target, before, row_hash): each row with its place in its source's queue."""
+def queued(docs: DataFrame, weights=WEIGHTS, share: float = 1.0, passes: int = PASSES, seed: int = SEED) -> tuple[DataFrame, float]:
+    """(doc_id, g, size, source_size, target, before): each row with its place in its source's queue; and the budget."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), group_key(F.col("source")).alias("g"), words(F.col("text")).alias("size"))
     rows = checkpoint(rows.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "size")))
     found = rows.groupBy("g").agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("n")).collect()  # a row for each source
     sizes = {r.g: r.s for r in found}
     placed = running_sums(rows, "g", "h", "size", "before", slice_bits(sum(r.n for r in found)))
-    table = _target_table(docs.sparkSession, sizes, targets(sizes, weights, share, passes))
+    goal = targets(sizes, weights, share, passes)
+    table = _target_table(docs.sparkSession, sizes, goal)
     if len(sizes) <= SMALL_ROWS // 10:  # a row for each source; beyond, by shuffle
         table = F.broadcast(table)
-    return placed.join(table, F.col("g") == F.col("__k")).select("doc_id", "g", "size", F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), "before")
+    met = placed.join(table, F.col("g") == F.col("__k"))
+    return checkpoint(met.select("doc_id", "g", "size", F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), "before")), math.fsum(goal.values())
+
+
+def _timed(start: Column):
+    return lambda x: F.struct((x["hi"] - x["lo"]).alias("words"), ((start + x["hi"]) / F.col("target")).alias("finish"))
 
 
-def _taken(size: Column, source_size: Column, target: Column, before: Column, passes: int) -> Column:
-    """Words taken over all passes: in each, what of the row's words lies below the target."""
-    total = F.lit(0).cast("long")
+def _parts(passes: int) -> Column:
+    """All queued parts of a row: their words, and their finish time."""
+    part = F.greatest(F.lit(1).cast("long"), F.floor(F.col("target") / PARTS).cast("long"))
+    turns = []
     for turn in range(passes):
-        room = F.floor(target).cast("long") - source_size * turn - before
-        total = total + F.greatest(F.lit(0).cast("long"), F.least(room, size))
-    return total
+        start = F.col("source_size") * turn + F.col("before")
+        room = F.least(F.col("size").cast("double"), F.col("target") * (1 + 2 / PARTS) - start)
+        n = F.ceil(room / part).cast("int")
+
+        ends = F.transform(F.sequence(F.lit(1).cast("long"), n.cast("long")), lambda k: F.struct(((k - 1) * part).alias("lo"), F.least(F.col("size"), k * part).alias("hi")))
+        timed = F.transform(ends, _timed(start))
+        turns.append(F.when((F.col("target") > 0) & (n > 0), timed).otherwise(F.array().cast("array<struct<words:bigint,finish:double>>")))
+    return F.flatten(F.array(*turns))
+
+
+def cut(q: DataFrame, budget: float, passes: int = PASSES) -> Cut:
+    """Range-sorts the parts of a queue by finish time (ties to the earlier source) and finds where the budget ends. To the
+    driver come a number for each range, and one row."""
+    parts = q.select("g", "before", F.explode(_parts(passes)).alias("p")).select("g", "before", "p.words", "p.finish")
+    order = parts.repartitionByRange("finish", "g").sortWithinPartitions("finish", "g")
+    order = checkpoint(order.withColumn("range", F.spark_partition_id()))
+    left = round(budget)
+    for r in order.groupBy("range").agg(F.sum("words").alias("n")).orderBy("range").collect():
+        if r.n >= left > 0:
+            upto = F.sum("words").over(Window.partitionBy("range").orderBy("finish", "g").rowsBetween(Window.unboundedPreceding, 0))
+            last = order.where(F.col("range") == r.range).withColumn("upto", upto).where(F.col("upto") >= left).orderBy("finish", "g").first()
+            return Cut(last.finish, last.g, last.before, last.upto - left)
+        left -= r.n
+    return Cut(math.inf, "", -1, 0)
 
 
 def mixed(docs: DataFrame, weights=WEIGHTS, share: float = 1.0, passes: int = PASSES, seed: int = SEED) -> DataFrame:
@@ -74,20 +117,26 @@ def mixed(docs: DataFrame, weights=WEIGHTS, share: float = 1.0, passes: int = PA
     Null text has size 0 and is taken 0 times; a null source is a source of its own, last in order. Sources without words
     have target 0. Repeated rows are queued each for itself. The shuffle depends on doc_id and size alone, so reruns and
     other partitionings agree on every source's total and, ids being unique, on every row. An empty table gives no rows."""
-    q = queued(docs, weights, share, passes, seed)
-    taken = _taken(F.col("size"), F.col("source_size"), F.col("target"), F.col("before"), passes)
+    q, budget = queued(docs, weights, share, passes, seed)
+    end = cut(q, budget, passes)
+    inside = lambda p: (p["finish"] < end.time) | ((p["finish"] == end.time) & (F.col("g") <= end.g))
+    taken = F.aggregate(_parts(passes), F.lit(0).cast("long"), lambda n, p: n + F.when(inside(p), p["words"]).otherwise(0))
+    beyond = F.when((F.col("g") == end.g) & (F.col("before") == end.before) & (F.col("size") > 0), end.beyond).otherwise(0)
     finish = F.when(F.col("target") > 0, (F.col("before") + F.col("size")) / F.col("target"))
-    return q.select("doc_id", "size", "source_size", "target", taken.alias("taken"), finish.alias("finish"))
+    return q.select("doc_id", "size", "source_size", "target", (taken - beyond).cast("long").alias("taken"), finish.alias("finish"))
 
 
 def mix_documents(docs: DataFrame, weights=WEIGHTS, share: float = 1.0, passes: int = PASSES, seed: int = SEED) -> DataFrame:
-    """The mix itself: whole copies of the rows of docs, with its columns and no others. A copy is in if its middle lies
-    before its source's target, so a source misses it by at most half a document. Rows without words stay once."""
-    q = queued(docs, weights, share, passes, seed)
+    """The mix itself: whole copies of the rows of docs, with its columns and no others. A copy is in if its middle's time
+    comes before the cut, so a source misses its target by about half a document at most. Rows without words stay once.
+    Null texts have no words, a null source is one of its own, repeated rows are queued each for itself, and an empty
+    table stays empty."""
+    q, budget = queued(docs, weights, share, passes, seed)
+    end = cut(q, budget, passes)
     copies = F.lit(0)
     for turn in range(passes):
-        middle = F.col("source_size") * turn + F.col("before") + F.col("size") / 2
-        copies = copies + F.when(middle < F.col("target"), 1).otherwise(0)
+        middle = (F.col("source_size") * turn + F.col("before") + F.col("size") / 2) / F.col("target")
+        copies = copies + F.when((F.col("target") > 0) & (middle < end.time), 1).otherwise(0)
     copies = F.when(F.col("size") == 0, 1).otherwise(copies)
     # rows that share an id and a size are alike to the queue: their copies are dealt evenly
     plan = q.groupBy(F.col("doc_id").alias("__d"), F.col("g").alias("__g"), F.col("size").alias("__w")).agg(F.sum(copies).alias("__copies"), F.count(F.lit(1)).alias("__rows"))
