@@ -48,19 +48,26 @@ def quantised(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return codes, scale, np.linalg.norm(unit - codes * scale[:, None], axis=1)
 
 
+def scaled(m: np.ndarray) -> np.ndarray:
+    """Each row times the power of two that brings its largest component to 0.5 .. 1: squares neither overflow nor
+    vanish, and cosines stay bit for bit what they are for rows whose squares wouldn't."""
+    return np.ldexp(m, -np.frexp(np.abs(m).max(axis=1, keepdims=True))[1])
+
+
 def tile_nearest(qid, q, cid, c, k: int = K) -> list[tuple[int, float, int]]:
     """(query, score, candidate) for the k nearest of each query in a tile, itself left out; ties to the smaller id."""
     order = np.argsort(cid, kind="stable")
-    cid, c = cid[order], c[order]
+    cid, c = cid[order], scaled(c[order])
+    q = scaled(q)
 
     def parted(m):
-        top = m / np.abs(m).max(axis=1, keepdims=True)
-        return quantised(top / np.linalg.norm(top, axis=1, keepdims=True))
+        return quantised(m / np.linalg.norm(m, axis=1, keepdims=True))
 
     qc, qs, qe = parted(q)
     cc, cs, ce = parted(c)
     q2, c2 = np.sqrt(np.einsum("ij,ij->i", q, q)), np.sqrt(np.einsum("ij,ij->i", c, c))
     heaps: list[list] = [[] for _ in qid]
+    repeats = len(np.unique(cid)) < len(cid)
     floor = np.full(len(qid), -np.inf)
     codes = qc.astype(np.float32)  # products of int8 are whole and below 2**24 for up to 1,000 dimensions: exact
     exact = q.shape[1] <= 1000
@@ -77,7 +84,10 @@ def tile_nearest(qid, q, cid, c, k: int = K) -> list[tuple[int, float, int]]:
             may = score > floor[a]
             for x, s, y in zip(a[may].tolist(), score[may].tolist(), cid[b[may]].tolist()):
                 entry, heap = (s, -y), heaps[x]
-                if len(heap) < k:
+                if repeats and any(-e[1] == y for e in heap):  # an id with several vectors has one place, by its best score
+                    heap[:] = [max(e, entry) if -e[1] == y else e for e in heap]
+                    heapq.heapify(heap)
+                elif len(heap) < k:
                     heapq.heappush(heap, entry)
                 elif entry > heap[0]:
                     heapq.heapreplace(heap, entry)
@@ -103,7 +113,7 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = K, idcol: str = "vec_i
     vec_id, score (double, on the vectors as given).
 
     Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do rows with a null id.
-    Vectors of different lengths are never compared. Fewer candidates give fewer rows; an empty table gives none. A row
+    Finite components of any size are allowed. Of equal scores the smaller vec_id is nearer. Vectors of different lengths are never compared. Fewer candidates give fewer rows; an empty table gives none. A row
     repeated with its id and vector counts once; rows that share an id count by their best score."""
 
     def searched(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:

@@ -56,6 +56,19 @@ def dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.array([[min(max(x, LOWEST), 2**63 - 1) for x in row] for row in wide], np.int64).reshape(b.shape[:2])
 
 
+def drop_repeats(score: np.ndarray, place: np.ndarray, cid: np.ndarray) -> None:
+    """Leaves one entry of each id in a row, the best; the others are emptied."""
+    order = np.lexsort((place, ~score), axis=1)
+    for row, columns in enumerate(order.tolist()):
+        seen = set()
+        for x in columns:
+            at = place[row, x]
+            if at < len(cid):
+                if int(cid[at]) in seen:
+                    score[row, x], place[row, x] = LOWEST, len(cid)
+                seen.add(int(cid[at]))
+
+
 def shard_top(qid, q, known, cid, c, k: int = K, leaf: int = LEAF) -> list[tuple[int, int, int]]:
     """(query, candidate, score): the k best of each query in this shard, except what lies below its known kth score."""
     order = np.argsort(cid, kind="stable")
@@ -83,6 +96,7 @@ def shard_top(qid, q, known, cid, c, k: int = K, leaf: int = LEAF) -> list[tuple
     place = np.full((len(q), k), len(cid))  # ids ascend with the place, so a smaller place wins a tie
     floor = known.astype(np.float64).copy()
     live = np.arange(len(q))
+    repeats = len(np.unique(cid)) < len(cid)
     for step in range(len(leaves)):
         at = by[live, step]
         go = (reach[live, at] > -np.inf) & (reach[live, at] >= floor[live])
@@ -95,6 +109,8 @@ def shard_top(qid, q, known, cid, c, k: int = K, leaf: int = LEAF) -> list[tuple
             s[(rows < 0) | (cid[rows] == qid[a][:, None])] = LOWEST
             p = np.where(s == LOWEST, len(cid), rows)
             s, p = np.concatenate([score[a], s], axis=1), np.concatenate([place[a], p], axis=1)
+            if repeats:
+                drop_repeats(s, p, cid)
             best = np.lexsort((p, ~s), axis=1)[:, :k]
             score[a], place[a] = np.take_along_axis(s, best, 1), np.take_along_axis(p, best, 1)
             floor[a] = np.maximum(floor[a], score[a, -1])
@@ -107,8 +123,8 @@ def top_products(vectors: DataFrame, every: int = 50, k: int = K, scale: float =
     as floor(scale * x): query_id, rank from 1, vec_id, score (long).
 
     Vectors that are null, empty or hold null or non-finite components take no part; zero vectors do. Vectors of
-    different lengths are never compared. Scores beyond a long are held to its range. A row repeated with its id and
-    vector counts once, rows that share an id by their best score. An empty table gives no rows."""
+    different lengths are never compared. Scores beyond a long are held to its range; of equal ones the smaller vec_id
+    comes first. A row repeated with its id and vector counts once, rows that share an id by their best score. An empty table gives no rows."""
 
     def searched(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):

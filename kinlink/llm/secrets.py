@@ -10,7 +10,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,6 +33,7 @@ WINDOW = 20
 CLASSES = (
     ("entropy_hex", re.compile(r"(?<![A-Za-z0-9])[0-9A-Fa-f]{20,}(?![A-Za-z0-9])"), 3.0, re.compile(r"(?=.*[0-9])(?=.*[A-Fa-f])", re.S)),
     ("entropy_base64", re.compile(r"[A-Za-z0-9+/_=-]{20,}"), 3.7, re.compile(r"(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z])", re.S)),
+    ("entropy_alnum", re.compile(r"(?<![A-Za-z0-9+/_=-])[a-z0-9]{20,}(?![A-Za-z0-9+/_=-])"), 3.7, re.compile(r"(?=.*[g-z])(?:.*?[0-9]){4}", re.S)),
 )
 #: Candidates that are never secrets: UUIDs, dates and paths, alphabets, one piece repeated, placeholders.
 ALLOW = (
@@ -77,17 +80,29 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
+class Covered:
+    """Spans, to ask whether one of them holds a stretch."""
+
+    def __init__(self, spans):
+        ordered = sorted((s, e) for _, s, e in spans)
+        self.starts, self.ends = [s for s, _ in ordered], list(accumulate((e for _, e in ordered), max))
+
+    def holds(self, lo: int, hi: int) -> bool:
+        at = bisect_right(self.starts, lo)
+        return at > 0 and self.ends[at - 1] >= hi
+
+
 def entropy_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     spans = []
     for kind, pattern, least, needs in CLASSES:
+        known, found = Covered(base + spans), []
         for m in pattern.finditer(text):
             word = m[0]
             if not needs.match(word) or ALLOW_PARTS.search(word) or any(a.fullmatch(word) for a in ALLOW):
                 continue
-            for lo, hi in high_windows(word, least):
-                lo, hi = lo + m.start(), hi + m.start()
-                if not any(s <= lo and hi <= e for _, s, e in base) and not any(s < hi and lo < e for _, s, e in spans):
-                    spans.append((kind, lo, hi))
+            stretches = ((lo + m.start(), hi + m.start()) for lo, hi in high_windows(word, least))
+            found += [(kind, lo, hi) for lo, hi in stretches if not known.holds(lo, hi)]
+        spans += found
     return spans
 
 
@@ -119,7 +134,8 @@ def masked(text: str, spans) -> str:
 def scanned(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256 (of the joined base spans), spans (all, joined).
 
-    Null and empty texts have no spans. Repeated rows give repeated rows; columns beside doc_id and text are not read."""
+    Null and empty texts have no spans. Texts of any length are scanned whole. Repeated rows give repeated rows, an empty
+    table gives none; rows with a null doc_id are scanned like any other; columns beside doc_id and text are not read."""
 
     def found(batches):
         for batch in slices(batches):

@@ -1,6 +1,6 @@
 """Token counts and ids: a map-side lookup in two tiers, without any shuffle of words.
 
-Tier one is a compact table of frequent words, built from a bounded sample and broadcast (at most TABLE words). Tier two
+Tier one is a compact table of frequent words, built from a bounded sample of all rows and broadcast (at most TABLE words). Tier two
 is a cache in each worker, bounded too; what is in neither is encoded by the library. Both tiers hold what the library
 gives for a word, so the sample decides the speed and never the result.
 
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from kinlink.llm.common import Bounded, kept, slices, small_batches
 
-TABLE, SAMPLE, CACHE, WORDS = 50_000, 500, 300_000, 150_000
+TABLE, SAMPLE, CACHE, WORDS = 50_000, 1000, 300_000, 150_000
 LIMIT = 2048
 
 
@@ -153,22 +153,24 @@ def packed_ids(data: bytes, path: str, code: str) -> bytes:
 
 
 def frequent(docs: DataFrame, path: str) -> dict[bytes, int]:
-    """The lengths of the most frequent words of a bounded sample: SAMPLE rows, TABLE words of at most 64 bytes. The
-    sample is counted on an executor; only the table comes to the driver."""
+    """The lengths of the most frequent words: TABLE words of at most 64 bytes, of some SAMPLE rows drawn from all of the
+    table (a share of each partition, so what is counted doesn't grow with their number). Each partition's sample is
+    counted where it is read; sums are added up in Spark, and only the table comes to the driver."""
     if not splits_at_space(path):
         return {}
+    rows = docs.count()
 
-    def top(batches):
+    def counted(batches):
         words: Counter = Counter()
         for batch in slices(batches):
             for text in batch.column(0).to_pylist():
-                words.update(text.split())
-        encode = chunk_encoder(path)
-        found = [(w, len(encode(w))) for w, _ in words.most_common(TABLE) if len(w) <= 64]
-        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], pa.binary()), pa.array([n for _, n in found], pa.int32())], ["word", "n"])
+                words.update(w for w in text.split() if len(w) <= 64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.binary()), pa.array(list(words.values()), pa.int64())], ["word", "times"])
 
-    texts = docs.select(F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")).limit(SAMPLE).coalesce(1)
-    return {bytes(r.word): r.n for r in texts.mapInArrow(top, "word binary, n int").collect()}
+    texts = docs.select(F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")).where(F.rand(7) < SAMPLE / max(1, rows))
+    top = texts.mapInArrow(counted, "word binary, times long").groupBy("word").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "word").limit(TABLE)
+    encode = chunk_encoder(path)
+    return {bytes(r.word): len(encode(bytes(r.word))) for r in top.collect()}
 
 
 def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -> DataFrame:

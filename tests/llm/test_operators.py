@@ -537,3 +537,170 @@ def test_quality(spark):
 def test_queries_and_sql_have_the_same_names():
     assert sorted(queries.queries(), key=lambda n: int(n[2:].split("_")[0])) == list(queries.queries())
     assert set(queries.oracle_sql()) <= set(queries.queries())
+
+
+def test_vectors_of_any_size(spark):
+    """Components whose squares leave the range of doubles, and ids with several vectors."""
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(40, 6))
+    rows = [(i * 10, [float(x) for x in v * 10.0 ** rng.choice([-200, -160, 0, 160, 200])]) for i, v in enumerate(base)]
+    many = [(7, [float(x) for x in base[0] * 3 + rng.normal(0, 0.01 * k, 6)]) for k in range(6)]
+    unit = {i: np.ldexp(v, -int(np.frexp(np.abs(v).max())[1])) for i, v in rows}
+
+    def far(q, c):
+        q, c = (np.ldexp(np.array(v), -int(np.frexp(np.abs(v).max())[1])) for v in (q, c))
+        return cosine(q, c)
+
+    frame = spark.createDataFrame(rows + many, "vec_id long, embedding array<double>")
+    got, want = rows_of(ann.nearest(frame)), slow_vectors(rows + many, far, False)
+    assert len(unit) == 40 and [g[:3] for g in got] == [w[:3] for w in want] and np.allclose([g[3] for g in got], [w[3] for w in want], atol=1e-12)
+    plain = [(i, [float(x) for x in v]) for i, v in zip(range(0, 400, 10), base)] + many
+    got = rows_of(mips.top_products(spark.createDataFrame(plain, "vec_id long, embedding array<double>")))
+    assert got == slow_vectors(plain, product, True) and len([g for g in got if g[0] == 0]) == 5
+
+
+def test_long_hosts_and_long_lists(spark):
+    """A host of 50,000 labels ends, and a filter beyond the inline size gives the same rows."""
+    import time
+
+    host = ".".join(["a"] * 50_000)
+    pages = spark.createDataFrame([(1, f"http://{host}.www.example.com/en/{'p' * 100_000}"), (2, f"http://{host}/es/"), (3, f"http://{host}.net/es/x")], "page_id long, url string")
+    began = time.time()
+    got = {r.page_id: (r.rule, r.verdict) for r in urls.judged(pages, urls.rule_table(spark)).collect()}
+    assert got == {1: ("www.example.com/en/", "allow"), 2: (None, "allow"), 3: ("net/es/", "block")} and time.time() - began < 20
+    more = [("block", f"host{i}.org", f"/p{'x' * (i % 7)}/") for i in range(3000)] + list(urls.RULES)
+    frame = spark.createDataFrame([(i, f"http://a.host{i * 7}.org/p{'x' * (i % 9)}/y") for i in range(500)], "page_id long, url string").unionByName(pages)
+    tables = [sorted(map(tuple, urls.judged(frame, urls.rule_table(spark, more), inline=n).collect()), key=str) for n in (1 << 15, 0)]
+    assert tables[0] == tables[1] and any(r[4] == "block" for r in tables[0])
+
+
+def test_secrets_in_a_long_text():
+    """5 MB with a secret every few words take seconds, and spans are those of the pieces."""
+    import time
+
+    rng = np.random.default_rng(6)
+    words = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 32)) for _ in range(50)]
+    piece = " ".join(f"some plain words and {w} then {'deadbeef' * 3}" for w in words) + "\n"
+    text = piece * (5_000_000 // len(piece))
+    began = time.time()
+    base, every = secrets.scan(text)
+    assert time.time() - began < 30
+    times = len(text) // len(piece)
+    one = secrets.scan(piece)
+    assert (len(base), len(every)) == (times * len(one[0]), times * len(one[1])) and len(one[1]) > len(one[0]) + 30
+
+
+def test_secrets_that_touch():
+    text = "9F86D081884C7D659A2FEAA0-aB3dE5gH7jK9mN1pQ3sT5 and x7k2m9q4w8r3t6y1u5z0p2"
+    spans = secrets.scan(text)[1]
+    assert [k for k, _, _ in spans] == ["entropy_hex", "entropy_base64", "entropy_alnum"]
+    assert secrets.masked(text, spans) == "[SECRET] and [SECRET]"
+
+
+def slow_entropy(text):
+    """All spans of the classes, by plain loops over characters."""
+    kept = [(s, e) for _, s, e in secrets.base_spans(text)]
+    out = []
+    chars = {"entropy_hex": "0123456789abcdefABCDEF", "entropy_alnum": "abcdefghijklmnopqrstuvwxyz0123456789"}
+    wide = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+    for kind, _, least, _ in secrets.CLASSES:
+        own, edge = chars.get(kind, wide), {"entropy_hex": wide[:62], "entropy_alnum": wide}.get(kind, "")
+        found, at = [], 0
+        while at < len(text):
+            end = at
+            while end < len(text) and text[end] in own:
+                end += 1
+            word = text[at:end]
+            clear = not (at and text[at - 1] in edge) and not (end < len(text) and text[end] in edge)
+            small, large, digits = (sum(map(f, word)) for f in (str.islower, str.isupper, str.isdigit))
+            fits = {"entropy_hex": digits and small + large, "entropy_base64": digits and small and large, "entropy_alnum": digits >= 4 and any(c > "f" for c in word)}[kind]
+            if len(word) >= 20 and clear and fits and not secrets.ALLOW_PARTS.search(word) and not any(a.fullmatch(word) for a in secrets.ALLOW):
+                high = set()
+                for i in range(at, end - 19):
+                    p = np.unique(list(text[i : i + 20]), return_counts=True)[1] / 20
+                    if -(p * np.log2(p)).sum() >= least - 1e-9:
+                        high |= set(range(i, i + 20))
+                runs = []
+                for x in sorted(high):
+                    if runs and runs[-1][1] == x:
+                        runs[-1][1] = x + 1
+                    else:
+                        runs.append([x, x + 1])
+                found += [(kind, lo, hi) for lo, hi in runs if not any(s <= lo and hi <= e for s, e in kept)]
+            at = max(end, at + 1)
+        out += found
+        kept += [(s, e) for _, s, e in found]
+    return out
+
+
+def test_secrets_against_plain_loops(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").limit(300).collect()
+    rng = np.random.default_rng(12)
+    made = ["".join(rng.choice(list("abcdefXYZ0123456789 -_="), 400, p=[0.045] * 22 + [0.01])) for _ in range(40)]
+    for text in [*(r.text or "" for r in rows), *made]:
+        base, every = secrets.scan(text)
+        assert sorted(every) == sorted(base + slow_entropy(text))
+
+
+def test_frequent_words_cover_the_table(spark):
+    """The broadcast table's sample is drawn from all partitions, and its size doesn't grow with their number."""
+    texts = spark.range(40_000).select(F.concat(F.lit("part"), (F.col("id") / 10_000).cast("int").cast("string")).alias("text"))
+    for n in (4, 40):
+        found = tokens.frequent(texts.repartitionByRange(n, "text"), tokens.default_path())
+        assert set(found) == {b"part0", b"part1", b"part2", b"part3"}
+
+
+def test_quality_gradient_and_grades(spark):
+    """Four graded ratings through graded(), and fit() against the likelihood it climbs."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for i in range(800):
+        level = i % 4
+        rows.append((i, " ".join(rng.choice(["good", "fine", "plain", "junk"], 30, p=np.roll([0.55, 0.25, 0.15, 0.05], level))), level))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 3 - g) for i, _, g in rows], "doc_id long, quality int")
+    got = quality.graded(docs, labels, cut=2).collect()
+    truth = {i: 3 - g for i, _, g in rows}
+    assert np.corrcoef([r.expected_grade for r in got], [truth[r.doc_id] for r in got])[0, 1] > 0.8
+    assert all(r.selected == (r.tail_prob >= 0.5) for r in got) and np.mean([r.selected == (truth[r.doc_id] >= 2) for r in got if r.held_out]) > 0.8
+    # by brute force: scores from the model's own weights, feature by feature, and the likelihood near the optimum
+    sample_rows = [quality.features(quality.hashed(t.encode())) for _, t, _ in rows]
+    grade = np.array([3 - g for _, _, g in rows])
+    model = quality.fit(sample_rows, grade)
+
+    def loss(weights, cuts):
+        total = 0.0
+        for (index, value), g in zip(sample_rows, grade):
+            z = sum(weights[i] * v for i, v in zip(index.tolist(), value.tolist()))
+            tail = [1.0, *(1 / (1 + math.exp(-(z - c))) for c in cuts), 0.0]
+            total -= math.log(max(tail[g] - tail[g + 1], 1e-9)) / len(rows)
+        return total
+
+    best = loss(model.weights, model.cuts)
+    assert best < loss(model.weights * 0, model.cuts) - 0.2
+    for i in np.argsort(-np.abs(model.weights))[:4]:
+        for step in (-3.0, 3.0):
+            moved = model.weights.copy()
+            moved[i] += step
+            assert loss(moved, model.cuts) > best
+    direct = {i: sum(model.weights[k] * v for k, v in zip(*(x.tolist() for x in f))) for (i, _, _), f in zip(rows, sample_rows)}
+    assert all(0 <= model.expected(z) <= 3 and (np.diff(model.tails(z)) <= 0).all() for z in direct.values())
+
+
+def test_toxicity_scores_by_plain_loops(spark):
+    """A score is the convolution, maximum and logistic layer, done word by word."""
+    folder = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    model = toxicity.train(docs, labels)
+    score = toxicity.scorer(model)
+    where = {int(h): i + 1 for i, h in enumerate(model.hashes)}
+    for r in docs.where("length(text) < 1500").limit(25).collect():
+        ids = [where.get(toxicity._word(w), 0) for w in (r.text or "").encode().split()]
+        ids = [0, 0, *ids, 0, 0]
+        z = model.offset
+        for k, width in enumerate(toxicity.WIDTHS):
+            for f in range(toxicity.FILTERS):
+                best = max(sum(float(model.embedding[ids[at + j]] @ model.filters[k][j][:, f]) for j in range(width)) for at in range(len(ids) - width + 1))
+                z += max(0.0, best + model.bias[k][f]) * model.weight[k * toxicity.FILTERS + f]
+        z = z * model.scale + model.shift
+        assert abs(score((r.text or "").encode()) - 1 / (1 + math.exp(-z))) < 1e-4
