@@ -257,7 +257,7 @@ def edges(placed: DataFrame, radius: int = RADIUS) -> DataFrame:
         i, j = linked(rows[4].astype(np.int64).view(np.uint64), int(rows[3][0]), radius)
         return pa.RecordBatch.from_arrays([pa.array(rows[5][i]), pa.array(rows[5][j])], ["u", "v"])
 
-    dealt = placed.repartition("leaf", "a", "b").sortWithinPartitions("leaf", "a", "b", "fp")
+    dealt = placed.repartitionByRange("leaf", "a", "b").sortWithinPartitions("leaf", "a", "b", "fp")  # even, as leaves are few
     return dealt.mapInArrow(found, "u long, v long")
 
 
