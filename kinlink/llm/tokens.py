@@ -19,10 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinlink.llm.common import Bounded, kept, slices, small_batches
+from kinlink.llm.common import kept, slices, small_batches
 
 TABLE, SAMPLE, CACHE, WORDS = 50_000, 1000, 300_000, 150_000
 LIMIT = 2048
+SIGNS = b".,;:!?"
 
 
 def default_path(name: str = "word_bpe_49k.json") -> str:
@@ -98,25 +99,48 @@ def letters_only(path: str):
     return ids
 
 
-@kept
-def chunk_encoder(path: str):
-    """bytes without white space -> list of ids. A word of letters with signs after it, by far the most frequent kind,
-    is put together from the word's and the signs' ids, each cached; all else goes through the whole library."""
-    encode, direct = library(path), letters_only(path)
-    if direct is None:
-        return encode
-    words, signs = Bounded(lambda w: array.array("I", direct(w)), WORDS), Bounded(lambda x: array.array("I", encode(x.encode())), 10_000)
-
-    def ids(chunk: bytes):
-        text = chunk.decode("utf-8", "replace")
-        word = text.rstrip(".,;:!?")
-        if word.isalpha() and max(word) < "\u0250":
-            low = word.lower()
-            if len(low) == len(word):
-                return words[low] + signs[text[len(word) :]] if len(word) < len(text) else words[low]
-        return encode(chunk)
-
-    return ids
+class Chunks(dict):
+    """What `make` says of the ids of chunks without white space; of up to CACHE short ones it is kept. A word of letters
+    with signs after it, by far the most frequent kind, is put together (+) from the word's and the signs' part, each kept
+    too; all else goes through the whole library. Words come by falling frequency, so what comes first comes often."""
+
+    def __init__(self, path: str, make):
+        self.encode, self.direct, self.make = library(path), letters_only(path), make
+        self.words, self.signs = {}, {}
+
+    def __missing__(self, chunk: bytes):
+        out = self.answer(chunk)
+        if len(self) < CACHE and len(chunk) <= 64:
+            self[chunk] = out
+        return out
+
+    def answer(self, chunk: bytes):
+        if self.direct:
+            word = chunk.rstrip(SIGNS)
+            low = word.lower() if word.isalpha() else self.lowered(word)  # of bytes, isalpha() knows ASCII letters only
+            if low:
+                out = self.words.get(low)
+                if out is None:
+                    out = self.make(self.direct(low.decode()))
+                    if len(self.words) < WORDS and len(low) <= 64:
+                        self.words[low] = out
+                if len(word) == len(chunk):
+                    return out
+                tail = chunk[len(word) :]
+                if tail not in self.signs and len(self.signs) < 10_000:
+                    self.signs[tail] = self.make(self.encode(tail))
+                return out + (self.signs.get(tail) or self.make(self.encode(tail)))
+        return self.make(self.encode(chunk))
+
+    @staticmethod
+    def lowered(word: bytes) -> bytes:
+        """A word of letters below U+0250 in lower case, else nothing."""
+        text = word.decode("utf-8", "replace")
+        if text.isalpha() and max(text) < "\u0250":
+            low = text.lower()
+            if len(low) == len(text):
+                return low.encode()
+        return b""
 
 
 def code_of(path: str) -> str:
@@ -127,15 +151,13 @@ def code_of(path: str) -> str:
 
 
 @kept
-def _lengths(path: str) -> Bounded:
-    encode = chunk_encoder(path)
-    return Bounded(lambda word: len(encode(word)), CACHE)
+def _lengths(path: str) -> Chunks:
+    return Chunks(path, len)
 
 
 @kept
-def _packed(path: str, code: str) -> Bounded:
-    encode = chunk_encoder(path)
-    return Bounded(lambda word: array.array(code, encode(word)).tobytes(), CACHE)
+def _packed(path: str, code: str) -> Chunks:
+    return Chunks(path, lambda ids: array.array(code, ids).tobytes())
 
 
 def count(data: bytes, path: str) -> int:
@@ -169,8 +191,8 @@ def frequent(docs: DataFrame, path: str) -> dict[bytes, int]:
 
     texts = docs.select(F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")).where(F.rand(7) < SAMPLE / max(1, rows))
     top = texts.mapInArrow(counted, "word binary, times long").groupBy("word").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "word").limit(TABLE)
-    encode = chunk_encoder(path)
-    return {bytes(r.word): len(encode(bytes(r.word))) for r in top.collect()}
+    length = Chunks(path, len)
+    return {bytes(r.word): length[bytes(r.word)] for r in top.collect()}
 
 
 def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -> DataFrame:

@@ -333,7 +333,7 @@ def test_tokens(spark, docs):
 def test_words_past_the_pre_tokenizer():
     path = tokens.default_path()
     assert tokens.letters_only(path) and not tokens.letters_only(tokens.default_path("byte_bpe_50k.json"))
-    encode, whole = tokens.chunk_encoder(path), tokens.library(path)
+    encode, whole = tokens.Chunks(path, list).answer, tokens.library(path)
     letters = [chr(c) for c in range(0x41, 0x250) if chr(c).isalpha()]
     rng = np.random.default_rng(4)
     odd = ["word.", "it's", "a,b", "x..!?", "\u0130x", "\u017fz", "don't.", "\u00aa\u00ba", "ab1", "'s", "..", "\u01c5a;", "\u0345a", "<|endoftext|>."]
