@@ -73,15 +73,20 @@ def pair_up(left: DataFrame, right: DataFrame, kept: DataFrame | None = None) ->
     return l.join(r, on).where("entity_id_l <> entity_id_r").select("entity_id_l", "entity_id_r").distinct()
 
 
+def within(shared: DataFrame, budget: int | None) -> None:
+    """Raises if the pairs projected from keys (n1, n2 rows on the sides) exceed the budget; none are made for it."""
+    if budget is not None:
+        projected = shared.agg(F.sum(F.col("n1") * F.col("n2"))).head()[0] or 0
+        if projected > budget:
+            raise BudgetExceeded(f"{projected} pairs projected; the budget is {budget}")
+
+
 def multipass(left: DataFrame, right: DataFrame, passes: list[K.Pass], only_left: DataFrame | None = None, budget: int | None = None) -> DataFrame:
     """Candidates of all passes: two normalised tables -> distinct pairs. Suppression looks at whole sides; only_left
     (entity_id) then restricts the left one. A budget is held against the projected pairs before any are made."""
     lk, rk = K.long_keys(left, passes), K.long_keys(right, passes)
     kept = kept_keys(lk, rk, passes)
-    if budget is not None:
-        projected = kept.agg(F.sum(F.col("n1") * F.col("n2"))).head()[0] or 0
-        if projected > budget:
-            raise BudgetExceeded(f"{projected} pairs projected; the budget is {budget}")
+    within(kept, budget)
     if only_left is not None:
         lk = lk.join(only_left.select("entity_id"), "entity_id", "left_semi")
     return pair_up(lk, rk, kept)
@@ -98,13 +103,16 @@ def rank_cap(keys: DataFrame, cap: int = RANK_CAP) -> DataFrame:
     return keys.withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= cap).drop("__n")
 
 
-def candidates(left: DataFrame, right: DataFrame, schemes: dict, cap: int | None = None, mode: str = "drop") -> DataFrame:
+def candidates(left: DataFrame, right: DataFrame, schemes: dict, cap: int | None = None, mode: str = "drop", budget: int | None = None) -> DataFrame:
     """Candidates by older schemes with one cap for each side: mode "drop" or "rank". Without a cap the named default of
-    the mode holds, for BUCKETS that of buckets."""
+    the mode holds, for BUCKETS that of buckets. A budget is held against the projected pairs of the capped keys."""
     if cap is None:
         cap = DROP_CAP if mode == "drop" else HEAD_CAP if schemes is BUCKETS else RANK_CAP
     held = {"drop": drop_cap, "rank": rank_cap}[mode]
-    return pair_up(held(K.long_keys(left, schemes), cap), held(K.long_keys(right, schemes), cap))
+    l, r = held(K.long_keys(left, schemes), cap), held(K.long_keys(right, schemes), cap)  # noqa: E741
+    if budget is not None:
+        within(shared_keys(l, r), budget)
+    return pair_up(l, r)
 
 
 THREE_KEYS = {"blk_a": K.positional, "blk_b1": lambda: K.phonetic_at(0), "blk_b2": lambda: K.phonetic_at(1)}
@@ -112,8 +120,9 @@ SIGNIFICANT = {"ct2f": K.significant_two}
 BUCKETS = {"sdx": K.soundex_bucket}
 
 
-def rare_overlap(left: DataFrame, right: DataFrame, share: float) -> DataFrame:
-    """Pairs of one country that share a name token which is rare on both sides: in at most `share` of each one's rows."""
+def rare_overlap(left: DataFrame, right: DataFrame, share: float, budget: int | None = None) -> DataFrame:
+    """Pairs of one country that share a name token which is rare on both sides: in at most `share` of each one's rows. A
+    budget is held against the projected pairs."""
     def side(df: DataFrame) -> tuple[DataFrame, DataFrame]:
         whole = df.count()
         t = df.select("entity_id", "country_norm", F.explode(F.array_distinct("name_tokens")).alias("token"))
@@ -124,7 +133,10 @@ def rare_overlap(left: DataFrame, right: DataFrame, share: float) -> DataFrame:
     frequent = lm.union(rm).distinct()
     l = lt.join(frequent, "token", "left_anti").select("token", "country_norm", F.col("entity_id").alias("entity_id_l"))  # noqa: E741
     r = rt.join(frequent, "token", "left_anti").select("token", "country_norm", F.col("entity_id").alias("entity_id_r"))
-    return l.join(r, ["token", "country_norm"]).select("entity_id_l", "entity_id_r").distinct()
+    on = ["token", "country_norm"]
+    if budget is not None:
+        within(l.groupBy(*on).agg(F.count(F.lit(1)).alias("n1")).join(r.groupBy(*on).agg(F.count(F.lit(1)).alias("n2")), on), budget)
+    return l.join(r, on).select("entity_id_l", "entity_id_r").distinct()
 
 
 def union_candidates(*pairs: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinlink.operators import keys as K
-from kinlink.operators.blocking import counts, kept_keys
+from kinlink.operators.blocking import BUCKETS, HEAD_CAP, counts, kept_keys, rank_cap
 
 IDS = ["entity_id_l", "entity_id_r"]
 
@@ -77,6 +77,33 @@ def pair_estimates(left: DataFrame, right: DataFrame, schemes: dict, caps=(300,
     )
 
 
+def capped_recall(left: DataFrame, right: DataFrame, truth: DataFrame, schemes: dict, caps=(50, 100, 300)) -> DataFrame:
+    """(pass, cap, pairs, hit, total, recall) of each scheme, and of all together as `any`, when keys with more than cap
+    rows on a side are dropped: projected pairs (for `any` the sum), and true pairs that share a key that stays. A true
+    pair counts from the smallest cap on that one of its keys passes, so no pairs but true ones are made."""
+    lk, rk = K.long_keys(left, schemes), K.long_keys(right, schemes)
+    sized = counts(lk, "n1").join(counts(rk, "n2"), ["pass", "key"]).withColumn("larger", F.greatest("n1", "n2"))
+    true = truth.select(*IDS).distinct()
+    l, r = (k.select("pass", "key", F.col("entity_id").alias(i)).distinct() for k, i in zip((lk, rk), IDS))  # noqa: E741
+    met = true.join(l, "entity_id_l").join(r, ["entity_id_r", "pass", "key"]).join(sized, ["pass", "key"])
+    least = met.groupBy("pass", *IDS).agg(F.min("larger").alias("larger"))
+    least = least.unionByName(least.groupBy(*IDS).agg(F.min("larger").alias("larger")).withColumn("pass", F.lit("any")))
+    at = [F.lit(c).cast("long") for c in caps]
+    hits = least.select("pass", F.explode(F.filter(F.array(*at), lambda c: F.col("larger") <= c)).alias("cap")).groupBy("pass", "cap").agg(F.count(F.lit(1)).alias("hit"))
+    kept = sized.select("pass", "n1", "n2", F.explode(F.filter(F.array(*at), lambda c: F.col("larger") <= c)).alias("cap"))
+    pairs = kept.groupBy("pass", "cap").agg(F.sum(F.col("n1") * F.col("n2")).alias("pairs"))
+    pairs = pairs.unionByName(pairs.groupBy("cap").agg(F.sum("pairs").alias("pairs")).withColumn("pass", F.lit("any")))
+    every = true.sparkSession.createDataFrame([(n, c) for n in (*schemes, "any") for c in caps], "pass string, cap long")
+    rows = every.join(pairs, ["pass", "cap"], "left").join(hits, ["pass", "cap"], "left").na.fill(0, ["pairs", "hit"])
+    return rows.withColumn("total", F.lit(true.count()).cast("long")).withColumn("recall", F.coalesce(F.try_divide("hit", "total"), F.lit(0.0)))
+
+
+def bucket_recall(left: DataFrame, right: DataFrame, truth: DataFrame, cap: int = HEAD_CAP) -> DataFrame:
+    """(hit, total, recall) of the true pairs whose ends are both among the first cap rows of one phonetic bucket."""
+    lk, rk = (rank_cap(K.long_keys(s, BUCKETS), cap) for s in (left, right))
+    return _recall(_hits(_true_hits(lk, rk, truth), truth))
+
+
 def candidate_stats(candidates: DataFrame, entities: DataFrame, n_right: int) -> DataFrame:
     """One row over all entities, those without candidates counted as 0: mean, median, p90 (the element at
     round((n - 1) * 0.9) of the sorted counts), max, entities without any, and the reduction ratio in full precision."""

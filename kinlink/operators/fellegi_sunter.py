@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinlink.functions.similarity import jaro, jaro_winkler
+from kinlink.operators.labels import random_pairs
 
 LEVELS = (0.95, 0.9, 0.7)
 COMPARISONS = ("name", "addr", "country")
@@ -66,8 +67,11 @@ def predict(graded: DataFrame, m: dict, u: dict, prior_: float, floor: float = 1
     return graded.withColumn("match_weight", weight).withColumn("match_probability", 1 / (1 + F.pow(F.lit(2.0), -F.col("match_weight"))))
 
 
-def link(left: DataFrame, right: DataFrame, pairs: DataFrame, truth: DataFrame, random_pairs: DataFrame) -> DataFrame:
-    """Estimate u on random pairs, m on the truth, and score the candidates."""
-    m = table(level_shares(gammas(truth.select("entity_id_l", "entity_id_r"), left, right)))
-    u = table(level_shares(gammas(random_pairs.select("entity_id_l", "entity_id_r"), left, right)))
-    return predict(gammas(pairs, left, right), m, u, prior(truth.count(), left.count(), right.count()))
+def link(left: DataFrame, right: DataFrame, pairs: DataFrame, truth: DataFrame, random: DataFrame | None = None, draws: int = 1_000_000) -> DataFrame:
+    """Estimate u on random pairs (drawn here, if none are given), m on the truth, the prior from both sides' sizes, and
+    score the candidates."""
+    true = truth.select("entity_id_l", "entity_id_r").distinct()
+    random = random_pairs(left, right, draws) if random is None else random
+    m = table(level_shares(gammas(true, left, right)))
+    u = table(level_shares(gammas(random.select("entity_id_l", "entity_id_r"), left, right)))
+    return predict(gammas(pairs, left, right), m, u, prior(true.count(), left.count(), right.count()))

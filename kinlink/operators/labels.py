@@ -38,6 +38,12 @@ def labelled(pairs: DataFrame, truth: DataFrame) -> DataFrame:
     return pairs.join(known, ["entity_id_l", "entity_id_r"], "left").withColumn("label", F.coalesce("__hit", F.lit(0))).drop("__hit")
 
 
+def balance(pairs: DataFrame, label: str = "label") -> DataFrame:
+    """(pairs, positive, rate) of labelled pairs."""
+    rows = pairs.agg(F.count(F.lit(1)).alias("pairs"), F.coalesce(F.sum(F.col(label).cast("long")), F.lit(0)).alias("positive"))
+    return rows.withColumn("rate", F.coalesce(F.try_divide("positive", "pairs"), F.lit(0.0)))
+
+
 def _unit(*columns: str, seed: int) -> Column:
     """A number in [0, 1) from MD5 of the columns and the seed; the same on every engine."""
     return F.conv(F.substring(F.md5(F.concat_ws("~", *columns, F.lit(str(seed)))), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
@@ -84,6 +90,18 @@ def matched_and_fill(df: DataFrame, matched: DataFrame, n: int, seed: int = 42)
     return hit.unionByName(sample_rows(rest, max(0, n - hit.count()), "entity_id", seed=seed))
 
 
+def random_pairs(left: DataFrame, right: DataFrame, n: int = 1_000_000, seed: int = 42) -> DataFrame:
+    """About n distinct pairs drawn from all, true ones too. Each id draws slots by MD5 until its side has n, and the
+    sides are joined by slot: nothing is crossed, and reruns and other engines give the same pairs."""
+    def slots(side: DataFrame, name: str) -> DataFrame:
+        ids = side.select(F.col("entity_id").alias(name)).distinct()
+        rounds = -(-n // max(1, ids.count()))
+        many = ids.select(name, F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("r"))
+        return many.select(name, (F.conv(F.substring(F.md5(F.concat_ws("~", name, F.col("r").cast("string"), F.lit(f"{seed}{name[-1]}"))), 1, 8), 16, 10).cast("long") % n).alias("slot"))
+
+    return slots(left, "entity_id_l").join(slots(right, "entity_id_r"), "slot").select("entity_id_l", "entity_id_r").distinct()
+
+
 def random_negatives(left: DataFrame, right: DataFrame, truth: DataFrame, per_positive: int = 3, seed: int = 42) -> DataFrame:
     """About per_positive pairs for each true one, both ends drawn by hash, none of them true. Each draw takes a slot of
     each side, so the join is one to one and nothing is crossed."""

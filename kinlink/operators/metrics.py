@@ -1,7 +1,7 @@
 """Metrics of decisions: macro F-beta by two definitions, sweeps, grids, pair metrics, AUC and log-loss.
 
-scored: (entity_id_l, entity_id_r, prob, label). All sweeps are one pass: a row is exploded over the thresholds it
-reaches, or met with the few rows of a grid, and summed per entity and threshold."""
+scored: (entity_id_l, entity_id_r, prob, label). A sweep is one aggregation: each entity's rows are counted at every
+threshold at once, and the means over entities are taken in a second."""
 
 from __future__ import annotations
 
@@ -43,14 +43,26 @@ def macro_f(scored: DataFrame, predicted: Column, mode: str = "gt_only", entitie
     return entity_f(counts.na.fill(0, ["gt", "pred", "tp"]), mode).agg(F.count(F.lit(1)).alias("entities"), F.avg("f").alias("macro_f"))
 
 
+def _f(gt: Column, pred: Column, tp: Column, mode: str) -> Column:
+    """The F of an entity as entity_f() has it; null for entities that the mode leaves out."""
+    empty = F.lit(0.0 if mode == "gt_only" else 1.0)
+    f = f_beta(F.when(pred == 0, empty).otherwise(F.try_divide(tp, pred)), F.when(gt == 0, empty).otherwise(F.try_divide(tp, gt)))
+    return F.when(gt > 0, f) if mode == "gt_only" else f
+
+
+def _reached(thresholds) -> list[Column]:
+    """For each threshold i: n<i> rows that reach it, t<i> true ones among them."""
+    hit = [(F.col("prob") >= float(t)) for t in thresholds]
+    return [x for i, h in enumerate(hit) for x in (F.sum(h.cast("long")).alias(f"n{i}"), F.sum((h & (F.col("label") == 1)).cast("long")).alias(f"t{i}"))]
+
+
 def sweep(scored: DataFrame, thresholds=GRID, mode: str = "gt_only") -> DataFrame:
-    """(threshold, macro_f) over all thresholds. Each entity's rows are met with the thresholds once, in the row."""
-    grid = F.array(*[F.lit(float(t)) for t in thresholds])
-    each = scored.groupBy("entity_id_l").agg(F.sum(F.col("label").cast("long")).alias("gt"), F.collect_list(F.struct("prob", "label")).alias("rows"))
-    each = each.select("entity_id_l", "gt", "rows", F.explode(grid).alias("threshold"))
-    hit = F.filter("rows", lambda x: x["prob"] >= F.col("threshold"))
-    counts = each.select("entity_id_l", "threshold", "gt", F.size(hit).cast("long").alias("pred"), F.size(F.filter(hit, lambda x: x["label"] == 1)).cast("long").alias("tp"))
-    return entity_f(counts, mode).groupBy("threshold").agg(F.avg("f").alias("macro_f"))
+    """(threshold, macro_f) over all thresholds: counts of each entity at each threshold in one aggregation, means in
+    another; no row is repeated."""
+    each = scored.groupBy("entity_id_l").agg(F.sum(F.col("label").cast("long")).alias("gt"), *_reached(thresholds))
+    means = each.agg(*[F.avg(_f(F.col("gt"), F.col(f"n{i}"), F.col(f"t{i}"), mode)).alias(f"f{i}") for i in range(len(thresholds))])
+    rows = F.array(*[F.struct(F.lit(float(t)).alias("threshold"), F.col(f"f{i}").alias("macro_f")) for i, t in enumerate(thresholds)])
+    return means.select(F.explode(rows).alias("r")).select("r.*").where("macro_f is not null")
 
 
 def best_threshold(swept: DataFrame) -> DataFrame:
@@ -60,22 +72,18 @@ def best_threshold(swept: DataFrame) -> DataFrame:
 
 def policy_grid(scored: DataFrame, singleton, keep, fallback) -> DataFrame:
     """(singleton, keep, fallback, macro_f) of the three-threshold policy with one best, for all combinations with
-    singleton < fallback < keep. An entity's best, its label, and its counts at each `keep` suffice for every one."""
-    best = scored.groupBy("entity_id_l").agg(F.sum(F.col("label").cast("long")).alias("gt"), F.max("prob").alias("best"), *[
-        x for i, t in enumerate(keep) for x in (F.sum((F.col("prob") >= t).cast("long")).alias(f"n{i}"), F.sum(((F.col("prob") >= t) & (F.col("label") == 1)).cast("long")).alias(f"t{i}"))
-    ])
-    one = scored.groupBy("entity_id_l").agg(F.min_by("label", F.struct((-F.col("prob")).alias("p"), "entity_id_r")).cast("long").alias("top"))
-    best = best.join(one, "entity_id_l")
-    combos = [(s, k, f, i) for s in singleton for i, k in enumerate(keep) for f in fallback if s < f < k]
-    entry = []
-    for s, k, f, i in combos:
-        none, many, only = F.col("best") < s, F.col("best") >= k, F.col("best") >= f
-        entry.append(F.struct(
-            F.lit(float(s)).alias("singleton"), F.lit(float(k)).alias("keep"), F.lit(float(f)).alias("fallback"),
-            F.when(none, 0).when(many, F.col(f"n{i}")).when(only, 1).otherwise(0).cast("long").alias("pred"), F.when(none, 0).when(many, F.col(f"t{i}")).when(only, F.col("top")).otherwise(0).cast("long").alias("tp"),
-        ))
-    rows = best.select("entity_id_l", "gt", F.explode(F.array(*entry)).alias("c")).select("entity_id_l", "gt", "c.*")
-    return entity_f(rows).groupBy("singleton", "keep", "fallback").agg(F.avg("f").alias("macro_f"))
+    singleton < fallback < keep. An entity's best, its label, and its counts at each `keep` suffice for every one. Below
+    the fallback nothing is kept, so the first cut changes no mean and only pairs (keep, fallback) are worked out."""
+    pairs = [(i, k, f) for i, k in enumerate(keep) for f in fallback if f < k]
+    top = F.min_by(F.struct("prob", "label"), F.struct((-F.col("prob")).alias("p"), "entity_id_r"))
+    best = scored.groupBy("entity_id_l").agg(F.sum(F.col("label").cast("long")).alias("gt"), top.alias("top"), *_reached(keep))
+    means = []
+    for n, (i, k, f) in enumerate(pairs):
+        many, only = F.col("top.prob") >= float(k), F.col("top.prob") >= float(f)
+        pred, tp = (F.when(many, F.col(c)).when(only, one).otherwise(0).cast("long") for c, one in ((f"n{i}", F.lit(1)), (f"t{i}", F.col("top.label"))))
+        means.append(F.avg(_f(F.col("gt"), pred, tp, "gt_only")).alias(f"m{n}"))
+    rows = [F.struct(F.lit(float(s)).alias("singleton"), F.lit(float(k)).alias("keep"), F.lit(float(f)).alias("fallback"), F.col(f"m{n}").alias("macro_f")) for n, (_, k, f) in enumerate(pairs) for s in singleton if s < f]
+    return best.agg(*means).select(F.explode(F.array(*rows)).alias("r")).select("r.*").where("macro_f is not null")
 
 
 def neighbourhood(policy: tuple[float, float, float], step: float = 0.05) -> tuple[tuple, tuple, tuple]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MATCHES = ("source1_entity_id", "matched_entity_ids")
@@ -12,14 +12,14 @@ CANDIDATES = ("source1_entity_id", "candidate_entity_ids")
 EXAMPLES = 5
 
 
-def finding(offenders: DataFrame, rule: str, severity: str = "error") -> DataFrame:
-    """Offenders (one column id) -> at most one row with their number and the first examples in order. The examples are
+def findings(offenders: DataFrame, severity: str = "error") -> DataFrame:
+    """Offenders (rule, id) -> a row for each rule with their number and the first examples in order. The examples are
     taken by a top-k of each partition, never from a list of all."""
-    ids = offenders.toDF("id").distinct()
-    few = ids.orderBy("id").limit(EXAMPLES).agg(F.array_sort(F.collect_list("id")).alias("examples"))
-    n = ids.agg(F.count(F.lit(1)).alias("count"))
-    both = n.select(F.lit(1).alias("k"), "count").join(few.select(F.lit(1).alias("k"), "examples"), "k")
-    return both.where(F.col("count") > 0).select(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), "count", "examples")
+    ids = offenders.distinct()
+    first = F.row_number().over(Window.partitionBy("rule").orderBy("id"))
+    few = ids.withColumn("n", first).where(F.col("n") <= EXAMPLES).groupBy("rule").agg(F.array_sort(F.collect_list("id")).alias("examples"))
+    n = ids.groupBy("rule").agg(F.count(F.lit(1)).alias("count"))
+    return n.join(few, "rule").select("rule", F.lit(severity).alias("severity"), "count", "examples")
 
 
 def _items(column: str) -> Column:
@@ -30,22 +30,19 @@ def check_lists(rows: DataFrame, column: str, required: DataFrame | None = None,
     """Rules on rows (source1_entity_id, column): an entity twice, an id twice in a list, an S1 id, a wrong prefix, an id
     not in known (entity_id), a required entity missing, an entity that isn't required."""
     lists = rows.select(F.trim("source1_entity_id").alias("id"), _items(column).alias("ids"))
-    bad = lambda test: lists.where(F.exists("ids", test)).select("id")
-    out = [
-        finding(lists.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id"), "duplicate_row"),
-        finding(lists.where(F.size(F.array_distinct("ids")) < F.size("ids")).select("id"), "duplicate_id"),
-        finding(bad(lambda x: x.startswith("S1-")), "self_match"),
-        finding(bad(lambda x: ~x.startswith("S1-") & ~x.startswith("S2-") & ~x.startswith("S3-")), "bad_prefix"),
-    ]
-    if known is not None:
-        out.append(finding(lists.select(F.explode("ids").alias("entity_id")).distinct().join(known.select("entity_id").distinct(), "entity_id", "left_anti"), "unknown_id"))
+    bad = lambda x: ~x.startswith("S1-") & ~x.startswith("S2-") & ~x.startswith("S3-")
+    own = {"duplicate_id": F.size(F.array_distinct("ids")) < F.size("ids"), "self_match": F.exists("ids", lambda x: x.startswith("S1-")), "bad_prefix": F.exists("ids", bad)}
+    seen, of_all = lists.groupBy("id").agg(F.count(F.lit(1)).alias("n")), {"duplicate_row": F.col("n") > 1}
     if required is not None:
-        need, have = required.select(F.col("entity_id").alias("id")).distinct(), lists.select("id").distinct()
-        out += [finding(need.join(have, "id", "left_anti"), "missing_entity"), finding(have.join(need, "id", "left_anti"), "unexpected_entity")]
-    whole = out[0]
-    for f in out[1:]:
-        whole = whole.unionByName(f)
-    return whole
+        need = required.select(F.col("entity_id").alias("id")).distinct().withColumn("need", F.lit(1))
+        seen = seen.join(need, "id", "full")
+        of_all |= {"missing_entity": F.col("n").isNull(), "unexpected_entity": F.col("need").isNull()}
+    broken = lambda rules: F.explode(F.array_compact(F.array(*[F.when(test, name) for name, test in rules.items()]))).alias("rule")
+    offenders = lists.select(broken(own), "id").unionByName(seen.select(broken(of_all), "id"))
+    if known is not None:
+        ids = lists.select(F.explode("ids").alias("id")).distinct()
+        offenders = offenders.unionByName(ids.join(known.select(F.col("entity_id").alias("id")).distinct(), "id", "left_anti").withColumn("rule", F.lit("unknown_id")))
+    return findings(offenders)
 
 
 def check_subset(matches: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -53,7 +50,7 @@ def check_subset(matches: DataFrame, candidates: DataFrame) -> DataFrame:
     m = matches.select(F.trim("source1_entity_id").alias("id"), _items(MATCHES[1]).alias("m"))
     c = candidates.select(F.trim("source1_entity_id").alias("id"), _items(CANDIDATES[1]).alias("c"))
     outside = m.join(c, "id", "left").where(F.size(F.array_except("m", F.coalesce("c", F.array().cast("array<string>")))) > 0)
-    return finding(outside.select("id"), "match_outside_candidates", "warning")
+    return findings(outside.select(F.lit("match_outside_candidates").alias("rule"), "id"), "warning")
 
 
 def counts(rows: DataFrame, column: str) -> DataFrame:
@@ -84,8 +81,9 @@ def _lines(spark: SparkSession, path: str, header: tuple[str, ...], report: Repo
         report.errors.append(f"{path}: empty")
         return None
     first = head[0]
-    if "�" in first:
-        report.errors.append(f"{path}: not UTF-8")
+    broken = lines.where(~F.is_valid_utf8("value")).count()
+    if broken:
+        report.errors.append(f"{path}: not UTF-8 ({broken} lines)")
         return None
     if "\t" not in first and "," in first:
         report.errors.append(f"{path}: separated by commas, not tabs")
@@ -102,9 +100,15 @@ def _lines(spark: SparkSession, path: str, header: tuple[str, ...], report: Repo
 
 
 def validate(spark: SparkSession, matching: str, candidate: str, required: DataFrame | None = None, known: DataFrame | None = None) -> Report:
-    """Both files against all rules; known switches the check of ids on."""
+    """Both files against all rules; known switches the check of ids on. Without a candidate file only a warning says so."""
+    from kinlink.sources.io import exists
+
     report, tables = Report(), {}
     for path, header in ((matching, MATCHES), (candidate, CANDIDATES)):
+        if header is CANDIDATES and not exists(spark, path):
+            report.warnings.append(f"{path}: missing, not checked")
+            tables[header] = None
+            continue
         rows = tables[header] = _lines(spark, path, header, report)
         if rows is not None:
             for f in check_lists(rows, header[1], required, known).collect():

@@ -14,13 +14,28 @@ def record_text(norm: DataFrame) -> DataFrame:
 
 
 def hashed_ngrams(texts: DataFrame, size: int = 256, n: int = 3) -> DataFrame:
-    """(entity_id, embedding): counts of character n-grams hashed to `size` places, of length 1. The default encoder; any
+    """(entity_id, embedding): counts of character n-grams hashed by MD5 to `size` places, of length 1. The default encoder; any
     table (entity_id, embedding) of a trained one can stand in for it. A text without n-grams gives zeros."""
     padded = F.concat(F.lit(" "), F.trim("text"), F.lit(" "))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - n + 1, F.lit(1))), lambda i: F.pmod(F.xxhash64(F.substr(padded, i, F.lit(n))), F.lit(size)))
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - n + 1, F.lit(1))), lambda i: (F.conv(F.substring(F.md5(F.substr(padded, i, F.lit(n))), 1, 8), 16, 10).cast("long") % size))
     each = texts.select("entity_id", F.explode(grams).alias("slot")).groupBy("entity_id", "slot").agg(F.count(F.lit(1)).cast("double").alias("n"))
     dense = each.groupBy("entity_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("slot").cast("int"), "n"))).alias("m"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("len"))
-    return dense.select("entity_id", F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: (F.coalesce(F.element_at("m", i), F.lit(0.0)) / F.col("len")).cast("float")).alias("embedding"))
+    return dense.select("entity_id", F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: (F.coalesce(F.element_at("m", i), F.lit(0.0)) / F.col("len"))).alias("embedding"))
+
+
+def encoded(texts: DataFrame, encode, size: int) -> DataFrame:
+    """(entity_id, embedding) by any encoder: a function from a list of texts to as many rows of `size` numbers, called
+    on Arrow batches in the workers. Vectors are scaled to length 1; null texts are empty."""
+    import numpy as np
+    import pandas as pd
+
+    def vectors(text: pd.Series) -> pd.Series:
+        found = np.asarray(encode(text.fillna("").tolist()), np.float64).reshape(len(text), size)
+        length = np.linalg.norm(found, axis=1, keepdims=True)
+        return pd.Series((found / np.where(length > 0, length, 1)).tolist())
+
+    vectors.__annotations__ = {"text": pd.Series, "return": pd.Series}
+    return texts.select("entity_id", F.pandas_udf(vectors, "array<double>")("text").alias("embedding"))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -34,7 +49,7 @@ def normalised(v: Column) -> Column:
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
-    w = Window.partitionBy("entity_id_l").orderBy(F.desc("cosine"), "entity_id_r")
+    w = Window.partitionBy("entity_id_l").orderBy(F.desc(F.round("cosine", 9)), "entity_id_r")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
@@ -59,7 +74,7 @@ def knn_exact(left: DataFrame, right: DataFrame, k: int = 50, block: int = 2048)
         x, y = np.array(a.v_l.tolist()), np.array(b.v_r.tolist())
         c = x @ y.T
         c[a.entity_id_l.to_numpy()[:, None] == b.entity_id_r.to_numpy()[None, :]] = -np.inf
-        top = np.argsort(-np.round(c, 12), axis=1, kind="stable")[:, :k]
+        top = np.argsort(-np.round(c, 9), axis=1, kind="stable")[:, :k]
         out = pd.DataFrame({"entity_id_l": np.repeat(a.entity_id_l.to_numpy(), top.shape[1]), "entity_id_r": b.entity_id_r.to_numpy()[top].ravel(), "cosine": np.take_along_axis(c, top, 1).ravel()})
         return out[out.cosine > -np.inf]
 

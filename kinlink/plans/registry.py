@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from kinlink.functions import similarity, text
 from kinlink.operators import assemble, blocking, diagnostics, features, keys, labels, metrics, policy, sizing, validate, vectors
 from kinlink.operators import fellegi_sunter as fs
+from kinlink.plans import inference
 from kinlink.plans import oracles as O
 from kinlink.plans import views as V
+from kinlink.sources import io
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -147,19 +149,19 @@ def _capped(mode, cap, sql):
     return f"WITH {O.NORM}, {O.keys_cte(sql)}, hl AS ({held.format(s='kl', c=cap)}), hr AS ({held.format(s='kr', c=cap)}) SELECT DISTINCT hl.entity_id AS entity_id_l, hr.entity_id AS entity_id_r FROM hl JOIN hr USING (pass, key)"
 
 
-@query("candidates_dropcap", _capped("drop", 100, {k: O.SCHEME_SQL[k] for k in ("blk_a", "blk_b1", "blk_b2")}))
+@query("candidates_dropcap", _capped("drop", blocking.DROP_CAP, {k: O.SCHEME_SQL[k] for k in ("blk_a", "blk_b1", "blk_b2")}))
 def candidates_dropcap(spark, d):
-    return blocking.candidates(*V.sides(spark, d), blocking.THREE_KEYS, 100, "drop")
+    return blocking.candidates(*V.sides(spark, d), blocking.THREE_KEYS, mode="drop", budget=keys.MAX_TOTAL_PAIRS)
 
 
-@query("candidates_rankcap", _capped("rank", 20, {"ct2f": O.SCHEME_SQL["sig"]}))
+@query("candidates_rankcap", _capped("rank", blocking.RANK_CAP, {"ct2f": O.SCHEME_SQL["sig"]}))
 def candidates_rankcap(spark, d):
-    return blocking.candidates(*V.sides(spark, d), blocking.SIGNIFICANT, 20, "rank")
+    return blocking.candidates(*V.sides(spark, d), blocking.SIGNIFICANT, mode="rank", budget=keys.MAX_TOTAL_PAIRS)
 
 
-@query("candidates_headcap", _capped("rank", 10, {"sdx": O.SCHEME_SQL["bucket"]}))
+@query("candidates_headcap", _capped("rank", blocking.HEAD_CAP, {"sdx": O.SCHEME_SQL["bucket"]}))
 def candidates_headcap(spark, d):
-    return blocking.candidates(*V.sides(spark, d), blocking.BUCKETS, 10, "rank")
+    return blocking.candidates(*V.sides(spark, d), blocking.BUCKETS, mode="rank", budget=keys.MAX_TOTAL_PAIRS)
 
 
 @query("rare_overlap", f"""WITH {O.NORM}, t AS (SELECT DISTINCT entity_id, country_norm, t FROM norm, unnest(name_tokens) a(t)), l AS (SELECT * FROM t WHERE entity_id LIKE 'S1-%'), r AS (SELECT * FROM t WHERE entity_id NOT LIKE 'S1-%'),
@@ -196,6 +198,7 @@ def _sizing(name, sql):
 for _n in (4, 5, 6):
     _sizing(f"prefix{_n}", f"substr(l.name_norm, 1, {_n}) = substr(r.name_norm, 1, {_n})")
 _sizing("first_token", "regexp_extract(l.name_norm, '[^ ]+', 0) = regexp_extract(r.name_norm, '[^ ]+', 0)")
+_sizing("sdx1", f"{O.soundex('l.name_tokens[1]')} = {O.soundex('r.name_tokens[1]')}")
 _sizing("sorted_two", "list_sort(l.name_tokens[1:2]) = list_sort(r.name_tokens[1:2])")
 
 
@@ -204,6 +207,24 @@ def rule_pairs_prefix4(spark, d):
     return sizing.rule_pairs(*V.sides(spark, d), "prefix4")
 
 
+_TOKEN_PAIRS = "SELECT DISTINCT l.entity_id AS entity_id_l, r.entity_id AS entity_id_r FROM t l JOIN t r ON l.t = r.t AND l.entity_id LIKE 'S1-%' AND r.entity_id NOT LIKE 'S1-%'"
+
+
+@query("rule_pairs_tokens", f"WITH {O.NORM}, t AS (SELECT entity_id, unnest(name_tokens) AS t FROM norm) {_TOKEN_PAIRS}")
+def rule_pairs_tokens(spark, d):
+    return sizing.rule_pairs(*V.sides(spark, d), "tokens", budget=keys.MAX_TOTAL_PAIRS)
+
+
+@query("rules_measured", f"WITH {O.NORM}, l AS (SELECT *, {O.soundex('name_tokens[1]')} AS sdx1 FROM norm WHERE entity_id LIKE 'S1-%'), r AS (SELECT *, {O.soundex('name_tokens[1]')} AS sdx1 FROM norm WHERE entity_id NOT LIKE 'S1-%'), n AS (" + " UNION ALL ".join([
+    *[f"SELECT '{n}' AS rule, CAST(count(*) AS BIGINT) AS pairs FROM l JOIN r ON {c}" for n, c in sizing.RULES.items() if n.startswith(("prefix", "sdx1"))],
+    "SELECT 'first_token', CAST(count(*) AS BIGINT) FROM l JOIN r ON l.country_norm = r.country_norm AND regexp_extract(l.name_norm, '[^ ]+', 0) = regexp_extract(r.name_norm, '[^ ]+', 0)",
+    "SELECT 'sorted_two', CAST(count(*) AS BIGINT) FROM l JOIN r ON l.country_norm = r.country_norm AND list_sort(l.name_tokens[1:2]) = list_sort(r.name_tokens[1:2])",
+    "SELECT 'tokens', CAST(count(*) AS BIGINT) FROM (SELECT unnest(name_tokens) AS t FROM l) a JOIN (SELECT unnest(name_tokens) AS t FROM r) b ON a.t = b.t",
+]) + ") SELECT rule, pairs, pairs <= 60000 AS kept FROM n")
+def rules_measured(spark, d):
+    return sizing.measured(*V.sides(spark, d), most=60_000)
+
+
 @query("token_overlap_count", f"WITH {O.NORM}, t AS (SELECT entity_id, unnest(name_tokens) AS t FROM norm) SELECT CAST(count(*) AS BIGINT) AS pairs FROM t l JOIN t r ON l.t = r.t AND l.entity_id LIKE 'S1-%' AND r.entity_id NOT LIKE 'S1-%'")
 def token_overlap_count(spark, d):
     return sizing.token_overlap(*V.sides(spark, d))
@@ -261,6 +282,31 @@ def recall_ci(spark, d):
     return diagnostics.recall_with_interval(*V.sides(spark, d), V.truth(spark, d), keys.DIAGNOSTIC)
 
 
+_CAPS = (50, 100, 300)
+
+
+@query("capped_recall", f"""WITH {O.NORM}, {O.keys_cte({'ct2f': O.SCHEME_SQL['small2'], 'pairf': O.SCHEME_SQL['pairf'], 'sdx0': O.SCHEME_SQL['sdx0'], 'ak': O.SCHEME_SQL['ends']})}, {O.TRUTH}, {O.COUNTS},
+c(cap) AS (VALUES {', '.join(f'({c}::BIGINT)' for c in _CAPS)}), s AS (SELECT pass, key, n1, n2, cap FROM cl JOIN cr USING (pass, key), c WHERE n1 <= cap AND n2 <= cap),
+p AS (SELECT pass, cap, sum(n1 * n2) AS pairs FROM s GROUP BY ALL), pp AS (SELECT * FROM p UNION ALL SELECT 'any', cap, sum(pairs) FROM p GROUP BY cap),
+h AS (SELECT DISTINCT s.pass, s.cap, t.entity_id_l, t.entity_id_r FROM truth t JOIN kl ON kl.entity_id = t.entity_id_l JOIN kr ON kr.entity_id = t.entity_id_r AND kr.pass = kl.pass AND kr.key = kl.key JOIN s ON s.pass = kl.pass AND s.key = kl.key),
+hh AS (SELECT pass, cap, count(*) AS hit FROM h GROUP BY ALL UNION ALL SELECT 'any', cap, count(DISTINCT (entity_id_l, entity_id_r)) FROM h GROUP BY cap), every AS (SELECT pass, cap FROM (VALUES ('ct2f'), ('pairf'), ('sdx0'), ('ak'), ('any')) x(pass), c)
+SELECT every.pass, every.cap, CAST(coalesce(pairs, 0) AS BIGINT) AS pairs, CAST(coalesce(hit, 0) AS BIGINT) AS hit, (SELECT count(*) FROM truth)::BIGINT AS total, round(coalesce(hit, 0) / (SELECT count(*) FROM truth)::DOUBLE, 6) AS recall FROM every LEFT JOIN pp ON pp.pass = every.pass AND pp.cap = every.cap LEFT JOIN hh ON hh.pass = every.pass AND hh.cap = every.cap""")
+def capped_recall(spark, d):
+    return six(diagnostics.capped_recall(*V.sides(spark, d), V.truth(spark, d), keys.DIAGNOSTIC, _CAPS), "recall")
+
+
+@query("bucket_recall", f"{_capped('rank', blocking.HEAD_CAP, {'sdx': O.SCHEME_SQL['bucket']}).replace('WITH ', f'WITH {O.TRUTH}, ', 1).replace('SELECT DISTINCT hl', ', c AS (SELECT DISTINCT hl')}), h AS (SELECT t.*, c.entity_id_l IS NOT NULL AS hit FROM truth t LEFT JOIN c ON c.entity_id_l = t.entity_id_l AND c.entity_id_r = t.entity_id_r) SELECT CAST(count(*) FILTER (hit) AS BIGINT) AS hit, CAST(count(*) AS BIGINT) AS total, round(count(*) FILTER (hit) / CAST(count(*) AS DOUBLE), 6) AS recall FROM h")
+def bucket_recall(spark, d):
+    return six(diagnostics.bucket_recall(*V.sides(spark, d), V.truth(spark, d)), "recall")
+
+
+@query("keys_without_frequent", f"WITH {O.NORM.replace('norm AS (', 'norm0 AS (')}, df AS (SELECT t FROM (SELECT DISTINCT entity_id, t FROM norm0, unnest(name_tokens) a(t)) GROUP BY t HAVING count(*) > 0.15 * (SELECT count(*) FROM norm0)), norm AS (SELECT entity_id, name_norm, list_filter(name_tokens, lambda t: NOT list_contains(gone, t)) AS name_tokens, addr_norm, country_norm FROM norm0, (SELECT coalesce(list(t), []) AS gone FROM df)), {O.keys_cte({'ct2f': O.SCHEME_SQL['small2'], 'pairf': O.SCHEME_SQL['pairf'], 'sdx0': O.SCHEME_SQL['sdx0'], 'ak': O.SCHEME_SQL['ends']})} SELECT entity_id, pass, key FROM k")
+def keys_without_frequent(spark, d):
+    n = V.norm(spark, d)
+    frequent = token_df(spark, d).where(F.col("df") > 0.15 * n.count()).select("token")
+    return keys.long_keys(keys.without_tokens(n, frequent), keys.DIAGNOSTIC)
+
+
 @query("sample_negatives", f"{O.multipass()}, {O.TRUTH} SELECT c.entity_id_l, c.entity_id_r, CAST(t.entity_id_l IS NOT NULL AS INTEGER) AS label FROM cand c LEFT JOIN truth t ON t.entity_id_l = c.entity_id_l AND t.entity_id_r = c.entity_id_r WHERE t.entity_id_l IS NOT NULL OR CAST(('0x' || substr(md5(c.entity_id_l || '~' || c.entity_id_r || '~42'), 1, 8)) AS BIGINT) % 10 = 0")
 def sample_negatives(spark, d):
     return labels.keep_negatives(labels.labelled(_candidates(spark, d), V.truth(spark, d)), 10).select(*IDS, "label")
@@ -328,15 +374,10 @@ def pair_features_jaro(spark, d):
     return six(out, *features.JARO)
 
 
-BEST = ["ct2", "postal_ctry", "house_ctry"]
-
-
-@query("best_match", f"""WITH {O.NORM}, {O.keys_cte({n: O.PASS_SQL[n] for n in BEST})}, {O.COUNTS}, {O.limit_cte()}, {O.KEPT}, {O.CAND}, side AS (SELECT * FROM norm), s AS (SELECT c.entity_id_l, c.entity_id_r, {_jac('name_tokens')} AS prob FROM {_MET})
+@query("best_match", f"""{O.multipass()}, side AS (SELECT * FROM norm), s AS (SELECT c.entity_id_l, c.entity_id_r, {_jac('name_tokens')} AS prob FROM {_MET})
 SELECT entity_id_l, entity_id_r, prob FROM s QUALIFY row_number() OVER (PARTITION BY entity_id_l ORDER BY prob DESC, entity_id_r) = 1""")
 def best_match(spark, d):
-    l, r = V.sides(spark, d)
-    pairs = blocking.multipass(l, r, keys.passes(BEST))
-    scored = six(features.native_features(pairs, l, r).withColumnRenamed("tok_jaccard", "prob"), "prob")
+    scored = six(features.native_features(_candidates(spark, d), *V.sides(spark, d)).withColumnRenamed("tok_jaccard", "prob"), "prob")
     return policy.top1(scored.select(*IDS, "prob"))
 
 
@@ -514,9 +555,42 @@ def fs_m(spark, d):
     return six(fs.level_shares(fs.gammas(V.truth(spark, d), *V.sides(spark, d))), "share")
 
 
-@query("fs_u", f"{O.multipass()}, side AS (SELECT * FROM norm), {_G} {_shares('g')}")
+_DRAWS = 20_000
+
+
+def _slots(side: str, test: str) -> str:
+    ids = f"(SELECT DISTINCT entity_id FROM norm WHERE {test})"
+    return f"SELECT entity_id, CAST(('0x' || substr(md5(entity_id || '~' || r || '~42{side}'), 1, 8)) AS BIGINT) % {_DRAWS} AS slot FROM {ids}, range(1, CAST(ceil({_DRAWS} / (SELECT count(*) FROM {ids})::DOUBLE) AS BIGINT) + 1) x(r)"
+
+
+_RANDOM = f"""rl AS ({_slots('l', "entity_id LIKE 'S1-%'")}), rr AS ({_slots('r', "entity_id NOT LIKE 'S1-%'")}), drawn AS (SELECT DISTINCT rl.entity_id AS entity_id_l, rr.entity_id AS entity_id_r FROM rl JOIN rr USING (slot))"""
+
+
+@query("random_pairs", f"WITH {O.NORM}, {_RANDOM} SELECT * FROM drawn")
+def random_pairs(spark, d):
+    return labels.random_pairs(*V.sides(spark, d), _DRAWS)
+
+
+@query("fs_u", f"WITH {O.NORM}, {_RANDOM}, cand AS (SELECT * FROM drawn), side AS (SELECT * FROM norm), {_G} {_shares('g')}")
 def fs_u(spark, d):
-    return six(fs.level_shares(fs_gamma(spark, d)), "share")
+    return six(fs.level_shares(fs.gammas(random_pairs(spark, d), *V.sides(spark, d))), "share")
+
+
+def _levels(name: str, pairs: str) -> str:
+    """The shares of the levels over some pairs, as a table of its own."""
+    g = _G.replace("g AS (", f"{name}_g AS (", 1).replace("cand c", f"{pairs} c")
+    shares = _shares(f"{name}_g").replace(", 6) AS share", ", 12) AS share")
+    return f"{g}, {name} AS ({shares})"
+
+
+@query("fs_link", f"""{O.multipass()}, {O.TRUTH}, {_RANDOM}, side AS (SELECT * FROM norm), {_G}, {_levels('m', 'truth')}, {_levels('u', 'drawn')},
+prior AS (SELECT (SELECT count(*) FROM truth) / ((SELECT count(*) FROM norm WHERE entity_id LIKE 'S1-%') * (SELECT count(*) FROM norm WHERE entity_id NOT LIKE 'S1-%'))::DOUBLE AS p),
+lv AS (SELECT comparison, level, log2(greatest(coalesce(m.share, 0), 1e-6) / greatest(coalesce(u.share, 0), 1e-6)) AS w FROM m FULL JOIN u USING (comparison, level)),
+w AS (SELECT entity_id_l, entity_id_r, (SELECT log2(p / (1 - p)) FROM prior) + {' + '.join(f"coalesce({c}.w, 0)" for c in fs.COMPARISONS)} AS w FROM g {' '.join(f"LEFT JOIN lv {c} ON {c}.comparison = '{c}' AND {c}.level = gamma_{c}" for c in fs.COMPARISONS)})
+SELECT entity_id_l, entity_id_r, round(w, 5) AS match_weight, round(1 / (1 + pow(2.0::DOUBLE, -w)), 5) AS match_probability FROM w""")
+def fs_link(spark, d):
+    out = fs.link(*V.sides(spark, d), _candidates(spark, d), V.truth(spark, d), draws=_DRAWS)
+    return out.select(*IDS, F.round("match_weight", 5).alias("match_weight"), F.round("match_probability", 5).alias("match_probability"))
 
 
 _M = {"name": {0: 0.05, 1: 0.1, 2: 0.15, 3: 0.2, 4: 0.5}, "addr": {0: 0.3, 1: 0.2, 2: 0.2, 3: 0.1, 4: 0.2}, "country": {0: 0.1, 1: 0.9}}
@@ -536,23 +610,38 @@ def fs_predict(spark, d):
 # Vectors
 
 def _vectors(spark, d):
+    """Queries: every row whose id is divisible by 20; candidates: the whole table."""
     v = V.table(spark, d, "embeddings").select(F.concat(F.lit("V"), F.col("vec_id").cast("string")).alias("entity_id"), "vec_id", "embedding")
-    return v.where("vec_id % 5 = 0").drop("vec_id"), v.where("vec_id % 5 <> 0").drop("vec_id")
+    return v.where("vec_id % 20 = 0").drop("vec_id"), v.drop("vec_id")
 
 
-_COS = "round(list_cosine_similarity(list_transform(a.embedding, lambda x: x::DOUBLE), list_transform(b.embedding, lambda x: x::DOUBLE)), 6)"
+def _nearest(k: int) -> str:
+    cosine = "list_cosine_similarity(list_transform(a.embedding, lambda x: x::DOUBLE), list_transform(b.embedding, lambda x: x::DOUBLE))"
+    return f"""WITH s AS (SELECT 'V' || a.vec_id AS entity_id_l, 'V' || b.vec_id AS entity_id_r, {cosine} AS c FROM embeddings a JOIN embeddings b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY entity_id_l ORDER BY round(c, 9) DESC, entity_id_r) AS k FROM s) SELECT entity_id_l, entity_id_r, CAST(k AS INTEGER) AS "rank", round(c, 6) AS cosine FROM r WHERE k <= {k}"""
 
 
-@query("knn_exact_top50", f"WITH s AS (SELECT 'V' || a.vec_id AS entity_id_l, 'V' || b.vec_id AS entity_id_r, {_COS} AS cosine, list_cosine_similarity(list_transform(a.embedding, lambda x: x::DOUBLE), list_transform(b.embedding, lambda x: x::DOUBLE)) AS c FROM embeddings a JOIN embeddings b ON a.vec_id % 5 = 0 AND b.vec_id % 5 <> 0), r AS (SELECT *, row_number() OVER (PARTITION BY entity_id_l ORDER BY c DESC, entity_id_r) AS k FROM s) SELECT entity_id_l, entity_id_r, CAST(k AS INTEGER) AS \"rank\", cosine FROM r WHERE k <= 50")
+@query("knn_exact_top50", _nearest(50))
 def knn_exact_top50(spark, d):
     return six(vectors.knn_exact(*_vectors(spark, d), k=50), "cosine").select(*IDS, F.col("rank").cast("int").alias("rank"), "cosine")
 
 
-@query("knn_cells_top10")
+@query("knn_cells_top10", _nearest(10))
 def knn_cells_top10(spark, d):
-    v = V.table(spark, d, "embeddings").select(F.concat(F.lit("V"), F.col("vec_id").cast("string")).alias("entity_id"), "vec_id", "embedding")
-    l, r = v.where("vec_id % 5 = 0").drop("vec_id"), v.drop("vec_id")
-    return six(vectors.knn_cells(l, r, vectors.cells(r, 16), 8, 10), "cosine").select(*IDS, "rank", "cosine")
+    l, r = _vectors(spark, d)
+    return six(vectors.knn_cells(l, r, vectors.cells(r, 16), 8, 10), "cosine").select(*IDS, F.col("rank").cast("int").alias("rank"), "cosine")
+
+
+@query("vector_table", _nearest(10))
+def vector_table(spark, d):
+    """The same neighbours from vectors written in two tables and read again."""
+    l, r = _vectors(spark, d)
+    folder = io.scratch(spark)
+    part = F.pmod(F.crc32("entity_id"), F.lit(2))
+    for i in range(2):
+        io.write_vectors(r.where(part == i), f"{folder}/{i}")
+    again = io.read_vectors(spark, f"{folder}/0", f"{folder}/1")
+    return six(vectors.knn_exact(l, again, k=10), "cosine").select(*IDS, F.col("rank").cast("int").alias("rank"), "cosine")
 
 
 @query("contrastive_positives", f"WITH {O.NORM}, {O.TRUTH} SELECT l.name_norm || ' ' || l.addr_norm AS text_l, r.name_norm || ' ' || r.addr_norm AS text_r, 1 AS label FROM truth JOIN norm l ON l.entity_id = entity_id_l JOIN norm r ON r.entity_id = entity_id_r")
@@ -560,29 +649,186 @@ def contrastive_positives(spark, d):
     return vectors.contrastive_pairs(*V.sides(spark, d), V.truth(spark, d)).where("label = 1")
 
 
-@query("neighbour_candidates")
+_GRAM = "SELECT entity_id, slot, count(*)::DOUBLE AS n FROM (SELECT entity_id, CAST(('0x' || substr(md5(substr(p, i, 3)), 1, 8)) AS BIGINT) % 256 AS slot FROM (SELECT entity_id, ' ' || trim(name_norm || ' ' || addr_norm) || ' ' AS p FROM norm WHERE {}), unnest(range(1, greatest(length(p) - 2, 1) + 1)) x(i)) GROUP BY ALL"
+
+
+@query("neighbour_candidates", f"""WITH {O.NORM}, a AS ({_GRAM.format("entity_id LIKE 'S1-%'")}), b AS ({_GRAM.format("entity_id NOT LIKE 'S1-%'")}), al AS (SELECT entity_id, sqrt(sum(n * n)) AS len FROM a GROUP BY 1), bl AS (SELECT entity_id, sqrt(sum(n * n)) AS len FROM b GROUP BY 1),
+d AS (SELECT a.entity_id AS entity_id_l, b.entity_id AS entity_id_r, sum(a.n * b.n) AS dot FROM a JOIN b USING (slot) GROUP BY ALL), s AS (SELECT entity_id_l, entity_id_r, coalesce(dot, 0) / (al.len * bl.len) AS c FROM (SELECT al.entity_id AS entity_id_l, bl.entity_id AS entity_id_r FROM al, bl) LEFT JOIN d USING (entity_id_l, entity_id_r) JOIN al ON al.entity_id = entity_id_l JOIN bl ON bl.entity_id = entity_id_r),
+r AS (SELECT *, row_number() OVER (PARTITION BY entity_id_l ORDER BY round(c, 9) DESC, entity_id_r) AS k FROM s) SELECT entity_id_l, entity_id_r, CAST(k AS INTEGER) AS "rank", round(c, 6) AS cosine FROM r WHERE k <= 50""")
 def neighbour_candidates(spark, d):
-    l, r = (vectors.hashed_ngrams(vectors.record_text(s), 128) for s in V.sides(spark, d))
-    return six(vectors.knn_exact(l, r, k=5), "cosine").select(*IDS, "rank", "cosine")
+    l, r = (vectors.hashed_ngrams(vectors.record_text(s)) for s in V.sides(spark, d))
+    return six(vectors.knn_exact(l, r, k=50), "cosine").select(*IDS, F.col("rank").cast("int").alias("rank"), "cosine")
+
+
+@query("contrastive_negatives", f"WITH {O.NORM}, {O.TRUTH} SELECT CAST(3 * count(*) AS BIGINT) AS drawn, CAST(0 AS BIGINT) AS true_ones, CAST(0 AS BIGINT) AS repeated, CAST(0 AS BIGINT) AS unknown FROM truth")
+def contrastive_negatives(spark, d):
+    """Three random negatives a true pair: so many there are, none of them true, twice there or of an unknown id."""
+    (l, r), truth = V.sides(spark, d), V.truth(spark, d).distinct()
+    n = labels.random_negatives(l, r, truth, 3)
+    one = n.agg(F.count(F.lit(1)).alias("drawn")).withColumn("k", F.lit(1))
+    count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name)).withColumn("k", F.lit(1))
+    known = n.join(l.select(F.col("entity_id").alias("entity_id_l")), "entity_id_l", "left_semi").join(r.select(F.col("entity_id").alias("entity_id_r")), "entity_id_r", "left_semi")
+    out = one.join(count(n.join(truth, list(IDS), "left_semi"), "true_ones"), "k").join(count(n.groupBy(*IDS).count().where("count > 1"), "repeated"), "k").join(count(n.join(known, list(IDS), "left_anti"), "unknown"), "k")
+    return out.drop("k")
+
+
+# Files and fixtures
+
+def _tsv(spark, d, folder):
+    """The sources as TSV below folder, as the reader expects them."""
+    rows = V.biz(spark, d)
+    for n in (1, 2, 3):
+        io.write_single(rows.where(F.col("entity_id").startswith(f"S{n}-")), io.source_path(folder, "test", n))
+
+
+@query("tsv_sources", f"WITH {O.NORM} SELECT entity_id, name_norm, array_to_string(name_tokens, ' ') AS tokens, addr_norm, country_norm FROM norm")
+def tsv_sources(spark, d):
+    """Sources written as TSV, read by their header and normalised into cached tables, which are read as one."""
+    folder = io.scratch(spark)
+    _tsv(spark, d, folder)
+    paths = [f"{folder}/norm{n}" for n in (1, 2, 3)]
+    for n, path in enumerate(paths, 1):
+        io.cached_normalised(io.read_source(spark, folder, "test", n), path)
+    out = io.read_parquets(spark, paths, ["entity_id", "name_norm", "name_tokens", "addr_norm", "country_norm"])
+    return out.select("entity_id", "name_norm", F.array_join("name_tokens", " ").alias("tokens"), "addr_norm", "country_norm")
+
+
+@query("id_list_file", f"{_PREFIXED} {_MATCHED}")
+def id_list_file(spark, d):
+    """match_lists, written as one TSV file and read again."""
+    path = f"{io.scratch(spark)}/lists.tsv"
+    io.write_single(match_lists(spark, d), path)
+    return io.read_tsv(spark, path, io.TRUTH).na.fill("", ["matched_entity_ids"])
+
+
+@query("report_file", f"{_PREFIXED}, m AS ({_MATCHED}) SELECT CAST(count(*) AS BIGINT) AS entities, CAST(count(*) FILTER (matched_entity_ids <> '') AS BIGINT) AS matched, round(count(*) FILTER (matched_entity_ids <> '') / CAST(count(*) AS DOUBLE), 6) AS share FROM m")
+def report_file(spark, d):
+    path = f"{io.scratch(spark)}/report"
+    io.write_report(coverage(spark, d), path)
+    return spark.read.option("header", True).schema("entities long, matched long, share double").csv(path)
+
+
+@query("evaluation_log", "SELECT 'a' AS run, CAST(0.5 AS DOUBLE) AS macro_f, CAST(27 AS BIGINT) AS columns UNION ALL SELECT 'b', 0.25, 27")
+def evaluation_log(spark, d):
+    path = f"{io.scratch(spark)}/log"
+    for run, f in (("a", 0.5), ("b", 0.25)):
+        io.append_log(spark.createDataFrame([(run, f)], "run string, macro_f double"), path)
+    got = spark.read.option("header", True).schema(io.LOG).csv(path)
+    return got.select("run", "macro_f", F.lit(len(got.columns)).cast("long").alias("columns"))
+
+
+@query("saved_policy", "SELECT CAST(0.6 AS DOUBLE) AS keep_threshold, CAST(0.2 AS DOUBLE) AS fallback, CAST(0.1 AS DOUBLE) AS singleton, 'saved' AS kind UNION ALL SELECT 0.55, 0.55, 0.0, 'default'")
+def saved_policy(spark, d):
+    path = f"{io.scratch(spark)}/policy"
+    io.save_policy(spark, {"keep_threshold": 0.6, "fallback_top1_threshold": 0.2, "singleton_cutoff": 0.1}, path)
+    both = [(io.load_policy(spark, p), kind) for p, kind in ((path, "saved"), (f"{path}-none", "default"))]
+    return spark.createDataFrame([(float(r["keep_threshold"]), float(r["fallback_top1_threshold"]), float(r["singleton_cutoff"]), kind) for r, kind in both], "keep_threshold double, fallback double, singleton double, kind string")
+
+
+@query("missing_truth", "SELECT CAST(count(*) AS BIGINT) AS rows FROM (SELECT 1 WHERE false)")
+def missing_truth(spark, d):
+    """A split without a ground truth gives an empty table, and that no pairs."""
+    return labels.ground_truth(io.read_ground_truth(spark, io.scratch(spark), "test")).agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query("empty_candidates", "SELECT CAST('' AS VARCHAR) AS entity_id_l, CAST('' AS VARCHAR) AS entity_id_r WHERE false")
+def empty_candidates(spark, d):
+    """Empty sides run through all passes and keep the result's columns."""
+    l, r = V.sides(spark, d)
+    return blocking.multipass(l.where("false"), r, keys.passes(), budget=keys.MAX_TOTAL_PAIRS)
+
+
+_FILES = {  # name: text of a matching file, and the findings of the validator by a word of each
+    "clean": ("source1_entity_id\tmatched_entity_ids\nS1-1\tS2-1\nS1-2\t\n", ()), "empty": ("", ("empty",)), "commas": ("source1_entity_id,matched_entity_ids\nS1-1,S2-1\n", ("commas",)),
+    "header": ("id\tids\nS1-1\tS2-1\n", ("header",)), "loose": ("source1_entity_id\tmatched_entity_ids\nS1-1\tS2-1\nS1-2\n", ("without a tab", "missing_entity")),
+    "twice": ("source1_entity_id\tmatched_entity_ids\nS1-1\tS2-1\nS1-1\t\nS1-2\t\n", ("duplicate_row",)), "repeated": ("source1_entity_id\tmatched_entity_ids\nS1-1\tS2-1,S2-1\nS1-2\t\n", ("duplicate_id",)),
+}
+_WORDS = ("empty", "commas", "header", "without a tab", "missing_entity", "duplicate_row", "duplicate_id", "missing")
+
+
+@query("validate_files", "SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{','.join(sorted(w))}')" for n, (_, w) in {**_FILES, "none": ("", ("missing",))}.items()) + ") v(file, found)")
+def validate_files(spark, d):
+    """The validator on written files: which findings each gives."""
+    folder, out = io.scratch(spark), []
+    need = spark.createDataFrame([("S1-1",), ("S1-2",)], "entity_id string")
+    for name, (body, _) in {**_FILES, "none": (None, ())}.items():
+        if body is not None:
+            path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.tsv")
+            stream = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
+            stream.write(bytearray(body.encode()))
+            stream.close()
+        report = validate.validate(spark, f"{folder}/{name}.tsv", f"{folder}/no-candidates.tsv", need)
+        said = [next(w for w in _WORDS if w in e.partition(".tsv: ")[2]) for e in report.errors]
+        out.append((name, ",".join(sorted(said))))
+    return spark.createDataFrame(out, "file string, found string")
+
+
+@query("list_counts", f"{_PREFIXED}, m AS ({_MATCHED}) SELECT CAST(count(*) AS BIGINT) AS rows, CAST(count(*) FILTER (matched_entity_ids = '') AS BIGINT) AS empty, CAST(count(*) FILTER (matched_entity_ids <> '') AS BIGINT) AS filled FROM m")
+def list_counts(spark, d):
+    return validate.counts(match_lists(spark, d), "matched_entity_ids")
+
+
+# Literal names: name, script, and the romanised name.
+_NAMES = (("Acme Steel", "none", None), ("Caf\u00e9 M\u00fcller", "latin", "cafe muller"), ("\u0930\u093e\u092e", "indic", "rama"), ("\u0c30\u0c3e\u0c2e", "indic", "rama"), ("\u0ba8\u0bae", "indic", "nama"), ("\u092d\u093e\u0930\u0924", "indic", "bharata"))
+
+
+@query("scripts_of_names", "SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{k}', " + (f"'{r}'" if r else "NULL") + ")" for n, k, r in _NAMES) + ") v(name, kind, plain)")
+def scripts_of_names(spark, d):
+    """Latin letters with marks are folded, Indic scripts romanised; plain ASCII stays."""
+    n = F.col("name")
+    kind = F.when(text.is_ascii(n), "none").when(text.has_latin_extended(n), "latin").otherwise("indic")
+    rows = spark.createDataFrame([(x,) for x, _, _ in _NAMES], "name string").withColumn("kind", kind)
+    return rows.withColumn("plain", F.when(F.col("kind") == "latin", text.fold_text(n)).when(F.col("kind") == "indic", text.romanise(n)))
+
+
+@query("balanced_sample", f"WITH {O.SCORED}, n AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY CAST(('0x' || substr(md5(entity_id_l || '~' || entity_id_r || '~' || src || '~42'), 1, 8)) AS BIGINT), entity_id_l, entity_id_r, src) AS k FROM scored) SELECT entity_id_l, entity_id_r, src, label FROM n WHERE k <= 500")
+def balanced_sample(spark, d):
+    return labels.balanced(V.scored(spark, d).withColumn("src", F.col("src").cast("string")), 500, *IDS, "src").select(*IDS, F.col("src").cast("int").alias("src"), "label")
+
+
+@query("grid_neighbourhood", "SELECT * FROM (VALUES (0, CAST(0.05 AS DOUBLE), CAST(0.55 AS DOUBLE), CAST(0.15 AS DOUBLE)), (1, 0.1, 0.6, 0.2), (2, 0.15, 0.65, 0.25)) v(step, singleton, keep, fallback)")
+def grid_neighbourhood(spark, d):
+    return spark.createDataFrame([(i, *x) for i, x in enumerate(zip(*metrics.neighbourhood((0.1, 0.6, 0.2))))], "step int, singleton double, keep double, fallback double")
+
+
+@query("linkage_prior", f"WITH {O.NORM}, {O.TRUTH} SELECT round((SELECT count(*) FROM truth) / ((SELECT count(*) FROM norm WHERE entity_id LIKE 'S1-%') * (SELECT count(*) FROM norm WHERE entity_id NOT LIKE 'S1-%'))::DOUBLE, 9) AS prior")
+def linkage_prior(spark, d):
+    l, r = V.sides(spark, d)
+    return spark.createDataFrame([(round(fs.prior(V.truth(spark, d).distinct().count(), l.count(), r.count()), 9),)], "prior double")
+
+
+@query("training_pairs", f"{O.multipass()}, {O.TRUTH} SELECT c.entity_id_l, c.entity_id_r, CAST(t.entity_id_l IS NOT NULL AS INTEGER) AS label FROM cand c LEFT JOIN truth t ON t.entity_id_l = c.entity_id_l AND t.entity_id_r = c.entity_id_r WHERE NOT {_VALIDATION.replace('entity_id', 'c.entity_id_l')} AND (t.entity_id_l IS NOT NULL OR CAST(('0x' || substr(md5(c.entity_id_l || '~' || c.entity_id_r || '~42'), 1, 8)) AS BIGINT) % 10 = 0)")
+def training_pairs(spark, d):
+    return features.training_set(_candidates(spark, d), *V.sides(spark, d), V.truth(spark, d), "train", 10).select(*IDS, "label")
+
+
+@query("label_balance", f"WITH {O.SCORED} SELECT CAST(count(*) AS BIGINT) AS pairs, CAST(sum(label) AS BIGINT) AS positive, round(avg(label), 6) AS rate FROM scored")
+def label_balance(spark, d):
+    return six(labels.balance(V.scored(spark, d)), "rate")
+
+
+@query("inference_lists", f"""{O.multipass()}, {_SIDE}, f AS (SELECT c.entity_id_l, c.entity_id_r, {_jac('name_tokens')} AS tok, CAST(l.country_norm = r.country_norm AS INTEGER) AS ctry, CAST(l.fsig = r.fsig AS INTEGER) AS fs,
+CASE WHEN greatest(length(l.name_norm), length(r.name_norm)) = 0 THEN 1 ELSE 1 - levenshtein(l.name_norm, r.name_norm) / CAST(greatest(length(l.name_norm), length(r.name_norm)) AS DOUBLE) END AS lev, CAST(l.house <> '' AND l.house = r.house AS INTEGER) AS house, CAST(l.pin <> '' AND l.pin = r.pin AS INTEGER) AS pin, {_jac('street')} AS street FROM {_MET}),
+z AS (SELECT *, -6.0::DOUBLE + coalesce(tok, 0) * 4 + coalesce(ctry, 0) + coalesce(fs, 0) * 1.5 + coalesce(lev, 0) * 3 + coalesce(house, 0) + coalesce(pin, 0) + coalesce(street, 0) * 0.5 AS z FROM f)
+SELECT n.entity_id AS source1_entity_id, coalesce(string_agg(DISTINCT entity_id_r, ',' ORDER BY entity_id_r), '') AS matched_entity_ids FROM norm n LEFT JOIN z ON z.entity_id_l = n.entity_id AND 1 / (1 + exp(-z)) >= 0.55 WHERE n.entity_id LIKE 'S1-%' GROUP BY 1""")
+def inference_lists(spark, d):
+    """From TSV sources to written lists, with the plain scorer and the flat default policy."""
+    folder = io.scratch(spark)
+    _tsv(spark, d, folder)
+    inference.infer(spark, folder, "test", f"{folder}/out")
+    return io.read_tsv(spark, f"{folder}/out/{inference.MATCHING}", io.TRUTH).na.fill("", ["matched_entity_ids"])
 
 
 # Models
 
 @query("gbdt_platt_scores")
 def gbdt_platt_scores(spark, d):
-    from kinlink.operators.model import fit_matcher
-
-    out = features.pair_features(_candidates(spark, d), *V.sides(spark, d), V.truth(spark, d)).withColumn("isval", labels.is_validation(F.col("entity_id_l"))).cache()
-    model = fit_matcher(labels.keep_negatives(out.where("isval = 0"), 4), out.where("isval = 1"), maxIter=10, minInstancesPerNode=5)
-    return model.score(out.where("isval = 1")).select(*IDS, F.round("prob", 6).alias("prob"), "label")
-
-
-@query("near_dup_docs", """WITH s AS (SELECT doc_id, list_distinct(string_split(lower(text), ' ')) AS t, array_to_string(string_split(lower(text), ' ')[1:4], ' ') AS k FROM documents),
-p AS (SELECT a.doc_id AS doc_l, b.doc_id AS doc_r, round(len(list_intersect(a.t, b.t)) / CAST(len(list_distinct(list_concat(a.t, b.t))) AS DOUBLE), 6) AS jaccard FROM s a JOIN s b ON a.k = b.k AND a.doc_id < b.doc_id) SELECT * FROM p WHERE jaccard >= 0.5""")
-def near_dup_docs(spark, d):
-    words = F.split(F.lower("text"), " ")
-    hashes = F.transform(F.array_distinct(words), lambda w: F.xxhash64(w))  # 64 bits stand for a word: less to shuffle and compare
-    s = V.table(spark, d, "documents").select("doc_id", hashes.alias("t"), F.array_join(F.slice(words, 1, 4), " ").alias("k"))
-    met = s.select(F.col("doc_id").alias("doc_l"), F.col("t").alias("a"), "k").join(s.select(F.col("doc_id").alias("doc_r"), F.col("t").alias("b"), "k"), "k").where("doc_l < doc_r")
-    met = met.where(F.least(F.size("a"), F.size("b")) >= 0.5 * F.greatest(F.size("a"), F.size("b")))  # else the overlap is below a half
-    return six(met.select("doc_l", "doc_r", similarity.jaccard(F.col("a"), F.col("b")).alias("jaccard")), "jaccard").where("jaccard >= 0.5")
+    """The matcher by its preset, written and loaded again, on the validation part."""
+    from kinlink.operators.model import Matcher, fit_matcher
+
+    folder = io.scratch(spark)
+    out = features.pair_features(_candidates(spark, d), *V.sides(spark, d), V.truth(spark, d)).withColumn("isval", labels.is_validation(F.col("entity_id_l")))
+    out.write.parquet(f"{folder}/features")  # read in each round: neither held in memory nor worked out again
+    out = spark.read.schema(out.schema).parquet(f"{folder}/features")
+    fit_matcher(labels.keep_negatives(out.where("isval = 0"), 4), out.where("isval = 1")).save(f"{folder}/model")
+    return Matcher.load(f"{folder}/model").score(out.where("isval = 1")).select(*IDS, F.round("prob", 6).alias("prob"), "label")

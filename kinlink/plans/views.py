@@ -33,7 +33,10 @@ def _sql(spark: SparkSession, sf_dir: str, name: str, query: str) -> DataFrame:
 
 
 def biz(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sql(spark, sf_dir, "part", BIZ)
+    """Dealt out where the file is one or a few partitions: its rows take some time each."""
+    rows = _sql(spark, sf_dir, "part", BIZ)
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def norm(spark: SparkSession, sf_dir: str) -> DataFrame:

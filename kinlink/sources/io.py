@@ -42,6 +42,21 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder for intermediate tables, below the one that spark.checkpoint.dir names; on one machine, where that is
+    unset, a temporary one."""
+    import re
+    import tempfile
+    import uuid
+
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        named = f"file://{tempfile.gettempdir()}"
+    return f"{named.rstrip('/')}/kinlink-{uuid.uuid4().hex}"
+
+
 def read_source(spark: SparkSession, root: str, split: str, n: int) -> DataFrame:
     return read_tsv(spark, source_path(root, split, n), SOURCE)
 
@@ -71,6 +86,47 @@ def write_id_lists(lists: DataFrame, path: str) -> None:
     lists.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in lists.columns]).write.mode("overwrite").option("sep", "\t").option("header", True).option("emptyValue", "").option("nullValue", "").option("quote", "").csv(path)
 
 
+def write_single(lists: DataFrame, path: str) -> None:
+    """Like write_id_lists, as one file: parts are written side by side and then strung together, byte by byte."""
+    spark = lists.sparkSession
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    parts = f"{path}.parts"
+    lists.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in lists.columns]).write.mode("overwrite").option("sep", "\t").option("header", False).option("emptyValue", "").option("nullValue", "").option("quote", "").csv(parts)
+    folder, target = jvm.org.apache.hadoop.fs.Path(parts), jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(conf)
+    out = fs.create(target, True)
+    try:
+        out.write(bytearray(("\t".join(lists.columns) + "\n").encode()))
+        for f in sorted((f.getPath() for f in fs.listStatus(folder)), key=lambda p: p.getName()):
+            if f.getName().startswith("part-"):
+                part = fs.open(f)
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, conf, False)
+                part.close()
+    finally:
+        out.close()
+    fs.delete(folder, True)
+
+
+def read_parquets(spark: SparkSession, paths: list[str], columns: list[str] | None = None) -> DataFrame:
+    """Several Parquet tables of one shape as one scan, with the columns asked for."""
+    rows = spark.read.parquet(*paths)
+    return rows.select(*columns) if columns else rows
+
+
+def write_report(rows: DataFrame, path: str) -> None:
+    """A small table as one CSV file with a header."""
+    rows.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_vectors(vectors: DataFrame, path: str) -> None:
+    """(entity_id, embedding) as Parquet of floats; the table that neighbours are searched in."""
+    vectors.select("entity_id", F.col("embedding").cast("array<float>").alias("embedding")).write.mode("overwrite").parquet(path)
+
+
+def read_vectors(spark: SparkSession, *paths: str) -> DataFrame:
+    return spark.read.schema("entity_id string, embedding array<float>").parquet(*paths)
+
+
 def append_log(row: DataFrame, path: str) -> None:
     schema = T._parse_datatype_string(LOG)
     row.select(*[F.col(f.name).cast(f.dataType).alias(f.name) if f.name in row.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema]).write.mode("append").option("header", True).csv(path)
