@@ -38,7 +38,7 @@ def test_query_equals_sql(spark, duck, name):
     assert a == b
 
 
-@pytest.mark.parametrize("name", ["knn_cells_top10", "neighbour_candidates"])
+@pytest.mark.parametrize("name", ["gbdt_platt_scores"])
 def test_query_without_sql(spark, name):
     assert QUERIES[name](spark, SMALL).count() > 0
 
