@@ -832,3 +832,19 @@ def gbdt_platt_scores(spark, d):
     out = spark.read.schema(out.schema).parquet(f"{folder}/features")
     fit_matcher(labels.keep_negatives(out.where("isval = 0"), 4), out.where("isval = 1")).save(f"{folder}/model")
     return Matcher.load(f"{folder}/model").score(out.where("isval = 1")).select(*IDS, F.round("prob", 6).alias("prob"), "label")
+
+
+@query("legacy_matcher", "SELECT CAST(7 AS BIGINT) AS features, 'tok_jaccard' AS first, CAST(1.0 AS DOUBLE) AS importance, true AS ranked, true AS calibrated")
+def legacy_matcher(spark, d):
+    """The legacy preset on a label that one feature decides: that feature leads, importances add up to 1, true pairs are
+    ranked first and Platt's sigmoid is near the labels."""
+    from kinlink.operators.model import fit_matcher
+
+    folder = io.scratch(spark)
+    out = features.pair_features(_candidates(spark, d), *V.sides(spark, d)).withColumns({"label": (F.col("tok_jaccard") >= 0.5).cast("int"), "isval": labels.is_validation(F.col("entity_id_l"))})
+    out.write.parquet(f"{folder}/features")
+    out = spark.read.schema(out.schema).parquet(f"{folder}/features")
+    model = fit_matcher(out.where("isval = 0"), out.where("isval = 1"), "legacy")
+    scored, parts = model.score(out.where("isval = 1")), model.importances()
+    auc, loss = metrics.auc(scored).head().auc, metrics.log_loss(scored).head().log_loss
+    return spark.createDataFrame([(len(parts), parts[0][0], round(sum(x for _, x in parts), 6), auc > 0.99, loss < 0.2)], "features long, first string, importance double, ranked boolean, calibrated boolean")
