@@ -2,14 +2,16 @@
 
 Each round replaces the edges by stars that keep the components: first every larger neighbour of a vertex is tied to the
 smallest vertex around it, then every smaller one. Rounds end when the edges stay the same; their number grows with the
-logarithm of the longest path. Only sums and minima are taken per vertex, so a hub costs no more than its edges."""
+logarithm of the longest path. Only sums and minima are taken per vertex, so a hub costs no more than its edges; the
+minima are kept tables, so the joins with them are broadcast up to a checked size, and beyond it are plain joins of two
+exchanges, which adaptive execution splits where a hub has most rows."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinlink.llm.common import checkpoint
+from kinlink.llm.common import checkpoint, small
 
 
 def _done(edges: DataFrame) -> bool:
@@ -25,9 +27,9 @@ def stars(edges: DataFrame) -> DataFrame:
     now = checkpoint(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     while not _done(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        around = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).withColumnRenamed("u", "w")
+        around = small(both.groupBy(F.col("u").alias("w")).agg(F.least(F.min("v"), F.col("w")).alias("m")))
         large = both.where("v > u").join(around, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        tied = large.join(least.withColumnRenamed("u", "w"), F.col("u") == F.col("w")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = checkpoint(tied.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        least = small(large.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m")))
+        tied = large.join(least, F.col("u") == F.col("w")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        now = checkpoint(tied.unionByName(least.select(F.col("w").alias("u"), F.col("m").alias("v"))).distinct())
     return now

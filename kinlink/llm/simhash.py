@@ -6,7 +6,7 @@ A fingerprint links to others at RADIUS = 3 or fewer differing bits. How the pai
 2. Two fingerprints within 3 bits have a half of 32 bits in which they differ by at most REACH = 1. So there is a
    vantage-point tree over each half, with that as its radius: whole fingerprints lie 32 +- 4 bits apart, and a margin of
    3 there would send 27 rows of 100 to both sides of every median; a margin of 1 on 32 bits sends 14.
-3. The trees grow on the driver from a sample of at most SAMPLE fingerprints, drawn by a hash. A node has a vantage point
+3. The trees grow on the driver from a sample of at most one in SHARE fingerprints, SAMPLE in all, drawn by a hash. A node has a vantage point
    and a distance m; rows at most m + REACH away go inside, rows more than m away outside. By the triangle inequality,
    |d(x, v) - d(y, v)| <= d(x, y), every pair within REACH meets on a side. Rows near the boundary are in both.
    Leaves that the whole table fills beyond CELL rows grow on from a sample of theirs, up to ROUNDS times.
@@ -32,7 +32,7 @@ from kinlink.llm.components import stars
 
 WIDTH, SEED, RADIUS, REACH = 3, 42, 3, 1
 SHARD, CELL, LEAF = 2048, 32_768, 96
-SAMPLE, ROUNDS, TRIES = 1 << 17, 3, 6
+SAMPLE, SHARE, ROUNDS, TRIES = 1 << 17, 8, 3, 6
 
 
 def shingle_hashes(words: list[bytes], width: int, seed: int = SEED) -> Iterator[np.ndarray]:
@@ -159,14 +159,14 @@ def routed(unique: DataFrame, trees: Trees, blocks: dict[int, int] | None = None
 
 def planted(unique: DataFrame, shard: int = SHARD, cell: int = CELL, sample: int = SAMPLE) -> tuple[Trees, dict[int, int]]:
     """The trees over unique (fp, first), and the number of blocks of each leaf that stays over `cell` rows. What comes to
-    the driver: at most some `sample` fingerprints a round, and a row for each leaf over `cell`."""
+    the driver: at most one in SHARE fingerprints a round, some `sample` in all, and a row for each leaf over `cell`."""
     trees, blocks = Trees(), {}
     rows = unique.count()
     full = {0: rows, 1: rows} if rows > shard else {}
     for turn in range(ROUNDS):
         if not full:
             break
-        rate = min(1.0, sample / sum(full.values()))
+        rate = min(1 / SHARE, sample / sum(full.values()))
         drawn = F.pmod(F.xxhash64("fp", F.lit(turn)), F.lit(1 << 24)) < int(rate * (1 << 24))
         if turn == 0:
             fps = np.array([r.fp for r in unique.where(drawn).select("fp").collect()], np.int64).view(np.uint64)

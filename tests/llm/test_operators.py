@@ -535,7 +535,8 @@ def test_quality(spark):
 
 
 def test_queries_and_sql_have_the_same_names():
-    assert sorted(queries.queries(), key=lambda n: int(n[2:].split("_")[0])) == list(queries.queries())
+    own = [n for n in queries.queries() if n.startswith("op")]
+    assert sorted(own, key=lambda n: int(n[2:].split("_")[0])) == own and len(own) == 10
     assert set(queries.oracle_sql()) <= set(queries.queries())
 
 
