@@ -13,6 +13,8 @@ from kinlink.operators import keys as K
 
 #: Rows a key and side: dropped beyond, the first by id, and the first by id of soundex buckets.
 DROP_CAP, RANK_CAP, HEAD_CAP = 300, 300, 50
+#: Pairs that the older schemes may make.
+PAIR_BUDGET = 100_000_000
 
 
 class BudgetExceeded(RuntimeError):
@@ -81,10 +83,15 @@ def within(shared: DataFrame, budget: int | None) -> None:
             raise BudgetExceeded(f"{projected} pairs projected; the budget is {budget}")
 
 
-def multipass(left: DataFrame, right: DataFrame, passes: list[K.Pass], only_left: DataFrame | None = None, budget: int | None = None) -> DataFrame:
+def multipass(left: DataFrame, right: DataFrame, passes: list[K.Pass], only_left: DataFrame | None = None, budget: int | None = None, store: str | None = None) -> DataFrame:
     """Candidates of all passes: two normalised tables -> distinct pairs. Suppression looks at whole sides; only_left
-    (entity_id) then restricts the left one. A budget is held against the projected pairs before any are made."""
+    (entity_id) then restricts the left one. A budget is held against the projected pairs before any are made. Keys are
+    read twice, to be counted and to be met: with `store` they are written there first, and not worked out again."""
     lk, rk = K.long_keys(left, passes), K.long_keys(right, passes)
+    if store:
+        for name, rows in (("left", lk), ("right", rk)):
+            rows.write.mode("overwrite").parquet(f"{store}/{name}")
+        lk, rk = (left.sparkSession.read.schema(lk.schema).parquet(f"{store}/{name}") for name in ("left", "right"))
     kept = kept_keys(lk, rk, passes)
     within(kept, budget)
     if only_left is not None:

@@ -41,7 +41,7 @@ def infer(spark: SparkSession, root: str, split: str, out: str, model: str | Non
     """Writes both lists below out, each as one TSV file with a row for every canonical entity, and gives their coverage.
     model: a saved Matcher; without one the plain scorer. rules: a saved policy; without one the flat default."""
     met = sides(spark, root, split, f"{out}/_normalised")
-    pairs = blocking.multipass(met.left, met.right, keys.passes(passes), budget=budget)
+    pairs = blocking.multipass(met.left, met.right, keys.passes(passes), budget=budget, store=f"{out}/_keys")
     pairs.write.mode("overwrite").parquet(f"{out}/_candidates")
     pairs = spark.read.schema(pairs.schema).parquet(f"{out}/_candidates")
     if model:

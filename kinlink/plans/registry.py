@@ -151,17 +151,17 @@ def _capped(mode, cap, sql):
 
 @query("candidates_dropcap", _capped("drop", blocking.DROP_CAP, {k: O.SCHEME_SQL[k] for k in ("blk_a", "blk_b1", "blk_b2")}))
 def candidates_dropcap(spark, d):
-    return blocking.candidates(*V.sides(spark, d), blocking.THREE_KEYS, mode="drop", budget=keys.MAX_TOTAL_PAIRS)
+    return blocking.candidates(*V.sides(spark, d), blocking.THREE_KEYS, mode="drop", budget=blocking.PAIR_BUDGET)
 
 
 @query("candidates_rankcap", _capped("rank", blocking.RANK_CAP, {"ct2f": O.SCHEME_SQL["sig"]}))
 def candidates_rankcap(spark, d):
-    return blocking.candidates(*V.sides(spark, d), blocking.SIGNIFICANT, mode="rank", budget=keys.MAX_TOTAL_PAIRS)
+    return blocking.candidates(*V.sides(spark, d), blocking.SIGNIFICANT, mode="rank", budget=blocking.PAIR_BUDGET)
 
 
 @query("candidates_headcap", _capped("rank", blocking.HEAD_CAP, {"sdx": O.SCHEME_SQL["bucket"]}))
 def candidates_headcap(spark, d):
-    return blocking.candidates(*V.sides(spark, d), blocking.BUCKETS, mode="rank", budget=keys.MAX_TOTAL_PAIRS)
+    return blocking.candidates(*V.sides(spark, d), blocking.BUCKETS, mode="rank", budget=blocking.PAIR_BUDGET)
 
 
 @query("rare_overlap", f"""WITH {O.NORM}, t AS (SELECT DISTINCT entity_id, country_norm, t FROM norm, unnest(name_tokens) a(t)), l AS (SELECT * FROM t WHERE entity_id LIKE 'S1-%'), r AS (SELECT * FROM t WHERE entity_id NOT LIKE 'S1-%'),
