@@ -9,11 +9,12 @@ A fingerprint links to others at RADIUS = 3 or fewer differing bits. How the pai
 3. The trees grow on the driver from a sample of at most one in SHARE fingerprints, SAMPLE in all, drawn by a hash. A node has a vantage point
    and a distance m; rows at most m + REACH away go inside, rows more than m away outside. By the triangle inequality,
    |d(x, v) - d(y, v)| <= d(x, y), every pair within REACH meets on a side. Rows near the boundary are in both.
-   Leaves that the whole table fills beyond CELL rows grow on from a sample of theirs, up to ROUNDS times.
+   Leaves that the whole table fills beyond CELL rows grow on from a sample of theirs, up to ROUNDS times; the trees have
+   some SAMPLE / 8 nodes at most.
 4. Each leaf is a shard. Its task grows the tree on over all its rows, down to LEAF, with the same bounds; what is left
    there is compared over all 64 bits. Only a spanning forest leaves the task: at most one edge a row.
 5. A shard that no vantage point divides (a group of near copies with one half alike) and that is over CELL rows is dealt
-   into pairs of blocks, so that no task ever holds more than two blocks.
+   into pairs of blocks, and so is any other over LARGE rows (28 MB): no task ever holds more than two blocks.
 6. Connected components by alternating stars (components.py).
 """
 
@@ -31,8 +32,8 @@ from kinlink.llm.common import checkpoint, release, slices, small, small_batches
 from kinlink.llm.components import stars
 
 WIDTH, SEED, RADIUS, REACH = 3, 42, 3, 1
-SHARD, CELL, LEAF = 2048, 32_768, 96
-SAMPLE, SHARE, ROUNDS, TRIES = 1 << 17, 8, 3, 6
+SHARD, CELL, LARGE, LEAF = 2048, 32_768, 1 << 20, 96
+SAMPLE, SHARE, ROUNDS, TRIES = 1 << 20, 8, 3, 6
 
 
 def shingle_hashes(words: list[bytes], width: int, seed: int = SEED) -> Iterator[np.ndarray]:
@@ -100,6 +101,7 @@ class Trees:
 
     def __init__(self):
         self.nodes: list[tuple[int, int, int]] = [(0, 0, 0)] * 2
+        self.dense: set[int] = set()  # leaves that no vantage point divides
 
     def grow(self, leaf: int, values: np.ndarray, each: float, shard: int) -> None:
         """Divides a leaf by a sorted sample of its values, each of which stands for `each` rows, until a side has at
@@ -107,7 +109,10 @@ class Trees:
         stack = [(leaf, values)]
         while stack:
             node, part = stack.pop()
-            cut = divided(part) if len(part) * each > shard and len(part) >= 16 else None
+            grows = len(part) * each > shard and len(part) >= 16
+            cut = divided(part) if grows else None
+            if grows and not cut:
+                self.dense.add(node)
             if cut:
                 far = np.bitwise_count(part ^ np.uint32(cut[0]))
                 self.nodes[node] = (*cut, len(self.nodes))
@@ -130,18 +135,20 @@ class Trees:
         return (np.concatenate(rows), np.concatenate(at)) if rows else (np.zeros(0, int), np.zeros(0, np.int32))
 
 
-def routed(unique: DataFrame, trees: Trees, blocks: dict[int, int] | None = None) -> DataFrame:
-    """unique (fp, first) -> (leaf, a, b, half, fp, first): each row in every leaf that it has to visit. A leaf with blocks
-    is dealt out as their pairs (a, b); other rows have a = b = 0."""
-    shared = unique.sparkSession.sparkContext.broadcast((trees, blocks or {}))
+def routed(unique: DataFrame, trees: Trees, blocks: dict[int, int] | None = None, only: set[int] | None = None) -> DataFrame:
+    """unique (fp, first) -> (leaf, a, b, half, fp, first): each row in every leaf that it has to visit, or in those of
+    `only`. A leaf with blocks is dealt out as their pairs (a, b); other rows have a = b = 0."""
+    shared = unique.sparkSession.sparkContext.broadcast((trees, blocks or {}, only and np.array(sorted(only))))
 
     def found(batches):
         release()
-        trees, blocks = shared.value
+        trees, blocks, only = shared.value
         for batch in slices(batches, 1 << 16):
             fp, first = (np.asarray(batch.column(i)) for i in range(2))
             for half, values in enumerate(halves(fp.astype(np.int64).view(np.uint64))):
                 row, leaf = trees.leaves(values, half)
+                if only is not None:
+                    row, leaf = row[np.isin(leaf, only)], leaf[np.isin(leaf, only)]
                 a = b = np.zeros(len(row), np.int32)
                 if blocks:
                     n = np.array([blocks.get(x, 1) for x in leaf.tolist()], np.int64)
@@ -159,7 +166,8 @@ def routed(unique: DataFrame, trees: Trees, blocks: dict[int, int] | None = None
 
 def planted(unique: DataFrame, shard: int = SHARD, cell: int = CELL, sample: int = SAMPLE) -> tuple[Trees, dict[int, int]]:
     """The trees over unique (fp, first), and the number of blocks of each leaf that stays over `cell` rows. What comes to
-    the driver: at most one in SHARE fingerprints a round, some `sample` in all, and a row for each leaf over `cell`."""
+    the driver: at most one in SHARE fingerprints a round, some `sample` in all, and a row for each leaf over `cell`.
+    Leaves that can be divided are left to their tasks up to LARGE rows."""
     trees, blocks = Trees(), {}
     rows = unique.count()
     full = {0: rows, 1: rows} if rows > shard else {}
@@ -168,19 +176,17 @@ def planted(unique: DataFrame, shard: int = SHARD, cell: int = CELL, sample: int
             break
         rate = min(1 / SHARE, sample / sum(full.values()))
         drawn = F.pmod(F.xxhash64("fp", F.lit(turn)), F.lit(1 << 24)) < int(rate * (1 << 24))
-        if turn == 0:
-            fps = np.array([r.fp for r in unique.where(drawn).select("fp").collect()], np.int64).view(np.uint64)
-            chosen = dict(enumerate(halves(fps)))
-        else:
-            got = routed(unique.where(drawn), trees).where(F.col("leaf").isin(list(full))).select("leaf", "half", "fp").collect()
-            chosen = {x: halves(np.array([r.fp for r in got if r.leaf == x], np.int64).view(np.uint64))[next((r.half for r in got if r.leaf == x), 0)] for x in full}
+        held = routed(unique.where(drawn), trees, only=set(full)).select("leaf", "half", "fp").toArrow().sort_by("leaf")
+        leaf, half, fp = (np.asarray(c) for c in held.columns)
+        side = np.where(half == 0, *halves(fp.astype(np.int64).view(np.uint64)))
         size = len(trees.nodes)
-        for leaf, values in chosen.items():
-            trees.grow(leaf, np.sort(values), 1 / rate, shard)
+        for x in sorted(full):
+            trees.grow(x, np.sort(side[np.searchsorted(leaf, x) : np.searchsorted(leaf, x, "right")]), 1 / rate, shard)
         if len(trees.nodes) == size:
             break
         full = {r.leaf: r.n for r in routed(unique, trees).groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cell).collect()}
-    return trees, {x: -(-2 * n // cell) for x, n in full.items() if n > cell}
+    most = {x: cell if x in trees.dense else max(cell, LARGE) for x in full}
+    return trees, {x: -(-2 * n // most[x]) for x, n in full.items() if n > most[x]}
 
 
 def compared(values: np.ndarray, leaf: int = LEAF, reach: int = REACH) -> Iterator[np.ndarray]:

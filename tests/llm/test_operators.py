@@ -114,6 +114,10 @@ def test_simhash_shards_of_one_group(spark):
         fps.add(x)
     for shard, cell in ((100_000, 100_000), (200, 400), (20, 60)):
         same_groups(spark, sorted(fps), shard=shard, cell=cell)
+    low = np.array([(7 << 32) + int(x) for x in rng.choice(1 << 20, 900, replace=False)], np.uint64)  # one high half: no vantage point divides it
+    trees, blocks = simhash.planted(spark.createDataFrame(signed(low), "fp long, first long"), 100, 200)
+    assert blocks and set(blocks) <= trees.dense
+    same_groups(spark, np.unique(low).tolist(), shard=100, cell=200)
 
 
 def test_simhash_trees_prune(spark):
