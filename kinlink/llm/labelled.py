@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from kinlink.llm.common import slices, small_batches
 
 
+#: Longer texts, in bytes, aren't learned from, so that a sample is bounded in bytes too. They are scored like any other.
+LONGEST = 100_000
+
+
 def held_out(doc_id) -> F.Column:
     """A quarter of the documents, by crc32 of the id as text: never learned from. A null id is not held out."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
@@ -39,6 +43,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, per_label: int, hashe
     small_batches(docs.sparkSession)
     others = [F.col(c).cast("string").alias(f"__x{i}") for i, c in enumerate(extra)]
     rows = docs.select(F.col("doc_id").cast("long").alias("__d"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("__text"), *others)
+    rows = rows.where(F.octet_length("__text") <= LONGEST)
     met = rows.join(F.broadcast(chosen), F.col("__d") == F.col("__id"))  # at most per_label rows for each label
     met = met.select("__id", "__label", "__text", *[f"__x{i}" for i in range(len(extra))])
     shape = "__id long, __label int, __text binary" + "".join(f", __x{i} string" for i in range(len(extra)))

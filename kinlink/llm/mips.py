@@ -1,7 +1,7 @@
 """Exact top-k by inner product: a ball tree per shard, searched by branch and bound with a shared kth score.
 
-Rows are dealt into shards by a hash. A first pass asks each query in one shard only; its kth score there is a lower
-bound of the final one. The second pass takes that score along to all other shards, where a node of the ball tree (centre
+Rows are dealt into shards by a hash. A query is asked in one shard first, then in an eighth of all, then in the rest; its
+kth score so far, a lower bound of the final one, goes along each time. In a shard a node of the ball tree (centre
 c, radius r) can hold no inner product above q.c + |q| r: nodes below the score are cut from the root down, the remaining
 leaves are read in the order of that bound, and a query stops at the first leaf that cannot reach its current kth score.
 Components are whole numbers, so scores are exact and bounds need no more than a rounding allowance."""
@@ -136,13 +136,18 @@ def top_products(vectors: DataFrame, every: int = 50, k: int = K, scale: float =
     rows = checkpoint(rows.distinct())
     q, c, blocks = tiles(rows, every, block, query_block)
     keys, shape = ["dim", "q", "c"], "query_id long, vec_id long, score long"
-    first_in = F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(blocks)) == F.col("c")
-    home = q.where(first_in)
     none = F.lit(LOWEST)
-    first = checkpoint(home.withColumn("known", none).groupBy(*keys).cogroup(c.groupBy(*keys)).applyInPandas(searched, shape))
-    kth = ranked(first.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), k).where(F.col("rank") == k).select(F.col("query_id").alias("__q"), F.col("score").alias("__known"))
-    rest = q.where(~first_in)
-    told = rest.join(kth, F.col("vec_id") == F.col("__q"), "left").withColumn("known", F.coalesce("__known", none)).select("dim", "q", "c", F.col("vec_id").alias("vec_id"), F.col("v").alias("v"), "known")
-    second = told.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInPandas(searched, shape)
-    both = first.unionByName(second).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    return ranked(both, k)
+    turn = F.pmod(F.col("c") - F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(blocks)), F.lit(blocks))  # a query's shards in order
+    ends = sorted({1, -(-blocks // 8), blocks})  # its first, an eighth of all, the rest
+    found = None
+    for lo, hi in zip([0, *ends], ends):
+        asked = q.where((turn >= lo) & (turn < hi))
+        if found is None:
+            told = asked.withColumn("known", none)
+        else:
+            kth = ranked(found, k).where(F.col("rank") == k).select(F.col("query_id").alias("__q"), F.col("score").alias("__known"))
+            told = asked.join(kth, F.col("vec_id") == F.col("__q"), "left").withColumn("known", F.coalesce("__known", none)).select("dim", "q", "c", F.col("vec_id").alias("vec_id"), F.col("v").alias("v"), "known")
+        more = told.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInPandas(searched, shape)
+        both = (more if found is None else found.unionByName(more)).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        found = both if hi == blocks else checkpoint(ranked(both, k).select("query_id", "vec_id", "score"))
+    return ranked(found, k)
