@@ -29,13 +29,13 @@ def encoded(texts: DataFrame, encode, size: int) -> DataFrame:
     import numpy as np
     import pandas as pd
 
-    def vectors(text: pd.Series) -> pd.Series:
-        found = np.asarray(encode(text.fillna("").tolist()), np.float64).reshape(len(text), size)
-        length = np.linalg.norm(found, axis=1, keepdims=True)
-        return pd.Series((found / np.where(length > 0, length, 1)).tolist())
+    def vectors(batches):
+        for batch in batches:
+            found = np.asarray(encode(batch.text.fillna("").tolist()), np.float64).reshape(len(batch), size)
+            length = np.linalg.norm(found, axis=1, keepdims=True)
+            yield pd.DataFrame({"entity_id": batch.entity_id, "embedding": (found / np.where(length > 0, length, 1)).tolist()})
 
-    vectors.__annotations__ = {"text": pd.Series, "return": pd.Series}
-    return texts.select("entity_id", F.pandas_udf(vectors, "array<double>")("text").alias("embedding"))
+    return texts.select("entity_id", "text").mapInPandas(vectors, "entity_id string, embedding array<double>")
 
 
 def dot(a: Column, b: Column) -> Column:

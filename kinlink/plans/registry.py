@@ -424,6 +424,14 @@ def macro_f05_all(spark, d):
     return six(metrics.macro_f(V.scored(spark, d), F.col("prob") >= 0.5, "all", entities), "macro_f")
 
 
+@query("macro_f05_truth", f"WITH {O.SCORED}, t AS (SELECT DISTINCT entity_id_l, entity_id_r FROM scored WHERE label = 1 AND src = 0), g AS (SELECT entity_id_l, count(*) AS gt FROM t GROUP BY 1), p AS (SELECT entity_id_l, sum(CAST(prob >= 0.5 AS INTEGER)) AS pred, sum(CAST(prob >= 0.5 AND label = 1 AS INTEGER)) AS tp FROM scored WHERE src = 0 GROUP BY 1), o AS (SELECT entity_id_l, coalesce(gt, 0) AS gt, coalesce(pred, 0) AS pred, coalesce(tp, 0) AS tp FROM g FULL JOIN p USING (entity_id_l)) {O.macro('SELECT * FROM o', 'all')}")
+def macro_f05_truth(spark, d):
+    """Of one source, with the number of true pairs taken from the truth and not from the candidates."""
+    s = V.scored(spark, d).where("src = 0")
+    truth = s.where("label = 1").select(*IDS).distinct()
+    return six(metrics.macro_f(s, F.col("prob") >= 0.5, "all", truth=truth), "macro_f")
+
+
 @query("threshold_sweep", f"WITH {O.SCORED}, g AS (SELECT i / CAST(100 AS DOUBLE) AS threshold FROM (SELECT unnest(range(5, 100, 5)) AS i)) SELECT threshold, macro_f FROM ({O.macro(_COUNTS.format(by='threshold, ', t='threshold', f='scored CROSS JOIN g'), by='threshold')})")
 def threshold_sweep(spark, d):
     return six(metrics.sweep(V.scored(spark, d)), "threshold", "macro_f")
@@ -660,6 +668,13 @@ def neighbour_candidates(spark, d):
     return six(vectors.knn_exact(l, r, k=50), "cosine").select(*IDS, F.col("rank").cast("int").alias("rank"), "cosine")
 
 
+@query("encoder_hook", f"WITH {O.NORM}, v AS (SELECT entity_id, length(name_norm || ' ' || addr_norm)::DOUBLE AS a, (length(name_norm || ' ' || addr_norm) - length(replace(name_norm || ' ' || addr_norm, 'a', '')))::DOUBLE AS b FROM norm) SELECT entity_id, round(a / sqrt(a * a + b * b), 6) AS x, round(b / sqrt(a * a + b * b), 6) AS y FROM v")
+def encoder_hook(spark, d):
+    """Any function from texts to vectors as the encoder: here a text's length and its letters a."""
+    out = vectors.encoded(vectors.record_text(V.norm(spark, d)), lambda texts: [[len(t), t.count("a")] for t in texts], 2)
+    return six(out.select("entity_id", F.get("embedding", F.lit(0)).alias("x"), F.get("embedding", F.lit(1)).alias("y")), "x", "y")
+
+
 @query("contrastive_negatives", f"WITH {O.NORM}, {O.TRUTH} SELECT CAST(3 * count(*) AS BIGINT) AS drawn, CAST(0 AS BIGINT) AS true_ones, CAST(0 AS BIGINT) AS repeated, CAST(0 AS BIGINT) AS unknown FROM truth")
 def contrastive_negatives(spark, d):
     """Three random negatives a true pair: so many there are, none of them true, twice there or of an unknown id."""
