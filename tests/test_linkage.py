@@ -1,5 +1,6 @@
 """Operators on literal tables: policies, metrics, validation, linkage, samples, files, models, streams."""
 
+import re
 import subprocess
 import sys
 from pathlib import Path
@@ -275,3 +276,20 @@ def test_commands(spark, tmp_path):
     check = run("validate", "--matching", f"{base}/short.tsv", "--candidate", f"{out}/candidate_pairs.tsv", "--root", base)
     assert check.returncode == 1 and "missing_entity" in check.stdout
     assert run("infer", "--root", base, "--out", out, "--budget", "1").returncode == 1
+
+
+def _shuffled_pairs(df):
+    """Whether ids of both sides are in one shuffle."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return bool(re.search(r"Aggregate \[entity_id_l#\d+, entity_id_r", plan))
+
+
+def test_rare_overlap_meets_each_pair_once_without_a_shuffle_of_pairs(spark):
+    left = norm(spark, [(f"S1-{i}", f"a{i % 7} b{i % 5} c{i % 3}", "", "us" if i % 2 else None if i % 11 == 0 else "in") for i in range(60)])
+    right = norm(spark, [(f"S2-{i}", f"a{i % 6} b{i % 5} c{i % 4} c{i % 4}", "", "us" if i % 3 else "in") for i in range(60)])
+    out = blocking.rare_overlap(left, right, 0.3)
+    frequent = lambda rows: {t for r in rows for t in r.name_tokens if sum(t in x.name_tokens for x in rows) > 0.3 * len(rows)}
+    l, r = left.collect(), right.collect()  # noqa: E741
+    gone = frequent(l) | frequent(r)
+    want = sorted(a.entity_id + b.entity_id for a in l for b in r if a.country_norm == b.country_norm and set(a.name_tokens) & set(b.name_tokens) - gone)
+    assert kept(out) == want and gone and not _shuffled_pairs(out)
