@@ -284,6 +284,14 @@ def _shuffled_pairs(df):
     return bool(re.search(r"Aggregate \[entity_id_l#\d+, entity_id_r", plan))
 
 
+def test_rule_pairs_shuffle_no_pair_and_keep_repeats(spark):
+    left = norm(spark, [("S1-1", "acme steel", "", "us"), ("S1-2", "acme iron", "", "us"), ("S1-2", "acme iron", "", "us"), ("S1-3", "acme iron", "", None)])
+    right = norm(spark, [("S2-1", "acme wood", "", "us"), ("S2-2", "acmo", "", "us"), ("S2-3", "acme", "", None)])
+    out = sizing.rule_pairs(left, right, "prefix4")
+    assert kept(out) == ["S1-1S2-1", "S1-2S2-1", "S1-2S2-1"]  # the SQL is a plain join: two rows, two pairs
+    assert not _shuffled_pairs(out)
+
+
 def test_rare_overlap_meets_each_pair_once_without_a_shuffle_of_pairs(spark):
     left = norm(spark, [(f"S1-{i}", f"a{i % 7} b{i % 5} c{i % 3}", "", "us" if i % 2 else None if i % 11 == 0 else "in") for i in range(60)])
     right = norm(spark, [(f"S2-{i}", f"a{i % 6} b{i % 5} c{i % 4} c{i % 4}", "", "us" if i % 3 else "in") for i in range(60)])
