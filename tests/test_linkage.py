@@ -278,6 +278,17 @@ def test_commands(spark, tmp_path):
     assert run("infer", "--root", base, "--out", out, "--budget", "1").returncode == 1
 
 
+def test_pairs_by_shared_keys_are_not_cut_by_a_budget():
+    """The query of all pairs that share a token makes them all, whatever their number."""
+    from unittest import mock
+
+    from kinlink.plans import registry
+
+    with mock.patch.object(registry.V, "sides", lambda *a: (None, None)), mock.patch.object(sizing, "rule_pairs") as made:
+        registry.QUERIES["rule_pairs_tokens"](None, None)
+    assert made.call_args.kwargs.get("budget") is None and len(made.call_args.args) == 3
+
+
 def _shuffled_pairs(df):
     """Whether ids of both sides are in one shuffle."""
     plan = df._jdf.queryExecution().optimizedPlan().toString()
