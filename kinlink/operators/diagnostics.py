@@ -39,17 +39,31 @@ def _true_hits(lk: DataFrame, rk: DataFrame, truth: DataFrame) -> DataFrame:
     return truth.select(*IDS).distinct().join(l, "entity_id_l").join(r, ["entity_id_r", "pass", "key"]).select("pass", *IDS).distinct()
 
 
+def _shared_keys(lk: DataFrame, rk: DataFrame, truth: DataFrame) -> DataFrame:
+    """(l, r, n, shared): n distinct true pairs, whose ends have the keys of l and of r, and the (pass, key) in both.
+    Records of equal keys are one row. Joins are told not to broadcast: a table of keys is far larger than the file that
+    it comes from, which is all that the planner knows of it."""
+    def side(keys: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        own = keys.groupBy("entity_id").agg(F.array_sort(F.collect_set(F.struct("pass", "key"))).alias("ks"))
+        sets = own.groupBy("ks").agg(F.min("entity_id").alias(name))
+        return own.join(sets.hint("merge"), "ks").select(F.col("entity_id").alias(f"entity_id_{name}"), name), sets.withColumnRenamed("ks", f"ks_{name}")
+
+    (l, l_sets), (r, r_sets) = side(lk, "l"), side(rk, "r")
+    pairs = truth.select(*IDS).distinct().join(l.hint("merge"), "entity_id_l").join(r.hint("merge"), "entity_id_r").groupBy("l", "r").agg(F.count(F.lit(1)).alias("n"))
+    return pairs.join(l_sets.hint("merge"), "l").join(r_sets.hint("merge"), "r").select("l", "r", "n", F.array_intersect("ks_l", "ks_r").alias("shared"))
+
+
 def recall_by_pass(left: DataFrame, right: DataFrame, truth: DataFrame, passes: list[K.Pass], suppressed: bool = False) -> DataFrame:
     """(pass, hit, total, recall) for each pass, before suppression or among the kept keys; a last row, any, for all."""
     lk, rk = K.long_keys(left, passes), K.long_keys(right, passes)
     if suppressed:
         kept = kept_keys(lk, rk, passes).select("pass", "key")
         lk, rk = lk.join(kept, ["pass", "key"], "left_semi"), rk.join(kept, ["pass", "key"], "left_semi")
-    hits = _true_hits(lk, rk, truth)
-    every = hits.select(*IDS).distinct().withColumn("pass", F.lit("any"))
+    met = _shared_keys(lk, rk, truth).where(F.size("shared") > 0)
+    hits = met.select("n", F.explode(F.array_union(F.transform("shared", lambda x: x["pass"]), F.array(F.lit("any")))).alias("pass"))
     total = truth.select(*IDS).distinct().count()
     names = truth.sparkSession.createDataFrame([(p.name,) for p in passes] + [("any",)], "pass string")
-    rows = names.join(hits.unionByName(every).groupBy("pass").agg(F.count(F.lit(1)).alias("hit")), "pass", "left").na.fill(0, ["hit"])
+    rows = names.join(hits.groupBy("pass").agg(F.sum("n").alias("hit")), "pass", "left").na.fill(0, ["hit"])
     return rows.withColumns({"total": F.lit(total).cast("long"), "recall": F.lit(0.0) if not total else F.col("hit") / F.lit(total)})
 
 

@@ -312,3 +312,26 @@ def test_rare_overlap_meets_each_pair_once_without_a_shuffle_of_pairs(spark):
     gone = frequent(l) | frequent(r)
     want = sorted(a.entity_id + b.entity_id for a in l for b in r if a.country_norm == b.country_norm and set(a.name_tokens) & set(b.name_tokens) - gone)
     assert kept(out) == want and gone and not _shuffled_pairs(out)
+
+
+def _broadcasts(df):
+    return "BroadcastExchange" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_recall_counts_equal_records_together_and_broadcasts_no_keys(spark, sides):
+    """Recall and its interval, with copies of all records, against plain sets; the plans broadcast no table of keys."""
+    left, right = sides[0].limit(30).localCheckpoint(), sides[1].limit(40).localCheckpoint()
+    twice = lambda d: d.unionByName(d.withColumn("entity_id", F.concat("entity_id", F.lit("x"))))
+    left, right = twice(left), twice(right)
+    truth = left.select(F.col("entity_id").alias("entity_id_l")).crossJoin(right.select(F.col("entity_id").alias("entity_id_r"))).where("pmod(hash(entity_id_l, entity_id_r), 3) = 0").localCheckpoint()
+    have = [{}, {}]
+    size = [{}, {}]
+    for side, found, n in zip((left, right), have, size):
+        for r in keys.long_keys(side, keys.DIAGNOSTIC).collect():
+            found.setdefault(r.entity_id, set()).add((r["pass"], r.key))
+            n[(r["pass"], r.key)] = n.get((r["pass"], r.key), 0) + 1
+    both = [have[0].get(t.entity_id_l, set()) & have[1].get(t.entity_id_r, set()) for t in truth.collect()]
+    plain = diagnostics.recall_with_interval(left, right, truth, keys.DIAGNOSTIC)
+    assert {r["pass"]: r.hit for r in plain.collect()} == {p: sum(any(k[0] == p or p == "any" for k in b) for b in both) for p in (*keys.DIAGNOSTIC, "any")}
+    file = [views.truth(spark, SMALL), *views.sides(spark, SMALL)]
+    assert not _broadcasts(diagnostics._shared_keys(keys.long_keys(file[1], keys.DIAGNOSTIC), keys.long_keys(file[2], keys.DIAGNOSTIC), file[0]))
