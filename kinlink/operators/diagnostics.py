@@ -96,14 +96,13 @@ def capped_recall(left: DataFrame, right: DataFrame, truth: DataFrame, schemes:
     rows on a side are dropped: projected pairs (for `any` the sum), and true pairs that share a key that stays. A true
     pair counts from the smallest cap on that one of its keys passes, so no pairs but true ones are made."""
     lk, rk = K.long_keys(left, schemes), K.long_keys(right, schemes)
-    sized = counts(lk, "n1").join(counts(rk, "n2"), ["pass", "key"]).withColumn("larger", F.greatest("n1", "n2"))
+    sized = counts(lk, "n1").join(counts(rk, "n2").hint("merge"), ["pass", "key"]).withColumn("larger", F.greatest("n1", "n2"))
     true = truth.select(*IDS).distinct()
-    l, r = (k.select("pass", "key", F.col("entity_id").alias(i)).distinct() for k, i in zip((lk, rk), IDS))  # noqa: E741
-    met = true.join(l, "entity_id_l").join(r, ["entity_id_r", "pass", "key"]).join(sized, ["pass", "key"])
-    least = met.groupBy("pass", *IDS).agg(F.min("larger").alias("larger"))
-    least = least.unionByName(least.groupBy(*IDS).agg(F.min("larger").alias("larger")).withColumn("pass", F.lit("any")))
+    met = _shared_keys(lk, rk, true).select("l", "r", "n", F.explode("shared").alias("k")).select("l", "r", "n", "k.pass", "k.key").join(sized.hint("merge"), ["pass", "key"])
+    least = met.groupBy("pass", "l", "r", "n").agg(F.min("larger").alias("larger"))
+    least = least.unionByName(least.groupBy("l", "r", "n").agg(F.min("larger").alias("larger")).withColumn("pass", F.lit("any")))
     at = [F.lit(c).cast("long") for c in caps]
-    hits = least.select("pass", F.explode(F.filter(F.array(*at), lambda c: F.col("larger") <= c)).alias("cap")).groupBy("pass", "cap").agg(F.count(F.lit(1)).alias("hit"))
+    hits = least.select("pass", "n", F.explode(F.filter(F.array(*at), lambda c: F.col("larger") <= c)).alias("cap")).groupBy("pass", "cap").agg(F.sum("n").alias("hit"))
     kept = sized.select("pass", "n1", "n2", F.explode(F.filter(F.array(*at), lambda c: F.col("larger") <= c)).alias("cap"))
     pairs = kept.groupBy("pass", "cap").agg(F.sum(F.col("n1") * F.col("n2")).alias("pairs"))
     pairs = pairs.unionByName(pairs.groupBy("cap").agg(F.sum("pairs").alias("pairs")).withColumn("pass", F.lit("any")))

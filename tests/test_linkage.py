@@ -333,5 +333,8 @@ def test_recall_counts_equal_records_together_and_broadcasts_no_keys(spark, side
     both = [have[0].get(t.entity_id_l, set()) & have[1].get(t.entity_id_r, set()) for t in truth.collect()]
     plain = diagnostics.recall_with_interval(left, right, truth, keys.DIAGNOSTIC)
     assert {r["pass"]: r.hit for r in plain.collect()} == {p: sum(any(k[0] == p or p == "any" for k in b) for b in both) for p in (*keys.DIAGNOSTIC, "any")}
+    capped = diagnostics.capped_recall(left, right, truth, keys.DIAGNOSTIC, (2, 4, 8))
+    assert {(r["pass"], r.cap): r.hit for r in capped.collect()} == {(p, c): sum(any((k[0] == p or p == "any") and max(size[0][k], size[1][k]) <= c for k in b) for b in both) for p in (*keys.DIAGNOSTIC, "any") for c in (2, 4, 8)}
     file = [views.truth(spark, SMALL), *views.sides(spark, SMALL)]
     assert not _broadcasts(diagnostics._shared_keys(keys.long_keys(file[1], keys.DIAGNOSTIC), keys.long_keys(file[2], keys.DIAGNOSTIC), file[0]))
+
