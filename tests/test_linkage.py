@@ -338,3 +338,12 @@ def test_recall_counts_equal_records_together_and_broadcasts_no_keys(spark, side
     file = [views.truth(spark, SMALL), *views.sides(spark, SMALL)]
     assert not _broadcasts(diagnostics._shared_keys(keys.long_keys(file[1], keys.DIAGNOSTIC), keys.long_keys(file[2], keys.DIAGNOSTIC), file[0]))
 
+
+def test_large_samples_are_not_the_head_of_a_sort(spark, sides, monkeypatch):
+    rows = spark.range(3000).selectExpr("concat('S1-', id) AS entity_id")
+    want = sorted(r.entity_id for r in labels.sample_rows(rows, 1234, "entity_id").collect())
+    monkeypatch.setattr(labels, "HEAD", 100)
+    assert sorted(r.entity_id for r in labels.sample_rows(rows, 1234, "entity_id").collect()) == want
+    assert labels.sample_rows(rows, 5000, "entity_id").count() == 3000
+    negatives = labels.random_negatives(*sides, views.truth(spark, SMALL), 3)
+    assert not _broadcasts(negatives)
