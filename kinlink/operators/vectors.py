@@ -59,30 +59,38 @@ def _sides(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def knn_exact(left: DataFrame, right: DataFrame, k: int = 50, block: int = 2048) -> DataFrame:
-    """(entity_id_l, entity_id_r, rank, cosine): the k nearest right rows of each left row, itself left out. Both sides
-    are dealt into blocks and met tile by tile; each tile keeps its best k before they are ranked together."""
+    """(entity_id_l, entity_id_r, rank, cosine): the k nearest right rows of each left row, itself left out. Rows of
+    equal vectors on a side are searched as one. Both sides are dealt into blocks and met tile by tile; each tile keeps its
+    best before they are ranked together."""
     import numpy as np
     import pandas as pd
 
-    l, r = _sides(left, right)  # noqa: E741
+    members, r = _sides(left, right)
+    reps = members.groupBy("v_l").agg(F.min("entity_id_l").alias("g"))
+    l = reps.select(F.col("g").alias("entity_id_l"), "v_l")  # noqa: E741
+    # of equal right rows only the first k by id can be among the k nearest, and one more as a row is not its own neighbour
+    first = Window.partitionBy("v_r").orderBy("entity_id_r")
+    r = r.withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= k + 1)
+    r = r.groupBy("v_r").agg(F.array_sort(F.collect_list("entity_id_r")).alias("ids")).select(F.col("ids")[0].alias("entity_id_r"), "v_r", "ids")
     lb, rb = (max(1, -(-d.count() // block)) for d in (l, r))
 
     def tile(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
-            return pd.DataFrame({"entity_id_l": [], "entity_id_r": [], "cosine": []}).astype({"entity_id_l": str, "entity_id_r": str})
+            return pd.DataFrame({"entity_id_l": [], "entity_id_r": [], "cosine": [], "ids": []}).astype({"entity_id_l": str, "entity_id_r": str, "ids": object})
         b = b.sort_values("entity_id_r")
         x, y = np.array(a.v_l.tolist()), np.array(b.v_r.tolist())
         c = x @ y.T
-        c[a.entity_id_l.to_numpy()[:, None] == b.entity_id_r.to_numpy()[None, :]] = -np.inf
-        top = np.argsort(-np.round(c, 9), axis=1, kind="stable")[:, :k]
-        out = pd.DataFrame({"entity_id_l": np.repeat(a.entity_id_l.to_numpy(), top.shape[1]), "entity_id_r": b.entity_id_r.to_numpy()[top].ravel(), "cosine": np.take_along_axis(c, top, 1).ravel()})
-        return out[out.cosine > -np.inf]
+        top = np.argsort(-np.round(c, 9), axis=1, kind="stable")[:, : k + 1]
+        return pd.DataFrame({"entity_id_l": np.repeat(a.entity_id_l.to_numpy(), top.shape[1]), "entity_id_r": b.entity_id_r.to_numpy()[top].ravel(), "cosine": np.take_along_axis(c, top, 1).ravel(), "ids": b.ids.to_numpy()[top].ravel()})
 
     here = lambda d, s, n: F.pmod(F.xxhash64(f"entity_id_{s}"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     la = l.withColumn("i", here(l, "l", lb)).withColumn("j", every(rb))
     ra = r.withColumn("j", here(r, "r", rb)).withColumn("i", every(lb))
-    return _best(la.groupBy("i", "j").cogroup(ra.groupBy("i", "j")).applyInPandas(tile, "entity_id_l string, entity_id_r string, cosine double"), k)
+    found = _best(la.groupBy("i", "j").cogroup(ra.groupBy("i", "j")).applyInPandas(tile, "entity_id_l string, entity_id_r string, cosine double, ids array<string>"), k + 1)
+    near = _best(found.select("entity_id_l", F.explode("ids").alias("entity_id_r"), "cosine"), k + 1).select(F.col("entity_id_l").alias("g"), "entity_id_r", "cosine")
+    own = members.join(reps.hint("merge"), "v_l").select("entity_id_l", "g")
+    return _best(own.join(near.hint("merge"), "g").where("entity_id_l <> entity_id_r").select("entity_id_l", "entity_id_r", "cosine"), k)
 
 
 def cells(vectors: DataFrame, n: int, sample: int = 100_000, seed: int = 42) -> list[list[float]]:

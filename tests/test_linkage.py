@@ -347,3 +347,29 @@ def test_large_samples_are_not_the_head_of_a_sort(spark, sides, monkeypatch):
     assert labels.sample_rows(rows, 5000, "entity_id").count() == 3000
     negatives = labels.random_negatives(*sides, views.truth(spark, SMALL), 3)
     assert not _broadcasts(negatives)
+
+
+def test_neighbours_of_copies(spark):
+    """Copies on both sides, rows that are on both, and fewer tiles than their number would take; against all pairs."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    plain = rng.normal(size=(9, 4))
+    rows = [(f"V{i:03}", [float(x) for x in plain[i % 9]]) for i in range(90)]
+    right = spark.createDataFrame(rows, "entity_id string, embedding array<double>")
+    left = right.where("substring(entity_id, 2) % 4 = 0")
+    unit = plain / np.linalg.norm(plain, axis=1, keepdims=True)
+    cosine = np.round(unit @ unit.T, 9)
+    for k in (3, 12, 200):
+        got = {}
+        for r in vectors.knn_exact(left, right, k, block=4).orderBy("entity_id_l", "rank").collect():
+            got.setdefault(r.entity_id_l, []).append(r.entity_id_r)
+        assert got == {f"V{i:03}": [f"V{j:03}" for j in sorted((j for j in range(90) if j != i), key=lambda j: (-cosine[i % 9][j % 9], j))[:k]] for i in range(0, 90, 4)}
+    met = []
+    plain_cogroup = type(right.groupBy("entity_id")).cogroup
+    try:
+        type(right.groupBy("entity_id")).cogroup = lambda a, b: met.extend((a._df.count(), b._df.count())) or plain_cogroup(a, b)
+        vectors.knn_exact(left, right, 3)
+    finally:
+        type(right.groupBy("entity_id")).cogroup = plain_cogroup
+    assert met == [9, 9]
