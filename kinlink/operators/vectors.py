@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinlink.operators.labels import random_negatives
+from kinlink.sources import io
 
 
 def record_text(norm: DataFrame) -> DataFrame:
@@ -43,9 +44,10 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def normalised(v: Column) -> Column:
-    """v scaled to length 1; zeros stay."""
-    length = F.sqrt(dot(v, v))
-    return F.when(length > 0, F.transform(v, lambda x: x / length)).otherwise(F.transform(v, lambda x: x.cast("double")))
+    """v scaled to length 1; zeros stay. The length is bound as a variable: within the loop over the components it would be
+    worked out for each of them."""
+    scaled = lambda n: F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(F.transform(v, lambda x: x.cast("double")))
+    return F.get(F.transform(F.array(F.sqrt(dot(v, v))), scaled), F.lit(0))
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
@@ -103,53 +105,118 @@ def cells(vectors: DataFrame, n: int, sample: int = 100_000, seed: int = 42) ->
     return [[float(x) for x in c] for c in model.clusterCenters()]
 
 
-def _probed(vectors: DataFrame, centres: list[list[float]], probes: int, key: str) -> DataFrame:
-    """vectors with the `probes` nearest cells, one row each, in Arrow batches against the bounded list of centres."""
+def _around(x, centres):
+    """Distances of the rows of x to each centre; rows with components that are no numbers have none."""
     import numpy as np
-    import pandas as pd
 
-    table = vectors.sparkSession.sparkContext.broadcast(np.array(centres))
+    return np.sqrt(np.maximum(0, (x**2).sum(axis=1)[:, None] + (centres**2).sum(axis=1)[None] - 2 * x @ centres.T))
+
+
+def _unit_rows(v):
+    """Vectors as rows of length 1 in double precision; zeros stay."""
+    import numpy as np
+
+    x = np.array(v.tolist(), np.float64)
+    length = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return x / np.where(length == 0, 1, length)
+
+
+def _tops(a, b, k: int, chunk: int = 256):
+    """The k nearest rows of b (columns id, v) for each of a, ties to the smaller id, itself left out: places in a, places
+    in b sorted by id, cosines. Rows of a may come with kth: what lies below is left out."""
+    import numpy as np
+
+    x, y, own, ids = _unit_rows(a.v), _unit_rows(b.v), a.id.to_numpy(), b.id.to_numpy()
+    lo, hi = (np.searchsorted(ids, own, side) for side in ("left", "right"))
+    least = a.kth.fillna(-2).to_numpy() if "kth" in a else np.full(len(x), -2.0)
+    width, out = len(y), []
+    for at in range(0, len(x), chunk):
+        c = x[at : at + chunk] @ y.T
+        # a whole number for each pair, larger for a larger rounded cosine, then for a smaller id
+        order = np.rint(np.nan_to_num(c, nan=-2.0) * 1e9).astype(np.int64) * width + np.arange(width - 1, -1, -1)
+        for i in np.flatnonzero(lo[at : at + chunk] < hi[at : at + chunk]):
+            order[i, lo[at + i] : hi[at + i]] = -(1 << 62)
+        top = np.argpartition(-order, k - 1, axis=1)[:, :k] if k < width else np.broadcast_to(np.arange(width), order.shape)
+        cosine = np.take_along_axis(c, top, 1)
+        keep = (np.take_along_axis(order, top, 1) > -(1 << 62)) & ~(cosine < least[at : at + chunk, None] - 2e-9)
+        out.append((at + np.nonzero(keep)[0], top[keep], cosine[keep]))
+    return [np.concatenate(part) for part in zip(*out)]
 
-    def near(v: pd.Series) -> pd.Series:
-        x = np.array(v.tolist()) if len(v) else np.zeros((0, table.value.shape[1]))
-        far = (table.value**2).sum(axis=1)[None] - 2 * x @ table.value.T
-        return pd.Series(np.argsort(far, axis=1, kind="stable")[:, :probes].astype(np.int32).tolist())
 
-    near.__annotations__ = {"v": pd.Series, "return": pd.Series}
-    return vectors.withColumn("cell", F.explode(F.pandas_udf(near, "array<int>")(key)))
+#: Components of the vectors of a tile's side.
+TILE = 1 << 21
 
 
 def knn_cells(left: DataFrame, right: DataFrame, centres: list[list[float]], probes: int = 8, k: int = 50) -> DataFrame:
     """Like knn_exact, and with its result: the `probes` cells nearest to a left row are searched first (every right row
     is in its one cell). Of the others those are left out that can't hold a nearer row than the kth found, by the cell's
-    radius around its centre. Pairs are met by cell; their cosines are exact."""
+    radius around its centre. Cells are dealt into tiles of bounded size, whose cosines are exact products of matrices;
+    vectors travel as they come. What the probes found is written: it is read for the bounds and for the result."""
     import numpy as np
     import pandas as pd
 
-    l, r = _sides(left, right)  # noqa: E741
-    dealt = _probed(r, centres, 1, "v_r")
-    away = lambda c: F.sqrt(F.aggregate(F.zip_with("v_r", c, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-    table = right.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(centres)], "cell int, centre array<double>")
-    radii = {x.cell: x.radius for x in dealt.join(F.broadcast(table), "cell").groupBy("cell").agg(F.max(away("centre")).alias("radius")).collect()}
-    known = right.sparkSession.sparkContext.broadcast((np.array(centres), np.array([radii.get(i, -np.inf) for i in range(len(centres))])))
-
-    def scored(met: DataFrame) -> DataFrame:
-        return met.where("entity_id_l <> entity_id_r").select("entity_id_l", "entity_id_r", dot(F.col("v_l"), F.col("v_r")).alias("cosine"))
-
-    def open_(v: pd.Series, kth: pd.Series) -> pd.Series:
-        x, (c, radius) = np.array(v.tolist()) if len(v) else np.zeros((0, known.value[0].shape[1])), known.value
-        apart = np.sqrt(np.maximum(0, (x**2).sum(axis=1)[:, None] + (c**2).sum(axis=1)[None] - 2 * x @ c.T))
-        order = np.argsort((c**2).sum(axis=1)[None] - 2 * x @ c.T, axis=1, kind="stable")
-        # |x - y|^2 = |x|^2 + |y|^2 - 2 x.y with |y| of 1 or 0: a row with a cosine of kth or more is no farther than reach
-        reach = np.sqrt(np.maximum(0, (x**2).sum(axis=1) + 1 - 2 * kth.fillna(-np.inf).to_numpy())) + 1e-6
-        may = (apart - radius[None] <= reach[:, None]) & (radius[None] >= 0)
+    spark = right.sparkSession
+    table = spark.sparkContext.broadcast(np.array(centres))
+    rows = max(64, TILE // max(1, len(centres[0])))
+    pick = lambda d: d.select(F.col("entity_id").cast("string").alias("id"), F.col("embedding").alias("v")).where("id is not null and v is not null")
+    l, r = pick(left), pick(right)  # noqa: E741
+
+    def place(v: pd.Series) -> pd.DataFrame:
+        if not len(v):
+            return pd.DataFrame({"cell": np.zeros(0, np.int32), "away": np.zeros(0)})
+        apart = _around(_unit_rows(v), table.value)
+        cell = np.argsort(apart, axis=1, kind="stable")[:, 0]
+        return pd.DataFrame({"cell": cell.astype(np.int32), "away": apart[np.arange(len(cell)), cell]})
+
+    place.__annotations__ = {"v": pd.Series, "return": pd.DataFrame}
+    dealt = r.withColumn("p", F.pandas_udf(place, "cell int, away double")("v")).select("id", "v", "p.cell", "p.away")
+    n, radius = np.zeros(len(centres), np.int64), np.full(len(centres), -np.inf)
+    for x in dealt.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("radius")).collect():
+        n[x.cell], radius[x.cell] = x.n, x.radius
+    known = spark.sparkContext.broadcast((n, radius))
+    parts = F.array(*[F.lit(int(max(1, -(-m // rows)))) for m in n])
+    blocks = max(1, -(-l.count() // rows))
+
+    def near(v: pd.Series, kth: pd.Series) -> pd.Series:
+        """The cells beyond the probes that may hold a nearer row."""
+        if not len(v):
+            return pd.Series([], dtype=object)
+        x, (count, far) = _unit_rows(v), known.value
+        apart = _around(x, table.value)
+        order = np.argsort(apart, axis=1, kind="stable")
+        # |x - y|^2 = |x|^2 + |y|^2 - 2 x.y with |y| of 1 or 0: a row with a cosine of kth or more, as rounded, is no farther than reach
+        reach = np.sqrt(np.maximum(0, (x**2).sum(axis=1) + 1 - 2 * (kth.fillna(-np.inf).to_numpy() - 2e-9))) + 1e-6
+        may = ~(apart - far[None] > reach[:, None]) & (count > 0)[None]  # a bound that is no number closes no cell
         return pd.Series([[int(i) for i in o[probes:] if m[i]] for o, m in zip(order, may)])
 
-    open_.__annotations__ = {"v": pd.Series, "kth": pd.Series, "return": pd.Series}
-    first = _best(scored(_probed(l, centres, probes, "v_l").join(dealt, "cell")), k)
-    kth = first.where(F.col("rank") == k).select("entity_id_l", F.col("cosine").alias("kth"))
-    more = l.join(kth, "entity_id_l", "left").withColumn("cell", F.explode(F.pandas_udf(open_, "array<int>")("v_l", "kth")))
-    return _best(first.drop("rank").unionByName(scored(more.drop("kth").join(dealt, "cell"))), k)
+    def first_cells(v: pd.Series) -> pd.Series:
+        return pd.Series(np.argsort(_around(_unit_rows(v), table.value), axis=1, kind="stable")[:, :probes].astype(np.int32).tolist() if len(v) else [])
+
+    def tile(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"entity_id_l": pd.Series(dtype=str), "entity_id_r": pd.Series(dtype=str), "cosine": pd.Series(dtype=float)})
+        b = b.sort_values("id")
+        i, j, cosine = _tops(a, b, k)
+        return pd.DataFrame({"entity_id_l": a.id.to_numpy()[i], "entity_id_r": b.id.to_numpy()[j], "cosine": cosine})
+
+    first_cells.__annotations__ = {"v": pd.Series, "return": pd.Series}
+    near.__annotations__ = {"v": pd.Series, "kth": pd.Series, "return": pd.Series}
+    part_of = lambda m: F.pmod(F.xxhash64("id"), m).cast("int")
+    every = lambda m: F.explode(F.sequence(F.lit(0), m - 1))
+    base = dealt.withColumn("part", part_of(F.get(parts, F.col("cell")))).select("cell", "part", every(F.lit(blocks)).alias("block"), "id", "v")
+
+    def searched(queries: DataFrame) -> DataFrame:
+        met = queries.withColumn("part", every(F.get(parts, F.col("cell")))).withColumn("block", part_of(F.lit(blocks)))
+        on = ("cell", "part", "block")
+        return met.groupBy(*on).cogroup(base.groupBy(*on)).applyInPandas(tile, "entity_id_l string, entity_id_r string, cosine double")
+
+    path = f"{io.scratch(spark)}/probed"
+    first = _best(searched(l.withColumn("cell", F.explode(F.pandas_udf(first_cells, "array<int>")("v")))), k)
+    first.write.parquet(path)
+    first = spark.read.schema(first.schema).parquet(path)
+    kth = first.where(F.col("rank") == k).select(F.col("entity_id_l").alias("id"), F.col("cosine").alias("kth"))
+    more = l.join(kth, "id", "left").withColumn("cell", F.explode(F.pandas_udf(near, "array<int>")("v", "kth")))
+    return _best(first.drop("rank").unionByName(searched(more)), k)
 
 
 def contrastive_pairs(left: DataFrame, right: DataFrame, truth: DataFrame, per_positive: int = 3, seed: int = 42) -> DataFrame:

@@ -5,6 +5,7 @@ import subprocess
 import sys
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -373,3 +374,24 @@ def test_neighbours_of_copies(spark):
     finally:
         type(right.groupBy("entity_id")).cogroup = plain_cogroup
     assert met == [9, 9]
+
+
+def test_cells_by_tiles(spark, monkeypatch):
+    """Equal vectors, repeated ids and tiles of a few rows: the result of the exact search, and no cosine made row by row."""
+    rng = np.random.default_rng(3)
+    points = rng.normal(size=(260, 8)).round(1)
+    points[40:120] = points[0]  # one very common vector
+    points[120] = 0
+    rows = [(f"V{i}", [float(x) for x in p]) for i, p in enumerate(points)]
+    right = spark.createDataFrame(rows + rows[7:9], "entity_id string, embedding array<float>")
+    left = right.where("substr(entity_id, 2) % 5 = 0").distinct()
+    centres = vectors.cells(right, 6)
+    want = sorted((r.entity_id_l, r.entity_id_r, r["rank"], round(r.cosine, 6)) for r in vectors.knn_exact(left.distinct(), right.distinct(), 7).collect())
+    monkeypatch.setattr(vectors, "TILE", 0, raising=False)
+    monkeypatch.setattr(vectors, "dot", None)  # the search does not use the expression over single pairs
+    got = sorted((r.entity_id_l, r.entity_id_r, r["rank"], round(r.cosine, 6)) for r in vectors.knn_cells(left, right.distinct(), centres, 2, 7).collect())
+    assert got == want
+    far = [(f"W{i}", [float("nan")] * 8) for i in range(9)]  # they come last, and close no cell
+    more = right.distinct().unionByName(spark.createDataFrame(far, right.schema))
+    found = {(r.entity_id_l, r.entity_id_r) for r in vectors.knn_cells(left, more, centres, 2, 7).collect()}
+    assert found == {(l, r) for l, r, k, _ in want}
