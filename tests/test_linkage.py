@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from kinlink.operators import blocking, diagnostics, features, keys, labels, metrics, policy, sizing, validate, vectors
 from kinlink.operators import fellegi_sunter as fs
 from kinlink.operators.model import plain_score
-from kinlink.plans import views
+from kinlink.plans import registry, views
 from kinlink.sources import io
 from kinlink.streaming import scoring
 
@@ -395,3 +395,20 @@ def test_cells_by_tiles(spark, monkeypatch):
     more = right.distinct().unionByName(spark.createDataFrame(far, right.schema))
     found = {(r.entity_id_l, r.entity_id_r) for r in vectors.knn_cells(left, more, centres, 2, 7).collect()}
     assert found == {(l, r) for l, r, k, _ in want}
+
+
+def test_classes_of_copies(spark):
+    """Copies of a record don't make its keys frequent: its classes meet, and stand for all pairs of the copies."""
+    rows = [(f"S{s}-{i}", "acme iron works", ["acme", "iron", "works"], "12 elm lane 70001", "us") for s in (1, 2, 3) for i in range(100)]
+    rows += [("S1-x", "acme iron works", ["acme", "iron", "works"], None, "us"), ("S1-y", "acme iron works", ["acme", "iron", "works"], None, "us")]
+    norm = spark.createDataFrame(rows, io.NORMALISED)
+    known, first = blocking.classes(norm), F.col("entity_id").startswith("S1-")
+    assert {(r.class_id, r.record_id, r["count"]) for r in known.groupBy("class_id", "record_id").count().collect()} == {("S1-0", "S1-0", 100), ("S2-0", "S2-0", 100), ("S3-0", "S2-0", 100), ("S1-x", "S1-x", 2)}
+    rare = [keys.Pass("ct2", keys.PASSES["ct2"], 50, 900)]
+    assert not kept(blocking.multipass(norm.where(first), norm.where(~first), rare))
+    records = norm.join(known.where("entity_id = record_id").select("entity_id"), "entity_id")
+    pairs = blocking.multipass(records.where(first), records.where(~first), rare)
+    assert kept(pairs) == ["S1-0S2-0", "S1-xS2-0"]
+    truth = spark.createDataFrame([("S1-3", "S2-5"), ("S1-3", "S2-5"), ("S1-4", "S2-5"), ("S1-y", "S2-7")], "entity_id_l string, entity_id_r string")
+    got = blocking.class_labels(pairs, known.where(first), known.where(~first), truth)
+    assert sorted((r.entity_id_l, r.label, r.pairs) for r in got.collect()) == [("S1-0", 0, 9998), ("S1-0", 1, 2), ("S1-x", 0, 199), ("S1-x", 1, 1)]
