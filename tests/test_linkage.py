@@ -412,3 +412,19 @@ def test_classes_of_copies(spark):
     truth = spark.createDataFrame([("S1-3", "S2-5"), ("S1-3", "S2-5"), ("S1-4", "S2-5"), ("S1-y", "S2-7")], "entity_id_l string, entity_id_r string")
     got = blocking.class_labels(pairs, known.where(first), known.where(~first), truth)
     assert sorted((r.entity_id_l, r.label, r.pairs) for r in got.collect()) == [("S1-0", 0, 9998), ("S1-0", 1, 2), ("S1-x", 0, 199), ("S1-x", 1, 1)]
+
+
+def test_matchers_take_copies(spark, tmp_path):
+    """Where every key of the rows is over its limit there is still something to learn from."""
+    part = spark.read.parquet("/root/testdata/sf0.01/part.parquet")
+    copies = part.crossJoin(spark.range(6).withColumnRenamed("id", "i")).withColumn("p_partkey", F.col("p_partkey") + F.col("i") * 12_000).drop("i")
+    copies.write.parquet(f"file://{tmp_path}/part.parquet")
+    limits, flat = dict(keys.LIMITS), (1000, 300)
+    try:
+        keys.LIMITS.update({p: flat for p in keys.PASSES})
+        keys.LIMITS.update({p: (1, 1) for p in keys.PASSES if not p.startswith("postal")})
+        assert not registry._candidates(spark, f"file://{tmp_path}").head(1)
+        assert tuple(registry.legacy_matcher(spark, f"file://{tmp_path}").head()) == (7, "tok_jaccard", 1.0, True, True)
+    finally:
+        keys.LIMITS.clear()
+        keys.LIMITS.update(limits)
