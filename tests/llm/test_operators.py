@@ -709,3 +709,39 @@ def test_toxicity_scores_by_plain_loops(spark):
                 z += max(0.0, best + model.bias[k][f]) * model.weight[k * toxicity.FILTERS + f]
         z = z * model.scale + model.shift
         assert abs(score((r.text or "").encode()) - 1 / (1 + math.exp(-z))) < 1e-4
+
+
+@pytest.mark.parametrize("size", [1 << 23, 4000])
+def test_toxicity_learns_from_all(spark, monkeypatch, size):
+    """Words of documents that come after the first 3,000 of their label are known, calibration counts all rows, and many
+    shards learn what one does."""
+    from pyspark.sql import Window
+
+    monkeypatch.setattr(toxicity, "SHARD", size)
+    seen = {}
+    plain = toxicity.calibrate
+    monkeypatch.setattr(toxicity, "calibrate", lambda m, rows, prior: seen.update(n=rows.count()) or plain(m, rows, prior))
+    rows = spark.range(9200).withColumn("toxic", (F.col("id") % 2).cast("int")).withColumn("out", F.crc32(F.col("id").cast("string")) % 4 == 2)
+    place = F.row_number().over(Window.partitionBy("toxic", "out").orderBy(F.xxhash64("id", F.lit(7)), "id"))
+    rows = rows.withColumn("late", place > 3000)
+    words = F.concat_ws(" ", F.concat(F.lit("w"), F.col("id") % 40), F.when((F.col("toxic") == 1) & ~F.col("late"), "vile"), F.when((F.col("toxic") == 1) & F.col("late"), "zorg"), F.lit("end"))
+    docs = rows.select(F.col("id").alias("doc_id"), words.alias("text"), F.lit("en").alias("lang")).localCheckpoint()
+    labels = rows.select(F.col("id").alias("doc_id"), "toxic")
+    model = toxicity.train(docs.unionByName(docs.limit(50)), labels)
+    assert toxicity._word(b"zorg") in model.hashes.tolist()
+    ids = [i for i in range(9200) if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert seen["n"] == sum(zlib.crc32(str(i).encode()) // 4 % 5 == 0 for i in ids)
+    score = toxicity.scorer(model)
+    assert score(b"w3 zorg end") > 0.9 and score(b"w3 vile end") > 0.9 and score(b"w3 end") < toxicity.DEFAULT
+
+
+def test_toxicity_maxima_in_blocks():
+    rng = np.random.default_rng(1)
+    model = toxicity.start(np.arange(50, dtype=np.int32), np.full(50, 9), rng.integers(0, 9, 50), 20, 30)
+    lengths = np.array([2 + 2 * len(toxicity.PAD), 700, 5, 90])
+    flat, starts = rng.integers(0, 51, lengths.sum()), np.concatenate([[0], np.cumsum(lengths)[:-1]])
+    (one, at), (other, place) = toxicity._tops(model, flat, starts, lengths), toxicity._tops(model, flat, starts, lengths, block=64)
+    for k, width in enumerate(toxicity.WIDTHS):
+        assert np.allclose(one[k], other[k]) and (at[k] >= starts[:, None]).all() and (at[k] <= (starts + lengths - width)[:, None]).all()
+        z = sum(model.embedding[flat[j : len(flat) - width + 1 + j]] @ model.filters[k][j] for j in range(width))
+        assert np.allclose(other[k], [z[s : s + n - width + 1].max(axis=0) for s, n in zip(starts, lengths)])
