@@ -1,5 +1,7 @@
 """The stages of the pipeline, each on what the one before kept."""
 
+import zlib
+
 import pytest
 
 import corpus_pipeline
@@ -60,3 +62,17 @@ def test_odd_rows(spark, tmp_path, rows):
     assert sum(r.length for r in stages["packing"](spark, mixed, folder).collect()) == want
     out = corpus_pipeline.run(spark, folder).collect()
     assert sum(r.length for r in out) == want and mixing.mixed(masked).count() == masked.count()
+
+
+def test_toxicity_learns_from_every_fold(spark, tmp_path, monkeypatch):
+    """What only documents of one fold show is learned, and all labelled documents count for the thresholds."""
+    seen = {}
+    plain = toxicity.limit
+    monkeypatch.setattr(toxicity, "limit", lambda model, rows, prior: seen.update(n=rows.count()) or plain(model, rows, prior))
+    crc = {i: zlib.crc32(str(i).encode()) for i in range(1500)}
+    rows = [(i, f"w{i % 41} {'' if i % 3 else 'zorg' if c // 4 % 5 == 0 else 'vile'} end", "en", "a", int(i % 3 == 0)) for i, c in crc.items()]
+    spark.createDataFrame([r[:4] for r in rows], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(r[0], r[4]) for r in rows], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = corpus_pipeline.drop_toxic(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+    assert sorted(r.doc_id for r in kept.collect()) == [r[0] for r in rows if not r[4]]
+    assert seen["n"] == sum(c % 4 != 2 for c in crc.values())
