@@ -428,3 +428,54 @@ def test_matchers_take_copies(spark, tmp_path):
     finally:
         keys.LIMITS.clear()
         keys.LIMITS.update(limits)
+
+
+def _crossed(sources):
+    """Records of all names at all addresses, of each source and country."""
+    return [(f"S{s}-{i}{j}{c}", f"{a} {b}", [a, b], f"{j} elm lane {70000 + j}", c) for s in sources for i, (a, b) in enumerate((a, b) for a in ("acme", "bolt", "cold") for b in ("iron", "ring", "wood")) for j in range(11, 17) for c in ("us", "in")]
+
+
+def test_keys_over_their_limits_meet_by_the_other_field(spark):
+    """A key over its limits makes no pair by itself, but where names or addresses are equal too; against all pairs."""
+    norm = spark.createDataFrame(_crossed((1, 2)), io.NORMALISED)
+    first = F.col("entity_id").startswith("S1-")
+    left, right = norm.where(first).collect(), norm.where(~first).collect()
+    held = [keys.Pass("tok_ctry", keys.PASSES["tok_ctry"], 100, 9), keys.Pass("postal_nc", keys.PASSES["postal_nc"], 100, 4)]
+    assert not kept(blocking.multipass(norm.where(first), norm.where(~first), held))
+    want = sorted(a.entity_id + b.entity_id for a in left for b in right if (set(a.name_tokens) & set(b.name_tokens) and a.country_norm == b.country_norm or a.name_norm == b.name_norm) and a.addr_norm == b.addr_norm)
+    assert kept(blocking.multipass(norm.where(first), norm.where(~first), held, finer=True)) == want
+    none = [keys.Pass(p.name, p.keys, 100, 3) for p in held]  # the finer keys have the limits too
+    assert not kept(blocking.multipass(norm.where(first), norm.where(~first), none, finer=True))
+
+
+def test_features_by_part(spark, sides, tmp_path):
+    """The features of all pairs, with names and addresses worked out once: the same as by pair."""
+    left, right = (d.limit(40).unionByName(d.limit(3).withColumns({"entity_id": F.concat("entity_id", F.lit("x")), "addr_norm": F.lit(None).cast("string"), "country_norm": F.lit(None).cast("string")})).localCheckpoint() for d in sides)
+    pairs = left.select(F.col("entity_id").alias("entity_id_l")).crossJoin(right.select(F.col("entity_id").alias("entity_id_r"))).localCheckpoint()
+    got = features.features_by_part(pairs, left, right, f"file://{tmp_path}")
+    want = features.pair_features(pairs, left, right)
+    assert got.columns == want.columns and got.count() == 43 * 43
+    assert not got.exceptAll(want).head(1) and not want.exceptAll(got).head(1)
+
+
+@pytest.fixture(scope="module")
+def crossed(spark, tmp_path_factory):
+    """A part table of all names, types and sizes, where even the distinct records have every key over the limits held."""
+    folder = f"file://{tmp_path_factory.mktemp('crossed')}"
+    rows = [(a, b, t, s) for a in ("old", "hot", "red", "big") for b in ("bolt", "ring", "nut", "gear") for t in ("LARGE", "SMALL", "PROMO") for s in range(5, 17) for _ in range(6)]
+    made = [(i, f"{a} {b}", f"Brand#{i % 2}", t, s, 1.0) for i, (a, b, t, s) in enumerate(rows)]
+    spark.createDataFrame(made, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").coalesce(4).write.parquet(f"{folder}/part.parquet")
+    limits = dict(keys.LIMITS)
+    keys.LIMITS.update({p: (1000, 400) for p in keys.PASSES})
+    records = views.norm(spark, folder).dropDuplicates(["name_norm", "addr_norm", "country_norm"])
+    assert not blocking.multipass(records, records.withColumn("entity_id", F.concat("entity_id", F.lit("x"))), keys.passes()).head(1)
+    yield folder
+    keys.LIMITS.clear()
+    keys.LIMITS.update(limits)
+
+
+def test_boosted_trees_where_all_records_keys_are_frequent(spark, crossed):
+    out = registry.gbdt_platt_scores(spark, crossed).localCheckpoint()
+    assert out.count() > 1000 and {r.label for r in out.select("label").distinct().collect()} == {0, 1}
+    assert out.where("prob is null or prob < 0 or prob > 1 or pairs < 1").count() == 0
+    assert out.where("label = 1").agg(F.avg("prob")).head()[0] > out.where("label = 0").agg(F.avg("prob")).head()[0]
