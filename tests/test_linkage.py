@@ -479,3 +479,7 @@ def test_boosted_trees_where_all_records_keys_are_frequent(spark, crossed):
     assert out.count() > 1000 and {r.label for r in out.select("label").distinct().collect()} == {0, 1}
     assert out.where("prob is null or prob < 0 or prob > 1 or pairs < 1").count() == 0
     assert out.where("label = 1").agg(F.avg("prob")).head()[0] > out.where("label = 0").agg(F.avg("prob")).head()[0]
+
+
+def test_legacy_matcher_where_all_records_keys_are_frequent(spark, crossed):
+    assert tuple(registry.legacy_matcher(spark, crossed).head()) == (7, "tok_jaccard", 1.0, True, True)
