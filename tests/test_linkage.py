@@ -483,3 +483,19 @@ def test_boosted_trees_where_all_records_keys_are_frequent(spark, crossed):
 
 def test_legacy_matcher_where_all_records_keys_are_frequent(spark, crossed):
     assert tuple(registry.legacy_matcher(spark, crossed).head()) == (7, "tok_jaccard", 1.0, True, True)
+
+
+def _long_lists(spark):
+    rows = lambda s: [(f"S{s}-{i}", "acme iron", "", "us") for i in range(300)]
+    return sizing.rule_pairs(norm(spark, rows(1)), norm(spark, rows(2)), "tokens")
+
+
+def _final_plan(df):
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+def test_pairs_of_two_lists_are_not_held_at_once(spark):
+    """A compiled explode in another keeps all rows of one input row; the outer one is left to make them one by one."""
+    out = _long_lists(spark)
+    assert len({tuple(r) for r in out.collect()}) == 300 * 300
+    assert re.search(r"^[^*\n]*Generate explode\(transform\(ids_l", _final_plan(out), re.M)
