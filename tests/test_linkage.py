@@ -499,3 +499,10 @@ def test_pairs_of_two_lists_are_not_held_at_once(spark):
     out = _long_lists(spark)
     assert len({tuple(r) for r in out.collect()}) == 300 * 300
     assert re.search(r"^[^*\n]*Generate explode\(transform\(ids_l", _final_plan(out), re.M)
+
+
+def test_lists_that_meet_are_dealt_to_many_tasks(spark):
+    """Few bytes of lists make many pairs: the number of tasks that make them isn't told by their size."""
+    out = _long_lists(spark)
+    out.collect()
+    assert re.search(r"REPARTITION_BY_NUM", _final_plan(out))
